@@ -17,6 +17,7 @@ from tamhis.operators.topics import MAX_TOPICS
 from tamhis.operators.vectors import reduction_stages
 
 GRAM_BLOCK = 1024
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "double": pa.float64()}
 
 
 def topic_products(weights: DataFrame, by: str = "topic") -> DataFrame:
@@ -34,7 +35,7 @@ def topic_products(weights: DataFrame, by: str = "topic") -> DataFrame:
     frames = []
     for a, rows in enumerate(blocks):
         for cols in blocks[a:]:
-            frames.append(per_term.mapInArrow(_gram(rows, cols), schema))
+            frames.append(per_term.mapInArrow(_gram(rows, cols, _ARROW[kind]), schema))
     if not frames:
         return weights.sparkSession.createDataFrame([], schema)
     united = frames[0]
@@ -43,11 +44,11 @@ def topic_products(weights: DataFrame, by: str = "topic") -> DataFrame:
     return united.groupBy("t1", "t2").agg(F.sum("product").alias("product"))
 
 
-def _gram(rows: list, cols: list):
+def _gram(rows: list, cols: list, kind: pa.DataType):
     same = rows == cols
 
     def add(batches):
-        row_set, col_set = pa.array(rows), pa.array(cols)
+        row_set, col_set = pa.array(rows, kind), pa.array(cols, kind)
         total = np.zeros((len(rows), len(cols)))
         for batch in batches:
             cells = batch.column("w")
@@ -63,7 +64,7 @@ def _gram(rows: list, cols: list):
                 )
         i, j = np.nonzero(np.triu(total) if same else total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([rows[x] for x in i]), pa.array([cols[x] for x in j]), pa.array(total[i, j])],
+            [pa.array([rows[x] for x in i], kind), pa.array([cols[x] for x in j], kind), pa.array(total[i, j])],
             names=["t1", "t2", "product"],
         )
 

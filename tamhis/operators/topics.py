@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamhis.functions.vectors import array_of, as_array, as_vector
@@ -19,7 +19,7 @@ MAX_TOPICS = 4096  # topics whose pair table may be held on the driver
 
 def centroids(df: DataFrame, topic_col: str = "topic", vec_col: str = "vec") -> DataFrame:
     """``(topic, centroid)``: mean vector per topic, summed in each task before the shuffle; noise left out."""
-    rows = df.where(F.col(topic_col).isNotNull() & (F.col(topic_col) != NOISE))
+    rows = df.where(F.col(topic_col).cast("string") != str(NOISE))
     rows = rows.select(F.col(topic_col).alias("topic"), as_vector(array_of(df, vec_col)).alias("__v"))
     return rows.groupBy("topic").agg(as_array(Summarizer.mean(F.col("__v"))).alias("centroid"))
 
@@ -172,6 +172,3 @@ def majority_label(df: DataFrame, topic_col: str = "topic", label_col: str = "la
     )
     return counts.groupBy("topic").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
 
-
-def noise_filter(topic_col: str = "topic") -> Column:
-    return F.col(topic_col) != NOISE
