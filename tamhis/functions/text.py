@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamhis.functions import fixed
@@ -156,6 +156,15 @@ def word_tokens(c, min_length: int = 2, lower: bool = True) -> Column:
     return F.regexp_extract_all(source, F.lit(f"{_WORD}{{{min_length},}}"), F.lit(0))
 
 
+def with_tokens(df: DataFrame, keep, tokens: Column, name: str = "w") -> DataFrame:
+    """``keep`` columns and a token array that is computed once per row.
+
+    Used twice, an expression would be copied into every use by the optimizer; the output of a generator is a
+    column of its own, so here the array is exploded out of a one-element array.
+    """
+    return df.select(*keep, F.explode(F.array(tokens)).alias(name))
+
+
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams of a token array for n from ``low`` to ``high``, joined by blanks."""
     if not 1 <= low <= high:

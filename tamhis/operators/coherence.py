@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID
+from tamhis.session import pin
 
 EPSILON = 1e-12
 MAX_WORDS = 63  # words of a topic share the bits of one long
@@ -20,7 +21,7 @@ def window_masks(
     Windows are not exploded. A word enters and leaves the moving window at two places; between two such
     places the set of words stands still, and all windows there are counted at once.
     """
-    tokens = df.select(id_col, tx.word_tokens(text_col).alias("w")).where(F.size("w") > 0)
+    tokens = tx.with_tokens(df, [id_col], tx.word_tokens(text_col)).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - window, F.lit(0))
     spots = tokens.select(id_col, last.alias("last"), F.posexplode("w").alias("pos", "term"))
     listed = words.select(F.col(by).alias("topic"), "term", (F.col("rank") - 1).alias("bit"))
@@ -53,18 +54,19 @@ def coherence_by_topic(
     """``(topic, coherence)`` for ``words (topic, term, rank)`` with ranks 1 to ``n``."""
     if not 1 <= n <= MAX_WORDS:
         raise ValueError(f"n must lie between 1 and {MAX_WORDS}")
-    words = words.where(F.col("rank") <= n)
+    # Both tables are small and used several times: a row per topic word, and a row per pair of them.
+    words = pin(words.where(F.col("rank") <= n))
     masks = window_masks(df, text_col, words, n, window, by, id_col)
-    size = F.size(tx.word_tokens(text_col))
-    total = df.select(size.alias("s")).where(F.col("s") > 0).agg(
-        F.sum(F.greatest(F.col("s") - (window - 1), F.lit(1))).cast("double").alias("total")
+    size = F.size("w")
+    total = tx.with_tokens(df, [], tx.word_tokens(text_col)).where(size > 0).agg(
+        F.sum(F.greatest(size - (window - 1), F.lit(1))).cast("double").alias("total")
     )
     held = F.filter(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda b: F.getbit("mask", b) == 1,
     )
     singles = masks.select("topic", "windows", held.alias("held")).select("topic", "windows", "held", F.explode("held").alias("i"))
-    pairs = (
+    pairs = pin(
         singles.select("topic", "windows", "i", F.explode("held").alias("j"))
         .groupBy("topic", "i", "j")
         .agg(F.sum("windows").cast("double").alias("c"))

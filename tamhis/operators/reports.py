@@ -15,6 +15,7 @@ from tamhis.operators.quality import ID
 from tamhis.operators.terms import term_idf, top_terms
 from tamhis.operators.topics import MAX_TOPICS
 from tamhis.operators.vectors import reduction_stages
+from tamhis.session import pin
 
 GRAM_BLOCK = 1024
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "double": pa.float64()}
@@ -23,54 +24,62 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "small
 def topic_products(weights: DataFrame, by: str = "topic") -> DataFrame:
     """``(t1, t2, product)``: dot products of the topics' term weights, t1 <= t2, zeros left out.
 
-    Each task adds the outer products of its terms into one topic-by-topic block and sends that block on, so no
-    pair is ever emitted per term. Topics beyond ``GRAM_BLOCK`` are handled block against block.
+    Each task adds the outer products of its terms in topic-by-topic blocks and sends the sums on, so no pair is
+    ever emitted per term. A task that meets more than ``GRAM_BLOCK`` topics works block against block.
     """
-    topics = [r[0] for r in weights.select(by).distinct().orderBy(by).collect()]
-    blocks = [topics[i : i + GRAM_BLOCK] for i in range(0, len(topics), GRAM_BLOCK)]
     kind = weights.schema[by].dataType.simpleString()
-    schema = f"t1 {kind}, t2 {kind}, product double"
     cells = F.collect_list(F.struct(F.col(by).alias("t"), F.col("weight").alias("w"))).alias("cells")
     per_term = weights.groupBy("term").agg(cells).select("cells.t", "cells.w")
-    frames = []
-    for a, rows in enumerate(blocks):
-        for cols in blocks[a:]:
-            frames.append(per_term.mapInArrow(_gram(rows, cols, _ARROW[kind]), schema))
-    if not frames:
-        return weights.sparkSession.createDataFrame([], schema)
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame)
-    return united.groupBy("t1", "t2").agg(F.sum("product").alias("product"))
+    parts = per_term.mapInArrow(_gram(_ARROW[kind]), f"t1 {kind}, t2 {kind}, product double")
+    pairs = parts.groupBy(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"))
+    return pairs.agg(F.sum("product").alias("product"))
 
 
-def _gram(rows: list, cols: list, kind: pa.DataType):
-    same = rows == cols
+def _gram(kind: pa.DataType):
+    def emit(rows, cols, block, same):
+        i, j = np.nonzero(np.triu(block) if same else block)
+        return pa.RecordBatch.from_arrays(
+            [rows.take(pa.array(i)), cols.take(pa.array(j)), pa.array(block[i, j])], names=["t1", "t2", "product"]
+        )
 
     def add(batches):
-        row_set, col_set = pa.array(rows, kind), pa.array(cols, kind)
-        total = np.zeros((len(rows), len(cols)))
+        held, total = pa.array([], kind), np.zeros((0, 0))
         for batch in batches:
             cells = batch.column("w")
             owner = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False))
-            w = cells.flatten().to_numpy(zero_copy_only=False)
-            topics = batch.column("t").flatten()
-            at_row = pc.index_in(topics, value_set=row_set).fill_null(-1).to_numpy(zero_copy_only=False)
-            at_col = pc.index_in(topics, value_set=col_set).fill_null(-1).to_numpy(zero_copy_only=False)
-            for start in range(0, len(cells), 2048):
-                lo, hi = np.searchsorted(owner, [start, start + 2048])
-                total += _spread(owner[lo:hi] - start, at_row[lo:hi], w[lo:hi], len(rows)).T @ _spread(
-                    owner[lo:hi] - start, at_col[lo:hi], w[lo:hi], len(cols)
-                )
-        i, j = np.nonzero(np.triu(total) if same else total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([rows[x] for x in i], kind), pa.array([cols[x] for x in j], kind), pa.array(total[i, j])],
-            names=["t1", "t2", "product"],
-        )
+            weight = cells.flatten().to_numpy(zero_copy_only=False)
+            topics = batch.column("t").flatten().cast(kind)
+            new = pa.concat_arrays([held, topics.unique()]).unique()
+            if len(new) <= GRAM_BLOCK:
+                grown = np.zeros((len(new), len(new)))
+                grown[: len(held), : len(held)] = total
+                held, total = new, grown
+                total += _outer(owner, topics, weight, held, held, len(cells))
+                continue
+            met = topics.unique()
+            blocks = [met.slice(i, GRAM_BLOCK) for i in range(0, len(met), GRAM_BLOCK)]
+            for a, rows in enumerate(blocks):
+                for b, cols in enumerate(blocks[a:]):
+                    yield emit(rows, cols, _outer(owner, topics, weight, rows, cols, len(cells)), b == 0)
+        if len(held):
+            yield emit(held, held, total, True)
 
     return add
 
 
+def _outer(owner, topics, weight, rows, cols, terms: int) -> np.ndarray:
+    """Sum over terms of the outer products of their topic weights, for one block of topics."""
+    at_row = pc.index_in(topics, value_set=rows).fill_null(-1).to_numpy(zero_copy_only=False)
+    at_col = pc.index_in(topics, value_set=cols).fill_null(-1).to_numpy(zero_copy_only=False)
+    total = np.zeros((len(rows), len(cols)))
+    for start in range(0, terms, 2048):
+        lo, hi = np.searchsorted(owner, [start, start + 2048])
+        left = _spread(owner[lo:hi] - start, at_row[lo:hi], weight[lo:hi], len(rows))
+        right = _spread(owner[lo:hi] - start, at_col[lo:hi], weight[lo:hi], len(cols))
+        total += left.T @ right
+    return total
+
+
 def _spread(term: np.ndarray, place: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
     """Dense term-by-topic block from cells; a place of -1 is outside the block."""
     block = np.zeros((2048, width))
@@ -81,7 +90,7 @@ def _spread(term: np.ndarray, place: np.ndarray, weight: np.ndarray, width: int)
 
 def topic_similarity(weights: DataFrame, by: str = "topic") -> DataFrame:
     """``(t1, t2, cosine)`` in both orders, for topics that share a term."""
-    products = topic_products(weights, by)
+    products = pin(topic_products(weights, by))
     own = products.where("t1 = t2").select("t1", F.sqrt("product").alias("size"))
     one, two = own.select("t1", F.col("size").alias("s1")), own.select(F.col("t1").alias("t2"), F.col("size").alias("s2"))
     half = products.join(one, "t1").join(two, "t2")
@@ -154,23 +163,18 @@ def topic_distribution(
     sum of ``1 / length`` over the windows that hold it, and a text leaves its row as one number per term:
     windows themselves are never exploded. Holds for non-negative weights and no similarity threshold.
     """
-    tokens = df.select(id_col, tx.word_tokens(text_col).alias("w"))
+    tokens = tx.with_tokens(df, [id_col], tx.word_tokens(text_col)).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - (window - 1), F.lit(1))
     inverse = F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: 1.0 / F.sqrt(_equal_pairs(F.slice("w", i, window))),
-    )
-    spread = tokens.where(F.size("w") > 0).select(id_col, "w", inverse.alias("inv"))
-    places = F.transform(
-        "w",
-        lambda term, p: F.struct(
-            term.alias("term"),
-            F.aggregate(
-                F.slice("inv", F.greatest(p + 2 - window, F.lit(1)), _windows_at(p, window)),
-                F.lit(0.0), lambda total, v: total + v,
-            ).alias("c"),
-        ),
+        F.sequence(F.lit(1), last), lambda i: 1.0 / F.sqrt(_squared_length(F.slice("w", i, window)))
     )
+    spread = tx.with_tokens(tokens, [id_col, "w"], inverse, "inv")
+
+    def at(p):
+        found = [F.coalesce(F.get("inv", p - back), F.lit(0.0)) for back in range(window)]
+        return sum(found[1:], found[0])
+
+    places = F.transform("w", lambda term, p: F.struct(term.alias("term"), at(p).alias("c")))
     cells = spread.select(id_col, F.explode(places).alias("p")).select(id_col, "p.term", "p.c")
     sizes = weights.groupBy(by).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__size"))
     unit = weights.join(sizes, by).select("term", F.struct(F.col(by).alias("topic"), (F.col("weight") / F.col("__size")).alias("u")).alias("cell"))
@@ -181,14 +185,11 @@ def topic_distribution(
     return sums.select(id_col, F.col("topic").alias(by), F.coalesce(F.try_divide("s", whole), F.lit(0.0)).alias("share"))
 
 
-def _windows_at(p, window: int):
-    """Number of window starts up to position ``p`` (from 0) that still reach it; a short tail cuts it later."""
-    return F.least(p + 1, F.lit(window))
-
-
-def _equal_pairs(part):
+def _squared_length(part):
     """Squared length of the count vector of a small token array: the number of equal ordered pairs."""
-    return F.size(F.flatten(F.transform(part, lambda a: F.filter(part, lambda b: a == b)))).cast("double")
+    pairs = F.size(F.flatten(F.transform(part, lambda a: F.filter(part, lambda b: a == b))))
+    size = F.size(part)
+    return F.when(F.size(F.array_distinct(part)) == size, size).otherwise(pairs).cast("double")
 
 
 def topics_per_class(

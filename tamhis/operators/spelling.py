@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID
+from tamhis.session import pin
 
 _BLANK = "\ue001"  # private-use character standing for a replaced letter
 MAX_TOKEN = 25
@@ -50,7 +51,7 @@ def _pair_forms(word: Column, put_i: str, put_j: str, blanks: int, deleted: int)
 
 
 def _forms(word: Column, edits: int) -> Column:
-    """Array of ``(form, blanks, deleted)`` with ``blanks + deleted <= edits`` for ``edits`` 1 or 2."""
+    """Array of ``(form, blanks, deleted)`` with ``blanks + deleted <= edits`` for ``edits`` 1 or 2; may repeat."""
     size = F.length(word)
     none = F.array(_form(word, 0, 0))
     places = F.sequence(F.lit(1), size)
@@ -66,7 +67,7 @@ def _forms(word: Column, edits: int) -> Column:
             _pair_forms(word, "", _BLANK, 1, 1),
             _pair_forms(word, "", "", 0, 2),
         ]
-    return F.array_distinct(F.concat(*parts))
+    return F.concat(*parts)
 
 
 def _index(vocabulary: DataFrame, edits: int, max_token: int) -> DataFrame:
@@ -95,13 +96,16 @@ def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, max_token: int = MA
     Known tokens, empty ones and those longer than ``max_token`` characters count as right. A word one edit
     away goes before a word two edits away; among equals the most frequent wins, then the larger string.
     """
+    vocabulary = pin(vocabulary.select("word", "freq"))
     unknown = (
         tokens.where(F.length("token").between(1, max_token))
         .select("token")
         .distinct()
         .join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti")
     )
-    near = _within(unknown, _index(vocabulary, 1, max_token), 1)
+    # These tables are used several times and would otherwise read the corpus again each time.
+    unknown = pin(unknown)
+    near = pin(_within(unknown, _index(vocabulary, 1, max_token), 1))
     rest = unknown.join(near, "token", "left_anti")
     return near.unionByName(_within(rest, _index(vocabulary, 2, max_token), 2))
 

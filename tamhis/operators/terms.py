@@ -36,7 +36,7 @@ def explode_terms(
         return rows.where(~F.col("term").isin(*words)) if words else rows
     if words:
         tokens = F.filter(tokens, lambda w: ~w.isin(*words))
-    rows = df.select(*keep, tokens.alias("__tokens"))
+    rows = tx.with_tokens(df, keep, tokens, "__tokens")
     return rows.select(*keep, F.explode(tx.word_ngrams(F.col("__tokens"), low, high)).alias("term"))
 
 
