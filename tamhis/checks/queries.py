@@ -408,7 +408,8 @@ def _classes(spark, sf_dir):
 
 
 def _predicted(model, test):
-    return model.transform(test).select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    predicted, _ = classify.outcome(model)
+    return model.transform(test).select("doc_id", F.col("label").cast("int").alias("label"), predicted.alias("prediction"))
 
 
 def classify_lr(spark, sf_dir):

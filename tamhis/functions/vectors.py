@@ -19,8 +19,8 @@ def as_array(c) -> Column:
 
 
 def array_of(df: DataFrame, name: str) -> Column:
-    """The vector column ``name`` as an array of doubles, whether it is an array or an ML vector."""
-    return as_array(name) if isinstance(df.schema[name].dataType, VectorUDT) else F.col(name).cast("array<double>")
+    """The vector column ``name`` as an array, whether it is an array or an ML vector; floats stay floats."""
+    return as_array(name) if isinstance(df.schema[name].dataType, VectorUDT) else F.col(name)
 
 
 def dot(a: Column, b: Column) -> Column:

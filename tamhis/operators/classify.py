@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +41,27 @@ def perceptron(
     )
 
 
-def as_array_column(name: str = PROBABILITY) -> Column:
-    """Class probabilities as an array."""
-    return as_array(name)
+def naive_bayes_stages(counts: list, counts_col: str, label_col: str) -> list:
+    """Naive Bayes over the classes that occur: Spark numbers its outputs without gaps, so labels are indexed."""
+    index = StringIndexer(inputCol=label_col, outputCol="__class", handleInvalid="keep", stringOrderType="alphabetAsc")
+    return [index, *counts, naive_bayes(counts_col, "__class")]
 
 
 def fit_text_naive_bayes(df: DataFrame, text_col: str, label_col: str, **options) -> PipelineModel:
-    """Counts of tokens, then naive Bayes; ``label_col`` holds class numbers from 0."""
-    return Pipeline(stages=[*count_stages(text_col, **options), naive_bayes(label_col=label_col)]).fit(df)
-
-
-def class_numbers(df: DataFrame, label_col: str, out: str = "label") -> tuple[DataFrame, list[str]]:
-    """Number string labels by name order; the list of names is a class list, not data."""
-    names = [r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull()).distinct().orderBy(label_col).collect()]
-    table = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, float(i))])
-    return df.withColumn(out, table[F.col(label_col)]), names
+    """Counts of tokens, then naive Bayes; ``label_col`` holds class numbers."""
+    stages = naive_bayes_stages(count_stages(text_col, **options), "counts", label_col)
+    return Pipeline(stages=stages).fit(df)
+
+
+def outcome(model: PipelineModel, prediction: str = "prediction") -> tuple[Column, Column]:
+    """Predicted class number and probabilities by class number, from the columns that ``model`` adds."""
+    indexers = [stage for stage in model.stages if isinstance(stage, StringIndexerModel)]
+    shares = as_array(PROBABILITY)
+    if not indexers:
+        return F.col(prediction).cast("int"), shares
+    labels = [int(float(name)) for name in indexers[0].labels]
+    predicted = F.element_at(F.array(*[F.lit(n) for n in labels]), F.col(prediction).cast("int") + 1)
+    by_number = [
+        F.get(shares, F.lit(labels.index(n))) if n in labels else F.lit(0.0) for n in range(max(labels) + 1)
+    ]
+    return predicted, F.array(*by_number)

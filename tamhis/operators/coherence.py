@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID
-from tamhis.session import pin
+from tamhis.session import pin, small
 
 EPSILON = 1e-12
 MAX_WORDS = 63  # words of a topic share the bits of one long
@@ -25,7 +25,7 @@ def window_masks(
     last = F.greatest(F.size("w") - window, F.lit(0))
     spots = tokens.select(id_col, last.alias("last"), F.posexplode("w").alias("pos", "term"))
     listed = words.select(F.col(by).alias("topic"), "term", (F.col("rank") - 1).alias("bit"))
-    met = spots.join(listed, "term")
+    met = spots.join(small(listed), "term")
     enters = F.struct(F.greatest(F.col("pos") - (window - 1), F.lit(0)).alias("at"), F.lit(1).alias("step"))
     leaves = F.struct((F.least("pos", "last") + 1).alias("at"), F.lit(-1).alias("step"))
     moves = met.select(id_col, "topic", "bit", F.inline(F.array(enters, leaves)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
 from tamhis.functions.vectors import array_of, as_array, as_vector, cosine
+from tamhis.session import pin, small
 
 CANDIDATES = 50
 
@@ -21,7 +22,7 @@ def term_vectors(df: DataFrame, text_col: str, terms: DataFrame, vec_col: str =
 
     Only listed terms get past the join, and vectors are summed in each task before the shuffle.
     """
-    wanted = terms.select("term").distinct()
+    wanted = small(pin(terms.select("term").distinct()))
     rows = df.select(F.explode(F.array_distinct(tx.word_tokens(text_col))).alias("term"), array_of(df, vec_col).alias("vec"))
     met = rows.join(wanted, "term", "left_semi").select("term", as_vector("vec").alias("__v"))
     return met.groupBy("term").agg(as_array(Summarizer.mean(F.col("__v"))).alias("vec"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID
-from tamhis.session import running_totals
+from tamhis.session import pin, running_totals, small
 
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 
@@ -20,7 +20,7 @@ def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1) -> DataFr
     terms = df.select(F.explode(tx.word_tokens(text_col, min_length=1)).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_count)
     ranked = running_totals(counts, [F.desc("freq"), F.asc("term")], {"position": F.lit(1)})
-    return ranked.select("term", "freq", (F.col("position") + END).cast("int").alias("term_id"))
+    return pin(ranked.select("term", "freq", (F.col("position") + END).cast("int").alias("term_id")))
 
 
 def encode_fixed(
@@ -33,8 +33,8 @@ def encode_fixed(
 ) -> DataFrame:
     """``(doc_id, ids, mask[, label])``: start mark, token ids, end mark, padding up to ``max_len``.
 
-    Only the first ``max_len - 2`` tokens of a text leave its row. Spark broadcasts the vocabulary when it
-    is small and otherwise joins by term, where AQE splits a hot term.
+    Only the first ``max_len - 2`` tokens of a text leave its row. A vocabulary of measured small size is
+    broadcast; otherwise the join is by term, where AQE splits a hot term.
     """
     if max_len < 3:
         raise ValueError("max_len must leave room for a token between the marks")
@@ -42,7 +42,7 @@ def encode_fixed(
     names = ["label"] if label_col else []
     head = F.slice(tx.word_tokens(text_col, min_length=1), 1, max_len - 2)
     docs = df.select(id_col, *carried, F.posexplode_outer(head).alias("pos", "term"))
-    known = docs.join(vocabulary.select("term", "term_id"), "term", "left")
+    known = docs.join(small(vocabulary.select("term", "term_id")), "term", "left")
     cell = F.when(
         F.col("term").isNotNull(), F.struct("pos", F.coalesce("term_id", F.lit(UNKNOWN)).alias("term_id"))
     )

@@ -15,7 +15,7 @@ from tamhis.operators.quality import ID
 from tamhis.operators.terms import term_idf, top_terms
 from tamhis.operators.topics import MAX_TOPICS
 from tamhis.operators.vectors import reduction_stages
-from tamhis.session import pin
+from tamhis.session import pin, small
 
 GRAM_BLOCK = 1024
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "double": pa.float64()}
@@ -178,7 +178,8 @@ def topic_distribution(
     cells = spread.select(id_col, F.explode(places).alias("p")).select(id_col, "p.term", "p.c")
     sizes = weights.groupBy(by).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__size"))
     unit = weights.join(sizes, by).select("term", F.struct(F.col(by).alias("topic"), (F.col("weight") / F.col("__size")).alias("u")).alias("cell"))
-    table = unit.groupBy("term").agg(F.collect_list("cell").alias("cells"))
+    # While the weights fit into memory no token leaves its task; the sums per text are then combined in place.
+    table = small(pin(unit.groupBy("term").agg(F.collect_list("cell").alias("cells"))))
     met = cells.join(table, "term").select(id_col, "c", F.inline("cells"))
     sums = met.groupBy(id_col, "topic").agg(F.sum(F.col("c") * F.col("u")).alias("s"))
     whole = F.sum("s").over(Window.partitionBy(id_col))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID
-from tamhis.session import pin
+from tamhis.session import pin, small
 
 _BLANK = "\ue001"  # private-use character standing for a replaced letter
 MAX_TOKEN = 25
@@ -123,7 +123,7 @@ def check_spelling(
         vocabulary = build_word_counts(df, text_col, min_count)
     several = F.size(tx.blank_tokens(text_col)) > 1
     used = df.where(several).select(id_col, F.explode(F.array_distinct(tx.blank_tokens(text_col))).alias("token"))
-    fixes = correct_tokens(used, vocabulary, max_token)
+    fixes = small(pin(correct_tokens(used, vocabulary, max_token)))
     per_doc = (
         used.join(fixes, "token")
         .groupBy(id_col)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
+from tamhis.session import small
 
 
 def explode_terms(
@@ -20,8 +21,8 @@ def explode_terms(
     """One row ``(*keep, term)`` per term occurrence.
 
     A list of stop words is a hash-set filter in the plan. A stop-word table ``(word)`` is anti-joined, and
-    Catalyst broadcasts it only below its size threshold; with n-grams a table is not accepted, because
-    n-grams are built after the stop words are gone and inside one row.
+    broadcast only when its measured size is small; with n-grams a table is not accepted, because n-grams
+    are built after the stop words are gone and inside one row.
     """
     low, high = ngram_range
     tokens = tx.word_tokens(text_col)
@@ -29,7 +30,8 @@ def explode_terms(
         if high > 1:
             raise ValueError("n-grams need the stop words as a list")
         rows = df.select(*keep, F.explode(tokens).alias("term"))
-        return rows.join(stop_words.select(F.col("word").alias("term")), "term", "left_anti").select(*keep, "term")
+        listed = small(stop_words.select(F.col("word").alias("term")).distinct())
+        return rows.join(listed, "term", "left_anti").select(*keep, "term")
     words = tuple(dict.fromkeys(stop_words or ()))
     if (low, high) == (1, 1):
         rows = df.select(*keep, F.explode(tokens).alias("term"))

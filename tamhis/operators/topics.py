@@ -12,6 +12,7 @@ from tamhis.functions.vectors import array_of, as_array, as_vector
 from tamhis.operators.clusters import NOISE
 from tamhis.operators.neighbors import nearest_exact
 from tamhis.operators.quality import ID
+from tamhis.session import pin, small
 
 CENTRE_VALUES = 1 << 22  # numbers a task may hold for all centres: 32 MB
 MAX_TOPICS = 4096  # topics whose pair table may be held on the driver
@@ -106,7 +107,7 @@ def topic_sizes(df: DataFrame, topic_col: str = "topic") -> DataFrame:
 
 def apply_min_size(df: DataFrame, min_size: int, topic_col: str = "topic") -> DataFrame:
     """Topics with fewer than ``min_size`` documents become noise (-1)."""
-    big = topic_sizes(df, topic_col).where(F.col("n") >= min_size).select(F.col("topic").alias("__big"))
+    big = small(pin(topic_sizes(df, topic_col).where(F.col("n") >= min_size).select(F.col("topic").alias("__big"))))
     return df.join(big, F.col(topic_col) == F.col("__big"), "left").select(
         *[
             F.coalesce("__big", F.lit(NOISE)).cast(df.schema[topic_col].dataType).alias(topic_col)

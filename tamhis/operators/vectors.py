@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from tamhis.functions import fixed
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID
+from tamhis.session import small
+
+
+WORD_PARTITIONS = 64  # tasks that train word vectors; Spark's own default is one task for the whole corpus
 
 
 def tokenizer(text_col: str, out: str = "__tokens") -> RegexTokenizer:
@@ -33,7 +37,10 @@ def sentence_stages(text_col: str, method: str = "hashed", dims: int = 256, out:
         ]
     elif method == "word2vec":
         middle = [
-            Word2Vec(inputCol="__tokens", outputCol="__raw", vectorSize=dims, minCount=min_count, seed=fixed.SEED)
+            Word2Vec(
+                inputCol="__tokens", outputCol="__raw", vectorSize=dims, minCount=min_count, seed=fixed.SEED,
+                numPartitions=WORD_PARTITIONS,
+            )
         ]
     else:
         raise ValueError(f"unknown vector method {method!r}; use 'hashed' or 'word2vec'")
@@ -55,7 +62,8 @@ def external_vectors(
 def fit_word_vectors(df: DataFrame, text_col: str, dims: int = 32, min_count: int = 5) -> Word2VecModel:
     tokens = df.select(tx.word_tokens(text_col).alias("__tokens"))
     return Word2Vec(
-        inputCol="__tokens", outputCol="__raw", vectorSize=dims, minCount=min_count, seed=fixed.SEED
+        inputCol="__tokens", outputCol="__raw", vectorSize=dims, minCount=min_count, seed=fixed.SEED,
+        numPartitions=WORD_PARTITIONS,
     ).fit(tokens)
 
 
@@ -64,11 +72,11 @@ def word_position_vectors(
 ) -> DataFrame:
     """``(doc_id, vec)``: vectors of the first ``max_length`` tokens laid end to end, zeros elsewhere.
 
-    ``word_vectors`` is ``(word, vec array)``. Only ``max_length`` tokens of a text leave its row; the width is
+    ``word_vectors`` is a stored or pinned table ``(word, vec array)``. Only ``max_length`` tokens of a text leave its row; the width is
     always ``max_length * dims``.
     """
     head = F.slice(tx.word_tokens(text_col), 1, max_length)
-    rows = df.select(id_col, F.posexplode_outer(head).alias("pos", "word")).join(word_vectors, "word", "left")
+    rows = df.select(id_col, F.posexplode_outer(head).alias("pos", "word")).join(small(word_vectors), "word", "left")
     known = F.when(F.col("vec").isNotNull(), F.struct("pos", F.col("vec").cast("array<double>").alias("vec")))
     packed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(known)).alias("cells"))
     # Cells are ordered by position; missing positions are filled from a map of the few known ones.

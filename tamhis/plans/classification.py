@@ -39,7 +39,7 @@ class ReviewClassifier:
     def _stages(self) -> list:
         text, c = self.data_args["text_col"], self.config
         if c["head"] == "nb":
-            return [*vectors.count_stages(text, "__counts"), classify.naive_bayes("__counts", "__label")]
+            return classify.naive_bayes_stages(vectors.count_stages(text, "__counts"), "__counts", "__label")
         stages = vectors.sentence_stages(text, dims=c["vector_dims"], out="__vec")
         if c["head"] == "lr":
             return [*stages, classify.logistic("__vec", "__label")]
@@ -63,11 +63,11 @@ class ReviewClassifier:
 
     def _decoded(self, df: DataFrame, kept: list[str]) -> DataFrame:
         table = F.create_map(*[F.lit(v) for i, n in self.classes.items() for v in (int(i), n)])
-        found = self.model.transform(df)
+        predicted, shares = classify.outcome(self.model)
+        found = self.model.transform(df).withColumns({"__predicted": predicted, "__shares": shares})
         return found.select(
-            *[F.col(f"`{c}`") for c in kept], F.col("prediction").cast("int").alias("predicted_id"),
-            table[F.col("prediction").cast("int")].alias("predicted"),
-            classify.as_array_column(classify.PROBABILITY).alias("probabilities"),
+            *[F.col(f"`{c}`") for c in kept], F.col("__predicted").alias("predicted_id"),
+            table[F.col("__predicted")].alias("predicted"), F.col("__shares").alias("probabilities"),
         )
 
     def evaluate(self, df: DataFrame, save_to: str | None = None, task: str = "Evaluation") -> DataFrame:

@@ -52,8 +52,8 @@ class Embedder:
             return cls(config, text_col)
         if kind == "word":
             model = vectors.fit_word_vectors(df, text_col, dims)
-            table = model.getVectors().select("word", array_of(model.getVectors(), "vector").alias("vec"))
-            return cls(config, text_col, words=table)
+            table = model.getVectors()
+            return cls(config, text_col, words=pin(table.select("word", array_of(table, "vector").alias("vec"))))
         method = "word2vec" if kind == "word2vec" else "hashed"
         return cls(config, text_col, vectors.fit_sentence_vectors(df, text_col, method=method, dims=dims, out=VEC))
 
@@ -99,8 +99,9 @@ class TopicModel:
             if self.kind == "lr":
                 found = self.clusterer.transform(found)
         if self.kind in ("lr", "nb"):
-            extra = [classify.as_array_column("probability").alias("probabilities")] if probabilities else []
-            return found.select(*kept, F.col("prediction").cast("int").alias(TOPIC), *extra)
+            predicted, shares = classify.outcome(self.clusterer)
+            extra = [shares.alias("probabilities")] if probabilities else []
+            return found.select(*kept, predicted.alias(TOPIC), *extra)
         if self.kind == "kmeans":
             found = topics.rename_topics(self.clusterer.transform(found), self.names, "cluster").withColumnRenamed(
                 "cluster", TOPIC
@@ -159,8 +160,8 @@ def fit_topics(
     if kind == "nb":
         embedder = Embedder(c, text_col)
         train = df.withColumn("__label", F.col(label_col).cast("double"))
-        clusterer = Pipeline(stages=[*vectors.count_stages(text_col, "__counts", stop_words),
-                                     classify.naive_bayes("__counts", "__label")]).fit(train)
+        counts = vectors.count_stages(text_col, "__counts", stop_words)
+        clusterer = Pipeline(stages=classify.naive_bayes_stages(counts, "__counts", "__label")).fit(train)
     else:
         embedder = Embedder.fit(df, text_col, c)
         embedded = embedder.transform(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PART = "__part"
+BROADCAST_BYTES = 64 << 20
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,6 +37,26 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its measured size is at most ``limit`` bytes, else ``df`` as it is.
+
+    Measures by one pass, so give it pinned or stored tables. Without the hint Spark joins by shuffle and
+    AQE splits hot keys.
+    """
+    width = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            size = F.octet_length(cell)
+        elif isinstance(field.dataType, T.ArrayType):
+            size = F.size(cell) * (40 if isinstance(field.dataType.elementType, (T.StructType, T.StringType)) else 8)
+        else:
+            size = F.lit(8)
+        width = width + F.coalesce(size.cast("bigint"), F.lit(0)) + 8
+    measured = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if measured <= limit else df
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running totals over a global order without sorting in one task.
 

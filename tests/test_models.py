@@ -218,7 +218,7 @@ def reviews(spark, n=60):
     rows = []
     for i in range(n):
         bag = good if i % 2 else bad
-        rows.append((i, " ".join(bag[(i // 2 + j) % 6] for j in range(4)) + f" رقم{chr(1570 + i % 20)}", "Positive" if i % 2 else "Issue"))
+        rows.append((i, " ".join(bag[(i // 2 + j) % 6] for j in range(4)) + f" رقم{chr(1576 + i % 20)}", "Positive" if i % 2 else "Issue"))
     return spark.createDataFrame(rows, ["doc_id", "Review Text", "Label"])
 
 
