@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
@@ -28,9 +29,15 @@ VEC, REDUCED, TOPIC = "__vec", "__reduced", "topic"
 
 
 def settings(config: Mapping | None = None) -> dict:
-    """Defaults overlaid with ``config``; unknown techniques are refused by name."""
+    """Defaults overlaid with ``config``; unknown techniques are refused by name.
+
+    ``umap`` is accepted so that existing settings run, but the reduction is then the linear one.
+    """
     out = {**fixed.TOPIC_DEFAULTS, "vector_dims": 256, "vec_col": "vec", "min_points": 15, "eps": None,
            "name_threshold": 0.5, **(config or {})}
+    if out["dim_model_name"] == "umap":
+        warnings.warn("umap is not built; reducing with pca instead", stacklevel=2)
+        out["dim_model_name"] = "pca"
     for key, known in (
         ("clustering_model_name", CLUSTERERS), ("embd_technique", EMBEDDINGS), ("dim_model_name", ("pca", "none", None)),
     ):

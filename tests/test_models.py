@@ -245,9 +245,11 @@ def test_fit_topics(spark, kind, tmp_path):
 
 
 def test_unknown_techniques_are_refused():
-    for bad in ({"clustering_model_name": "x"}, {"dim_model_name": "umap"}, {"embd_technique": "x"}):
+    for bad in ({"clustering_model_name": "x"}, {"dim_model_name": "x"}, {"embd_technique": "x"}):
         with pytest.raises(ValueError):
             settings(bad)
+    with pytest.warns(UserWarning):
+        assert settings({"dim_model_name": "umap"})["dim_model_name"] == "pca"
 
 
 def test_topic_experiment(spark, tmp_path):
