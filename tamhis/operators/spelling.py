@@ -31,60 +31,46 @@ def _cut(word: Column, i: Column, put: str) -> Column:
     return F.concat(F.substr(word, F.lit(1), i - 1), F.lit(put), F.substr(word, i + 1))
 
 
-def _form(value: Column, blanks: int, deleted: int) -> Column:
-    return F.struct(
-        value.alias("form"), F.lit(blanks).cast("tinyint").alias("blanks"), F.lit(deleted).cast("tinyint").alias("deleted")
-    )
-
+def _forms(df: DataFrame, word: str, edits: int) -> DataFrame:
+    """``df`` with one row per form of ``word``: ``(form, blanks, deleted)``, ``blanks + deleted <= edits``.
 
-def _pair_forms(word: Column, put_i: str, put_j: str, blanks: int, deleted: int) -> Column:
-    """Forms of ``word`` with two characters i < j replaced; j goes first, so that i keeps its place."""
+    Places i <= j are exploded (0 is "nowhere"), so that the strings are cut in generated code; a form may repeat.
+    """
     size = F.length(word)
-
-    def second(i: Column) -> Column:
-        return F.transform(
-            F.sequence(i + 1, size), lambda j: _form(_cut(_cut(word, j, put_j), i, put_i), blanks, deleted)
+    first = F.sequence(F.lit(0), size) if edits == 2 else F.array(F.lit(0))
+    spots = df.select("*", F.explode(first).alias("i")).select("*", F.explode(F.sequence("i", size)).alias("j"))
+    i, j = F.col("i"), F.col("j")
+
+    def form(put_i: str | None, put_j: str | None):
+        value, puts = F.col(word), [p for p in (put_i, put_j) if p is not None]
+        if put_j is not None:
+            value = _cut(value, j, put_j)
+        if put_i is not None:
+            value = _cut(value, i, put_i)
+        return F.struct(
+            value.alias("form"), F.lit(puts.count(_BLANK)).alias("blanks"), F.lit(puts.count("")).alias("deleted")
         )
 
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), second))
-    return F.when(size >= 2, every).otherwise(F.filter(F.array(_form(word, 0, 0)), lambda _: F.lit(False)))
-
-
-def _forms(word: Column, edits: int) -> Column:
-    """Array of ``(form, blanks, deleted)`` with ``blanks + deleted <= edits`` for ``edits`` 1 or 2; may repeat."""
-    size = F.length(word)
-    none = F.array(_form(word, 0, 0))
-    places = F.sequence(F.lit(1), size)
-    parts = [
-        none,
-        F.transform(places, lambda i: _form(_cut(word, i, _BLANK), 1, 0)),
-        F.transform(places, lambda i: _form(_cut(word, i, ""), 0, 1)),
-    ]
-    if edits == 2:
-        parts += [
-            _pair_forms(word, _BLANK, _BLANK, 2, 0),
-            _pair_forms(word, _BLANK, "", 1, 1),
-            _pair_forms(word, "", _BLANK, 1, 1),
-            _pair_forms(word, "", "", 0, 2),
-        ]
-    return F.concat(*parts)
+    both = [form(a, b) for a in (_BLANK, "") for b in (_BLANK, "")]
+    made = (
+        F.when(j == 0, F.array(form(None, None)))
+        .when(i == 0, F.array(form(None, _BLANK), form(None, "")))
+        .when(i < j, F.array(*both))
+    )
+    return spots.select(*df.columns, F.inline(made))
 
 
 def _index(vocabulary: DataFrame, edits: int, max_token: int) -> DataFrame:
     """Best word per ``(form, letters deleted from the word)``: most frequent, then the larger string."""
     usable = vocabulary.where(F.length("word").between(1, max_token + 2))
-    rows = usable.select("word", "freq", F.explode(_forms(F.col("word"), edits)).alias("f"))
-    return rows.groupBy(F.col("f.form").alias("form"), F.col("f.deleted").alias("deleted")).agg(
-        F.max(F.struct("freq", "word")).alias("best")
-    )
+    rows = _forms(usable.select("word", "freq"), "word", edits)
+    return rows.groupBy("form", "deleted").agg(F.max(F.struct("freq", "word")).alias("best"))
 
 
 def _within(tokens: DataFrame, index: DataFrame, edits: int) -> DataFrame:
     """Best word at ``edits`` edits per token, given that nothing is nearer."""
-    probes = tokens.select("token", F.explode(_forms(F.col("token"), edits)).alias("f")).select(
-        "token",
-        F.col("f.form").alias("form"),
-        (F.lit(edits) - F.col("f.blanks") - F.col("f.deleted")).cast("tinyint").alias("deleted"),
+    probes = _forms(tokens.select("token"), "token", edits).select(
+        "token", "form", (F.lit(edits) - F.col("blanks") - F.col("deleted")).alias("deleted")
     )
     met = probes.join(index, ["form", "deleted"])
     return met.groupBy("token").agg(F.max("best").alias("best")).select("token", F.col("best.word").alias("fix"))
