@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from tamhis.llm.chat import CONTROL
 from tamhis.llm.licenses import TEMPLATES
 from tamhis.llm.quality_rules import WORD
 
@@ -63,5 +64,37 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM res"""
 
 
+# crc32 is not a DuckDB function; the bits of each byte are folded in by the polynomial of the checksum.
+OP5 = """
+WITH r AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+o AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w AS row FROM r WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN count(*) OVER q > 1 AND sum(size) OVER q <= (SELECT max(size) FROM r) THEN min(before) OVER q ELSE before END AS start
+  FROM o WINDOW q AS (PARTITION BY h)),
+s AS (SELECT *, least(floor(start * 16 / (SELECT sum(size) FROM r)), 15)::INT AS shard FROM g),
+b AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)
+SELECT doc_id, size::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295)::BIGINT AS text_crc32,
+  'bytes' AS law, shard, (row - min(row) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM s, b"""
+
+_ESCAPED = "{}"
+for _old, _new in [("\\", "\\\\"), *[(c, c[0] + "\\" + c[1:]) for c in CONTROL]]:
+    _ESCAPED = f"replace({_ESCAPED}, '{_old}', '{_new}')"
+OP6 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w - 1 AS place, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back,
+    {_ESCAPED.format("text")} AS safe FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(safe) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 11 + length(role) END)::BIGINT AS formatted_chars,
+  bool_and(CASE coalesce(before, '') WHEN '' THEN role IN ('system', 'user') WHEN 'user' THEN role = 'assistant' ELSE before IN ('system', 'assistant') AND role = 'user' END)
+    AND bool_or(back = 1 AND role = 'assistant') AS valid,
+  min(place) FILTER (NOT CASE coalesce(before, '') WHEN '' THEN role IN ('system', 'user') WHEN 'user' THEN role = 'assistant' ELSE before IN ('system', 'assistant') AND role = 'user' END)::INT AS first_bad
+FROM p GROUP BY conv_id"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_license_scan": op1(), "op2_quality_rules": OP2}
+    return {"op1_license_scan": op1(), "op2_quality_rules": OP2, "op5_byte_shards": OP5, "op6_chat_format": OP6}

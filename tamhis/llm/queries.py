@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamhis.llm import licenses, quality_rules
+from tamhis.llm import chat, language_id, licenses, quality_rules, sharding
 from tamhis.llm.common import table
 
 
@@ -19,6 +19,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language_id.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return language_id.predict_languages(docs, ("doc_id", held_out))
+
+
+def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "'</s>[INST] ok [/INST]' AS text"
+    extra = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {hard} UNION ALL SELECT -7L, 1L, 'assistant', {hard}")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    made = chat.format_chats(turns).select("*", F.explode(F.array(chat.read_turns("formatted"))).alias("back"), chat.learned_text("segments").alias("learned"))
+    told = F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return made.select(
+        "conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "first_bad")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
