@@ -18,6 +18,8 @@ from tamhis.session import use_checkpoint_dir
 _PARTING = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 _BLANKED = bytes.maketrans(_PARTING, b" " * len(_PARTING))
 WORD_PATTERN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Rows that are worked off before their results leave a task.
+_ROWS = 256
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -57,7 +59,7 @@ def map_rows(
 
     def run(batches):
         work, arrow = make(), to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             made = [work(*row) for row in zip(*[batch.column(width + i).to_pylist() for i in range(len(names))], strict=True)]
             columns = list(zip(*made, strict=True)) if made else [()] * len(fields)
             arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(width)]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamhis.llm import chat, language_id, licenses, quality_rules, sharding
-from tamhis.llm.common import table
+from tamhis.llm import bpe, chat, language_id, licenses, quality_rules, sharding, token_counts
+from tamhis.llm.common import stored, table
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SEPARATOR = 50256
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +23,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(token_counts.flat_token_files(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, SEPARATOR), "tokens")
+    counted = token_counts.count_tokens(files.where("block IS NOT NULL"), SEPARATOR)
+    order = files.where("block IS NULL").select("file", "first_doc", F.posexplode("doc_ids").alias("i", "doc_id"))
+    order = order.select("file", (F.col("first_doc") + F.col("i")).alias("ordinal"), "doc_id")
+    return counted.join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "terminated")
+
+
 def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language_id.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
@@ -41,6 +53,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "first_bad")
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, RANKS, ["doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
