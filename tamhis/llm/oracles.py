@@ -96,5 +96,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM p GROUP BY conv_id"""
 
 
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT DISTINCT item_id, text FROM benchmark),
+b AS (SELECT row_number() OVER () AS n, item_id, {_WORDS} AS w FROM i),
+ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d)),
+bs AS (SELECT DISTINCT n, item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM b)),
+q AS (SELECT n, count(*) AS q FROM bs GROUP BY n)
+SELECT doc_id, item_id, any_value(q)::BIGINT AS shingles, count(*)::BIGINT AS found, count(*)::DOUBLE / any_value(q) AS containment
+FROM ds JOIN bs USING (s) JOIN q USING (n) GROUP BY r, doc_id, n, item_id HAVING count(*) >= 0.8 * any_value(q)"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_license_scan": op1(), "op2_quality_rules": OP2, "op5_byte_shards": OP5, "op6_chat_format": OP6}
+    return {"op1_license_scan": op1(), "op2_quality_rules": OP2, "op5_byte_shards": OP5, "op6_chat_format": OP6, "op9_benchmark_leaks": OP9}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamhis.llm import bpe, chat, language_id, licenses, quality_rules, sharding, token_counts
+from tamhis.llm import bpe, chat, decontamination, language_id, licenses, near_dedup, quality_rules, sharding, token_counts
 from tamhis.llm.common import stored, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +53,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "first_bad")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaked_pairs(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, RANKS, ["doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")])
