@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamhis.llm import bpe, chat, decontamination, language_id, licenses, near_dedup, quality_rules, sharding, token_counts
+from tamhis.llm import bpe, chat, decontamination, language_id, licenses, near_dedup, quality_rules, sharding, token_counts, toxicity
 from tamhis.llm.common import stored, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +57,11 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(language_id.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"), ("doc_id", held_out))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaked_pairs(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
