@@ -65,57 +65,61 @@ class ContainmentIndex:
         return found
 
 
-def find_items(docs: DataFrame, items: DataFrame, keep: Sequence[str | Column], text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               k: int = SHINGLE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """Distinct items ``(item, text)`` with a text, in as many hash parts as keep a part at about ``block_chars`` characters."""
+    source = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).distinct()
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
+    return [source.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number) for number in range(blocks)]
+
+
+def find_items(docs: DataFrame, block: DataFrame, keep: Sequence[str | Column], text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns and ``leaks``: array of ``(item, shingles, found, containment)`` for every row of ``docs``.
 
-    An item is found if at least ``threshold`` of its distinct runs of ``k`` words are in the whole text. Words are compared
+    An item of the block is found if at least ``threshold`` of its distinct runs of ``k`` words are in the whole text. Words are compared
     in lower case without punctuation. Items of fewer than ``k`` words have no shingle and are never found; null or
     empty texts hold no item. Repeated items with equal id and text count once; items that share an id are told apart by
-    their text. Items go along in blocks of bounded size, each block with one pass over the documents; documents
-    are not moved within a pass, and with several blocks rows are the union of their passes (leaks of the block only).
+    their text. Repeated rows each get their result; other columns are not read. The items of the block, of bounded size, go along
+    with the tasks; documents are not moved.
     """
-    source = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).distinct()
-    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
     leak = T.ArrayType(T.StructType([
-        T.StructField("item", source.schema["item"].dataType), T.StructField("shingles", T.LongType()), T.StructField("found", T.LongType()),
+        T.StructField("item", block.schema["item"].dataType), T.StructField("shingles", T.LongType()), T.StructField("found", T.LongType()),
         T.StructField("containment", T.DoubleType())]))
+    carried = [tuple(r) for r in block.collect()]
 
-    def one(number: int) -> DataFrame:
-        block = [tuple(r) for r in source.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()]
+    def make():
+        index, hasher = ContainmentIndex(carried, k, threshold), WordHasher()
 
-        def make():
-            index, hasher = ContainmentIndex(block, k, threshold), WordHasher()
+        def work(value):
+            possible = index.candidates(hasher.shingles(value, k)) if value and index.items else ()
+            if not possible:
+                return ([],)
+            own, leaks = _shingles(words_of(value), k), []
+            for i in sorted(possible):
+                name, wanted = index.items[i]
+                found = len(wanted & own)
+                if found >= threshold * len(wanted) - 1e-9:
+                    leaks.append({"item": name, "shingles": len(wanted), "found": found, "containment": found / len(wanted)})
+            return (leaks,)
 
-            def work(value):
-                hashes = hasher.shingles(value, k) if value and index.items else []
-                possible = index.candidates(hashes) if len(hashes) else ()
-                if not possible:
-                    return ([],)
-                own, leaks = _shingles(words_of(value), k), []
-                for i in sorted(possible):
-                    name, wanted = index.items[i]
-                    found = len(wanted & own)
-                    if found >= threshold * len(wanted) - 1e-9:
-                        leaks.append({"item": name, "shingles": len(wanted), "found": found, "containment": found / len(wanted)})
-                return (leaks,)
+        return work
 
-            return work
+    return map_rows(docs, keep, [text], [T.StructField("leaks", leak)], make)
 
-        return map_rows(docs, keep, [text], [T.StructField("leaks", leak)], make)
 
-    return reduce(DataFrame.union, [one(i) for i in range(blocks)])
+def leaked_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
+    """``doc_id, item_id, shingles, found, containment``: one row for each document and item found in it.
 
-
-def leaked_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``doc_id, item_id, shingles, found, containment``: one row for each document and item found in it."""
-    found = find_items(docs, items, [F.col(doc_id).alias("doc_id")], **options).select("doc_id", F.inline("leaks"))
+    Each block of items takes one pass over the documents.
+    """
+    passes = [find_items(docs, block, [F.col(doc_id).alias("doc_id")], text) for block in item_blocks(items, block_chars=block_chars, **options)]
+    found = reduce(DataFrame.union, passes).select("doc_id", F.inline("leaks"))
     return found.withColumnRenamed("item", "item_id")
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def drop_leaking(docs: DataFrame, items: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
     """Rows of ``docs``, all columns as they are, that hold no item. Each block of items works on what the one before left."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    found = find_items(docs, items, [row], **options)
-    return found.groupBy("__row").agg(F.max(F.size("leaks")).alias("__n")).where("__n = 0").select("__row.*")
+    for block in item_blocks(items, block_chars=block_chars, **options):
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+        docs = find_items(docs, block, [row], text).where(F.size("leaks") == 0).select("__row.*")
+    return docs

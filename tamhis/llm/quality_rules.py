@@ -98,7 +98,7 @@ def frequent_lines(docs: DataFrame, host: str, text: str, max_share: float = 0.0
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_share: float = 0.05,
                   min_docs: int = 10, min_words: int = 10, min_left: float = 0.5, max_repeat_percent: int = 20) -> DataFrame:
-    """One row for each row of ``docs``: id, counts, ``base_failed``, ``removed_words`` and ``kept``.
+    """One row for each row of ``docs``: id, ``row_key``, counts, ``base_failed``, ``removed_words`` and ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of the words repeated. Frequent lines
     of the row's host are taken out; a document that loses words and is left with fewer than ``min_words`` words or
@@ -141,7 +141,8 @@ def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sour
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, that the rules keep."""
+    """Rows of ``docs``, all columns as they are, that the rules keep. Texts are moved only if the refused ids are too many to broadcast."""
     verdicts = quality_rules(docs, doc_id, text, host, **limits)
-    good = verdicts.where("kept").select(F.col("doc_id").alias("__good"), F.col("row_key").alias("__hash")).distinct()
-    return docs.join(good, docs[doc_id].eqNullSafe(good["__good"]) & (F.xxhash64(docs[doc_id], docs[host], docs[text]) == good["__hash"]), "left_semi")
+    bad = stored(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key")).distinct(), "refused")
+    key = F.xxhash64(docs[doc_id], docs[host], docs[text])
+    return docs.join(small(bad), docs[doc_id].eqNullSafe(bad["__bad"]) & (key == bad["__key"]), "left_anti")

@@ -22,6 +22,7 @@ FIT_DOCS, FIT_CHARS = 1_500, 65_536
 ORDINARY_BYTES, TOXIC_BYTES, LEAST_GAIN, LEAST_DOCS = 1 << 20, 1 << 16, 2, 3
 ROUNDS = 3
 _MATCH = 4
+_FRAME = 12
 _LOW, _HIGH = -3, 6
 _MEMO = 1 << 20
 OUTPUT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -51,12 +52,12 @@ class Distance:
     """Bytes that a window saves with the toxic dictionary over the ordinary one.
 
     The toxic dictionary is the ordinary one with the toxic part after it, so wording that both know costs the same.
-    The window stands in a fixed frame of ordinary words, as a window alone is too short to be compressed. A window
+    The window stands in a fixed frame, a few bytes of ordinary words of middling frequency, as a window alone is too short to be compressed. A window
     that shares no run of ``_MATCH`` bytes with the toxic part has nothing to match there and saves nothing.
     """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self._frame = ordinary[-12:], ordinary[-24:-12]
+        self._frame = tuple(ordinary[len(ordinary) * part // 4 :][:_FRAME] for part in (1, 2))
         self._plain, self._toxic = compressor(ordinary), compressor(ordinary + toxic)
         self._runs = {toxic[i : i + _MATCH] for i in range(len(toxic) - _MATCH + 1)}
         self._memo: dict[bytes, int] = {}
