@@ -98,16 +98,43 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return map_rows(docs, [F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("key")], [text], fields, make)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k: int, threshold: float) -> DataFrame:
+def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``(node, text)`` of the nodes, each text once."""
+    wanted = nodes.select("key", "node")
+    found = docs.select(F.unhex(F.md5(F.col(text))).alias("key"), F.col(text).alias("text")).join(small(nodes.select("key")), "key", "left_semi")
+    return found.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("node", "text")
+
+
+def _prefixes(texts: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``(s, node, n, c)``: the rarest shingles ``s`` of each node, as many as it may lack in a partner, and one.
+
+    Two sets with a similarity of at least ``t`` share a shingle among the ``n - ceil(t n) + 1`` first of each, whatever the
+    order, as long as all sets have the same. Rare ones come first: texts made around one passage or from one
+    template then have prefixes of their own words, and do not meet. ``c`` counts the shingles of a node that another node
+    has as well, which bounds what two nodes can share; a node with fewer than ``t n`` of them has no partner.
+    """
+    def make():
+        hasher = WordHasher()
+        return lambda value: (labelled(hasher.shingles(value, k)).view(np.int64).tolist(),)
+
+    each = map_rows(texts, ["node"], ["text"], [T.StructField("all", T.ArrayType(T.LongType()))], make).select("node", F.explode("all").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    shared = each.join(common, "s").withColumn("c", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "s")))
+    sized = shared.join(nodes.select("node", "n"), "node")
+    return sized.where(F.col("rank") <= F.col("c") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("s", "node", "n", "c")
+
+
+def _can_link(a: str, b: str, threshold: float):
+    """Whether the numbers of shingles, and of those that others have, leave room for the threshold."""
+    n = F.col(f"{a}n") + F.col(f"{b}n")
+    return (F.least(f"{a}c", f"{b}c") >= threshold / (1 + threshold) * n - 1e-9) & (F.least(f"{a}n", f"{b}n") >= threshold * F.greatest(f"{a}n", f"{b}n") - 1e-9)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """``(src, dst, similarity)`` of the pairs ``(a, b)`` that are at least ``threshold`` similar."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    sized = stored(sized.where(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9), "pairs")
-    wanted = stored(sized.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct(), "wanted")
-    texts = docs.select(F.unhex(F.md5(F.col(text))).alias("key"), F.col(text).alias("text")).join(small(wanted), "key", "left_semi")
-    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    both = sized.join(texts.select(F.col("key").alias("a_key"), F.col("text").alias("a_text")), "a_key").join(
-        texts.select(F.col("key").alias("b_key"), F.col("text").alias("b_text")), "b_key")
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def make():
         hasher = WordHasher()
@@ -122,20 +149,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k:
 
 
 def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: ``(s, node, rank)``, rank null for the most frequent component.
+    """Members of groups that hold several components, with their ``rank`` in the group, null for its most frequent component.
 
     Only pairs of different components are left to compare, and in each of them one side has a rank.
     """
-    current = members.join(labels, "node", "left").select("s", "node", F.coalesce("label", "node").alias("label"))
-    counts = current.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("s").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    current = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = current.groupBy("s", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = counts.groupBy("s").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     open_ = stored(current.join(main.select("s", F.col("top.label").alias("main")), "s"), "open")
     rank = F.row_number().over(Window.partitionBy("s").orderBy("node"))
-    other = open_.where("label <> main").select("s", "node", rank.alias("rank"))
-    return stored(open_.where("label = main").select("s", "node", F.lit(None).cast("int").alias("rank")).union(other), "rest")
+    other = open_.where("label <> main").select("s", "node", "n", "c", rank.alias("rank"))
+    return stored(open_.where("label = main").select("s", "node", "n", "c", F.lit(None).cast("int").alias("rank")).union(other), "rest")
 
 
-def _leader_rounds(rest: DataFrame, labels) -> Iterator[DataFrame]:
+def _leader_rounds(rest: DataFrame, labels, threshold: float) -> Iterator[DataFrame]:
     """Pairs of ranked members with all members of another component, in rounds of growing rank.
 
     What earlier rounds have joined need not be compared any more, so the current labels are asked for each round.
@@ -143,11 +170,12 @@ def _leader_rounds(rest: DataFrame, labels) -> Iterator[DataFrame]:
     low, high = 0, 8
     most = rest.agg(F.max("rank")).first()[0] or 0
     while low < most:
-        now = rest.join(labels(), "node", "left").select("s", "node", "rank", F.coalesce("label", "node").alias("label"))
+        now = rest.join(labels(), "node", "left").withColumn("label", F.coalesce("label", "node"))
         leaders = now.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "s", F.col("node").alias("a"), F.col("rank").alias("a_rank"), F.col("label").alias("a_label"))
-        met = now.join(leaders, "s").where((F.col("label") != F.col("a_label")) & (F.col("rank").isNull() | (F.col("rank") > F.col("a_rank"))))
-        yield met.select("a", F.col("node").alias("b")).distinct()
+            "s", *[F.col(name).alias(f"a_{name}") for name in ("node", "rank", "label", "n", "c")])
+        apart = (F.col("label") != F.col("a_label")) & (F.col("rank").isNull() | (F.col("rank") > F.col("a_rank")))
+        met = now.join(leaders, "s").where(apart & _can_link("", "a_", threshold))
+        yield stored(met.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         low, high = high, 4 * high
 
 
@@ -156,10 +184,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Similarity is the share of runs of ``k`` words that two texts have in one order (see ``aligned_similarity``); words are
     compared in lower case without punctuation. ``class_id`` is the least id of the class. Equal texts are one node
-    whatever their number, so copies are never paired. Nodes meet in buckets of equal sketches. First each node is
-    compared with the least of its bucket; then, where a bucket still holds several components, the members of all but
-    its largest component are compared with every member of another component. A link between two texts of one bucket
-    is so lost only inside a component, where it changes nothing.
+    whatever their number, so copies are never paired. Nodes that share a sketch with another are candidates; those that
+    share one of their rarest shingles as well (``_prefixes``, which loses no pair) are one group. First each node is compared
+    with one leader, the least node of a group, that it meets most often; then, where a group still holds several
+    components, the members of all but its largest component are compared with every member of another component. So
+    a comparison is left out only inside a component, where it changes nothing.
 
     Texts that are null or without a word are classes of their own: ``class_id`` is their id, the size 1. A text of fewer than ``k``
     words is one shingle. Null ids are passed over for the least id; a class of null ids only has a null ``class_id``. Repeated rows each get
@@ -171,10 +200,17 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     nodes = rows.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select("node", F.explode("sketches").alias("s"))
-    shared = buckets.groupBy("s").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("s", "leader")
-    members = stored(buckets.join(shared, "s"), "members")
-    edges = [_verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, docs, text, k, threshold)]
+    buckets = nodes.select("node", F.explode("sketches").alias("sketch"))
+    shared = buckets.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("sketch")
+    candidates = stored(buckets.join(shared, "sketch").select("node").distinct().join(nodes.select("node", "key", "n"), "node"), "candidates")
+    texts = stored(_texts(candidates, docs, text), "texts")
+    prefixes = stored(_prefixes(texts, candidates, k, threshold), "prefixes")
+    groups = prefixes.groupBy("s").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("s", "leader")
+    members = stored(prefixes.join(groups, "s"), "members")
+    met = members.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("node").agg(F.max(F.struct("times", F.col("leader").alias("a"))).alias("best"))
+    edges = [_verified(best.select("best.a", F.col("node").alias("b")), texts, k, threshold)]
+    members = members.drop("leader")
 
     def labels() -> DataFrame:
         links = edges[0].select("src", "dst")
@@ -184,8 +220,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         return connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
     latest = [labels()]
-    for pairs in _leader_rounds(_rest(members, latest[0]), lambda: latest[0]):
-        more = _verified(pairs, nodes, docs, text, k, threshold)
+    for pairs in _leader_rounds(_rest(members, latest[0]), lambda: latest[0], threshold):
+        more = _verified(pairs, texts, k, threshold)
         if not more.isEmpty():
             edges.append(more)
             latest[0] = labels()
