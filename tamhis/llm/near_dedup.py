@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +20,8 @@ THRESHOLD = 0.8
 #: 0.8 ** 4, so all 24 differ with probability 0.000003.
 SKETCHES, LEAST = 24, 4
 _CELLS = 1 << 20
+#: Nodes of a family that are compared with as many others at once.
+BLOCK = 512
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
@@ -105,6 +107,15 @@ def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return found.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("node", "text")
 
 
+def _shingled(texts: DataFrame, k: int) -> DataFrame:
+    """``(node, all)``: the labelled shingles of each node in the order of its text."""
+    def make():
+        hasher = WordHasher()
+        return lambda value: (labelled(hasher.shingles(value, k)).view(np.int64).tolist(),)
+
+    return map_rows(texts, ["node"], ["text"], [T.StructField("all", T.ArrayType(T.LongType()))], make)
+
+
 def _prefixes(texts: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     """``(s, node, n, c)``: the rarest shingles ``s`` of each node, as many as it may lack in a partner, and one.
 
@@ -113,11 +124,7 @@ def _prefixes(texts: DataFrame, nodes: DataFrame, k: int, threshold: float) -> D
     template then have prefixes of their own words, and do not meet. ``c`` counts the shingles of a node that another node
     has as well, which bounds what two nodes can share; a node with fewer than ``t n`` of them has no partner.
     """
-    def make():
-        hasher = WordHasher()
-        return lambda value: (labelled(hasher.shingles(value, k)).view(np.int64).tolist(),)
-
-    each = map_rows(texts, ["node"], ["text"], [T.StructField("all", T.ArrayType(T.LongType()))], make).select("node", F.explode("all").alias("s"))
+    each = _shingled(texts, k).select("node", F.explode("all").alias("s"))
     common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = Window.partitionBy("node")
     shared = each.join(common, "s").withColumn("c", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "s")))
@@ -125,12 +132,6 @@ def _prefixes(texts: DataFrame, nodes: DataFrame, k: int, threshold: float) -> D
     return sized.where(F.col("rank") <= F.col("c") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("s", "node", "n", "c")
 
 
-def _can_link(a: str, b: str, threshold: float):
-    """Whether the numbers of shingles, and of those that others have, leave room for the threshold."""
-    n = F.col(f"{a}n") + F.col(f"{b}n")
-    return (F.least(f"{a}c", f"{b}c") >= threshold / (1 + threshold) * n - 1e-9) & (F.least(f"{a}n", f"{b}n") >= threshold * F.greatest(f"{a}n", f"{b}n") - 1e-9)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """``(src, dst, similarity)`` of the pairs ``(a, b)`` that are at least ``threshold`` similar."""
     side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
@@ -148,35 +149,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return stored(scored.where(F.col("similarity") >= threshold), "links")
 
 
-def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of groups that hold several components, with their ``rank`` in the group, null for its most frequent component.
-
-    Only pairs of different components are left to compare, and in each of them one side has a rank.
-    """
-    current = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = current.groupBy("s", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = counts.groupBy("s").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    open_ = stored(current.join(main.select("s", F.col("top.label").alias("main")), "s"), "open")
-    rank = F.row_number().over(Window.partitionBy("s").orderBy("node"))
-    other = open_.where("label <> main").select("s", "node", "n", "c", rank.alias("rank"))
-    return stored(open_.where("label = main").select("s", "node", "n", "c", F.lit(None).cast("int").alias("rank")).union(other), "rest")
-
-
-def _leader_rounds(rest: DataFrame, labels, threshold: float) -> Iterator[DataFrame]:
-    """Pairs of ranked members with all members of another component, in rounds of growing rank.
+def _family_links(families: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``(src, dst, similarity)`` of all linked pairs of different ``label`` in one ``family``.
 
-    What earlier rounds have joined need not be compared any more, so the current labels are asked for each round.
+    ``families`` has ``family, node, label, n, c, all``. A family is dealt into blocks of about ``block`` nodes, and each pair of blocks is
+    one group of two bounded sides. Overlaps are counted array by array and only links leave the task, so the pairs
+    of a family of near misses, which can be many, are never rows.
     """
-    low, high = 0, 8
-    most = rest.agg(F.max("rank")).first()[0] or 0
-    while low < most:
-        now = rest.join(labels(), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        leaders = now.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "s", *[F.col(name).alias(f"a_{name}") for name in ("node", "rank", "label", "n", "c")])
-        apart = (F.col("label") != F.col("a_label")) & (F.col("rank").isNull() | (F.col("rank") > F.col("a_rank")))
-        met = now.join(leaders, "s").where(apart & _can_link("", "a_", threshold))
-        yield stored(met.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        low, high = high, 4 * high
+    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    columns = ["family", "i", "j", "node", "label", "n", "c", "all"]
+    last = F.col("blocks") - 1
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", last))).select(*[F.col(x).alias(x) for x in columns])
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).select(*[F.col(x).alias(x) for x in columns])
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = ([], [], [])
+        if one.num_rows and two.num_rows:
+            same = one["i"][0].as_py() == one["j"][0].as_py()
+            node, label, n, c = (two[x].to_numpy() for x in ("node", "label", "n", "c"))
+            sets = [np.array(x, np.int64) for x in two["all"].to_pylist()]
+            for a, a_label, a_n, a_c, a_all in zip(*[one[x].to_pylist() for x in ("node", "label", "n", "c", "all")], strict=True):
+                able = (label != a_label) & (np.minimum(c, a_c) >= threshold / (1 + threshold) * (n + a_n) - 1e-9) & (np.minimum(n, a_n) >= threshold * np.maximum(n, a_n) - 1e-9)
+                able = np.flatnonzero(able & (node > a) if same else able)
+                if not len(able):
+                    continue
+                own = np.array(a_all, np.int64)
+                ordered = np.sort(own)
+                flat = np.concatenate([sets[k] for k in able])
+                at = np.minimum(np.searchsorted(ordered, flat), len(ordered) - 1)
+                starts = np.concatenate([[0], np.cumsum(n[able])[:-1]])
+                common = np.add.reduceat((ordered[at] == flat).astype(np.int64), starts)
+                for k in able[common >= threshold / (1 + threshold) * (n[able] + a_n) - 1e-9]:
+                    similarity = aligned_similarity(own, sets[k], threshold)
+                    if similarity >= threshold:
+                        for out, value in zip(found, (a, int(node[k]), similarity), strict=True):
+                            out.append(value)
+        return pa.table({"src": pa.array(found[0], pa.int64()), "dst": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
+
+    return left.groupBy("family", "i", "j").cogroup(right.groupBy("family", "i", "j")).applyInArrow(compare, "src long, dst long, similarity double")
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -184,11 +195,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Similarity is the share of runs of ``k`` words that two texts have in one order (see ``aligned_similarity``); words are
     compared in lower case without punctuation. ``class_id`` is the least id of the class. Equal texts are one node
-    whatever their number, so copies are never paired. Nodes that share a sketch with another are candidates; those that
-    share one of their rarest shingles as well (``_prefixes``, which loses no pair) are one group. First each node is compared
-    with one leader, the least node of a group, that it meets most often; then, where a group still holds several
-    components, the members of all but its largest component are compared with every member of another component. So
-    a comparison is left out only inside a component, where it changes nothing.
+    whatever their number, so copies are never paired. Nodes that share a sketch with another are candidates; candidates that
+    share one of their rarest shingles as well (``_prefixes``, which loses no pair) are one group, and groups with a node in common
+    one family. First each node is compared with two leaders, nodes with few shingles of their own: the one that it
+    meets most often, and the most central one. Then, where a family still holds several components, all pairs of
+    different components are compared in blocks. A comparison is left out only inside a component, where it changes nothing.
 
     Texts that are null or without a word are classes of their own: ``class_id`` is their id, the size 1. A text of fewer than ``k``
     words is one shingle. Null ids are passed over for the least id; a class of null ids only has a null ``class_id``. Repeated rows each get
@@ -205,27 +216,30 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     candidates = stored(buckets.join(shared, "sketch").select("node").distinct().join(nodes.select("node", "key", "n"), "node"), "candidates")
     texts = stored(_texts(candidates, docs, text), "texts")
     prefixes = stored(_prefixes(texts, candidates, k, threshold), "prefixes")
-    groups = prefixes.groupBy("s").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("s", "leader")
-    members = stored(prefixes.join(groups, "s"), "members")
-    met = members.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("node").agg(F.max(F.struct("times", F.col("leader").alias("a"))).alias("best"))
-    edges = [_verified(best.select("best.a", F.col("node").alias("b")), texts, k, threshold)]
-    members = members.drop("leader")
-
-    def labels() -> DataFrame:
-        links = edges[0].select("src", "dst")
-        for more in edges[1:]:
-            links = links.union(more.select("src", "dst"))
+    central = F.struct((F.col("c") / F.col("n")).alias("central"), (-F.col("node")).alias("place"))
+    groups = prefixes.groupBy("s").agg(F.max(central).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = groups.select("s", F.col("top.central").alias("central"), (-F.col("top.place")).alias("leader"))
+    met = prefixes.join(groups, "s").where("node <> leader").groupBy("node", "leader").agg(
+        F.count(F.lit(1)).alias("times"), F.first("central").alias("central"), F.first("n").alias("n"), F.first("c").alias("c"))
+    met = stored(met, "met")
+    often, centre = F.max(F.struct("times", "central", "leader")), F.max(F.struct("central", "times", "leader"))
+    best = met.groupBy("node").agg(F.array_distinct(F.array(often["leader"], centre["leader"])).alias("leaders"))
+    edges = _verified(best.select(F.explode("leaders").alias("a"), F.col("node").alias("b")), texts, k, threshold)
+
+    def labels(links: DataFrame) -> DataFrame:
         ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         return connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
-    latest = [labels()]
-    for pairs in _leader_rounds(_rest(members, latest[0]), lambda: latest[0], threshold):
-        more = _verified(pairs, texts, k, threshold)
-        if not more.isEmpty():
-            edges.append(more)
-            latest[0] = labels()
-    labelled_nodes = nodes.select("key", "node", "least_id", "copies").join(latest[0], "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = labels(edges.select("src", "dst"))
+    family = labels(met.select(F.col("node").alias("src"), F.col("leader").alias("dst"))).withColumnRenamed("label", "family")
+    sized = prefixes.select("node", "n", "c").distinct()
+    current = stored(family.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sized, "node"), "current")
+    open_ = current.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("family")
+    current = stored(current.join(open_, "family"), "open")
+    wanted = texts.join(small(current.select("node")), "node", "left_semi")
+    more = stored(_family_links(current.join(_shingled(wanted, k), "node"), threshold), "family-links")
+    latest = first if more.isEmpty() else labels(edges.select("src", "dst").union(more.select("src", "dst")))
+    labelled_nodes = nodes.select("key", "node", "least_id", "copies").join(latest, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled_nodes.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_key = labelled_nodes.select("key", "label").join(classes, "label").select("key", "class_id", "class_size")
     known = rows.where("n > 0").select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id", "class_size")

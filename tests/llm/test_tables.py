@@ -188,13 +188,20 @@ def test_near_duplicates_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted([d for d, c, _ in classes(rows) if d is not None and d == c])
 
 
-def test_leader_rounds_compare_all_that_is_left(spark):
-    members = spark.createDataFrame([(1, n, 9, 9) for n in range(30)] + [(2, n, 9, 9) for n in (3, 4, 5)], "s long, node long, n long, c long")
-    labels = spark.createDataFrame([(n, n // 10) for n in range(20)], "node long, label long")
-    rest = near_dedup._rest(members, labels)
-    pairs = {tuple(sorted(r)) for df in near_dedup._leader_rounds(rest, lambda: labels, 0.8) for r in df.collect()}
-    label = lambda n: n // 10 if n < 20 else n
-    assert pairs == {(a, b) for a, b in itertools.combinations(range(30), 2) if label(a) != label(b)}
+@pytest.mark.parametrize("block", [4, 512])
+def test_family_links_are_whole(spark, block):
+    random.seed(11)
+    hasher, base, rows = WordHasher(), [f"w{i}" for i in range(80)], []
+    for node in range(60):
+        words = base[:]
+        for _ in range(random.randint(0, 4)):
+            words[random.randrange(80)] = f"x{random.randrange(9)}"
+        every = near_dedup.labelled(hasher.shingles(" ".join(words), 5))
+        rows.append((node % 2, node, node % 7, len(every), len(every), every.view(np.int64).tolist()))
+    frame = spark.createDataFrame(rows, "family long, node long, label long, n long, c long, all array<long>")
+    got = {(min(r[0], r[1]), max(r[0], r[1])) for r in near_dedup._family_links(frame, 0.8, block).collect()}
+    want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2] and similarity(a[5], b[5]) >= 0.8}
+    assert got == want and want
 
 
 def test_near_duplicate_query(spark):
