@@ -275,7 +275,7 @@ def _spelling_sql() -> str:
     WITH voc AS (SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
         WHERE word <> '' GROUP BY word HAVING count(*) >= 5),
     tok AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM benchmark),
-    unk AS (SELECT token FROM tok WHERE length(token) BETWEEN 1 AND 25 AND token NOT IN (SELECT word FROM voc)),
+    unk AS (SELECT token FROM tok WHERE length(token) >= 1 AND token NOT IN (SELECT word FROM voc)),
     wide AS (SELECT DISTINCT unnest(string_split(w, '')) AS ch FROM (SELECT token AS w FROM unk UNION ALL SELECT word FROM voc)),
     code AS (SELECT string_agg(ch, '' ORDER BY ch) AS a, string_agg(chr(i::INTEGER), '' ORDER BY ch) AS b
         FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS i FROM wide)),
@@ -320,7 +320,7 @@ def all_oracles() -> dict[str, str]:
         "light_stem": rule(stem(arabic())),
         "segment": rule(segment(arabic())),
         "dedupe_rows": "SELECT min(doc_id) AS doc_id, lang, source, text FROM documents GROUP BY lang, source, text",
-        "drop_nulls": f"SELECT * FROM ({LABELS.format(cols='d.lang, d.source')}) WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+        "drop_nulls": f"SELECT * FROM ({LABELS.format(cols='d.lang, d.source, d.text, d.n_chars')}) WHERE COLUMNS(*) IS NOT NULL",
         "quality_report": f"""WITH src AS ({LABELS.format(cols='d.lang, d.text')}),
             grp AS (SELECT lang, text, quality, count(*) AS n FROM src GROUP BY lang, text, quality)
             SELECT sum(n)::BIGINT AS original_rows, sum(n - 1)::BIGINT AS duplicates_removed,
@@ -345,7 +345,7 @@ def all_oracles() -> dict[str, str]:
         "spelling_fix": _spelling_sql(),
         "count_terms": f"SELECT doc_id, term, count(*) AS n FROM {term_rows('doc_id')} WHERE term NOT IN {stop} GROUP BY doc_id, term",
         "ngrams": f"""WITH tok AS (SELECT lang, list_filter({TOKENS}, lambda w: w NOT IN {stop}) AS w FROM documents), g AS ({grams})
-            SELECT lang, term, count(*) AS n FROM g GROUP BY lang, term HAVING count(*) >= 3""",
+            SELECT lang, term, count(*) AS n FROM g GROUP BY lang, term""",
         "ctfidf": f"WITH {weights(form='base', damp=False)} SELECT lang, term, n, round(weight, 6) AS weight FROM weighted",
         "ctfidf_bm25": f"WITH {weights()} SELECT lang, term, n, round(weight, 6) AS weight FROM weighted",
         "top_terms": _clean_words_sql(),
@@ -388,6 +388,26 @@ def all_oracles() -> dict[str, str]:
         "metrics_on_topics": _weighted("""SELECT l.quality AS y, m.label AS p FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id JOIN
             (SELECT topic, quality AS label FROM (SELECT label AS topic, quality, count(*) AS c FROM embeddings JOIN labels ON vec_id = doc_id GROUP BY ALL)
             QUALIFY row_number() OVER (PARTITION BY topic ORDER BY c DESC, quality) = 1) m ON m.topic = e.label"""),
+        "classify_nb": f"""WITH src AS (SELECT doc_id, {TOKENS} AS w, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS label,
+                {K.format(n=100)} < 20 AS test FROM documents),
+            cnt AS (SELECT label, term, count(*) AS n FROM (SELECT label, unnest(w) AS term FROM src WHERE NOT test) GROUP BY label, term),
+            voc AS (SELECT DISTINCT term FROM cnt),
+            cls AS (SELECT label, count(*) AS docs, sum(len(w)) AS words FROM src WHERE NOT test GROUP BY label),
+            prior AS (SELECT label, ln((docs + 1) / ((SELECT sum(docs) FROM cls) + (SELECT count(*) FROM cls))) AS p,
+                ln(words + (SELECT count(*) FROM voc)) AS size FROM cls),
+            tok AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM src WHERE test) JOIN voc USING (term) GROUP BY doc_id, term),
+            sums AS (SELECT doc_id, c.label, sum(t.n * (ln(coalesce(k.n, 0) + 1) - c.size)) AS s FROM tok t CROSS JOIN prior c
+                LEFT JOIN cnt k ON k.term = t.term AND k.label = c.label GROUP BY doc_id, c.label)
+            SELECT src.doc_id, src.label, c.label AS prediction FROM src CROSS JOIN prior c LEFT JOIN sums ON sums.doc_id = src.doc_id AND sums.label = c.label
+            WHERE test QUALIFY row_number() OVER (PARTITION BY src.doc_id ORDER BY c.p + coalesce(s, 0) DESC, c.label) = 1""",
+        "density_topics": """WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+            near AS (SELECT a.id AS a, b.id AS b FROM e a, e b WHERE round(list_distance(a.v, b.v), 9) <= 1.15),
+            core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5),
+            link AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+            reach AS (SELECT a, a AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+            comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+            num AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS k FROM comp GROUP BY c HAVING count(*) >= 2)
+            SELECT e.id AS doc_id, coalesce(num.k, -1)::INTEGER AS cluster FROM e LEFT JOIN comp ON comp.a = e.id LEFT JOIN num ON num.c = comp.c""",
         "coherence_cv": _coherence_sql(),
         "rerank_terms": f"""WITH {DESCRIBED},
             sc AS (SELECT c.lang, t.term, {COSINE} AS weight FROM cand JOIN tvec t USING (term) JOIN centre c ON c.lang = cand.lang AND c.i = t.i GROUP BY c.lang, t.term)

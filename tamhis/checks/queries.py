@@ -11,7 +11,7 @@ from tamhis.functions import fixed
 from tamhis.functions import text as tx
 from tamhis.functions.vectors import as_vector
 from tamhis.operators import (
-    classify, clusters, coherence, describe, encoding, metrics, neighbors, quality, reports, spelling, terms, topics,
+    bayes, classify, clusters, coherence, describe, encoding, metrics, neighbors, quality, reports, spelling, terms, topics,
     translation, vectors,
 )
 from tamhis.plans.cleaning import clean_column, flags_from, preprocess
@@ -76,7 +76,7 @@ def _with_labels(spark, sf_dir, *columns):
 
 
 def drop_nulls(spark, sf_dir):
-    return quality.drop_missing(_with_labels(spark, sf_dir, "lang", "source"))
+    return quality.drop_missing(_with_labels(spark, sf_dir, "lang", "source", "text", "n_chars"))
 
 
 def quality_report(spark, sf_dir):
@@ -138,7 +138,7 @@ def count_terms(spark, sf_dir):
 
 
 def ngrams(spark, sf_dir):
-    return _counts(spark, sf_dir, stop_words=("the", "de", "und"), ngram_range=(1, 3)).where("n >= 3")
+    return _counts(spark, sf_dir, stop_words=("the", "de", "und"), ngram_range=(1, 3))
 
 
 def _weights(spark, sf_dir, form="bm25", damp=True):
@@ -339,13 +339,13 @@ def _features(spark, sf_dir) -> DataFrame:
 
 def sentence_vectors(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = vectors.fit_sentence_vectors(docs, "text", dims=64)
+    model = vectors.fit_sentence_vectors(docs, "text")
     return model.transform(docs).select("doc_id", F.col("vec").cast("string").alias("vec"))
 
 
 def word_position_vectors(spark, sf_dir):
     docs = _text_vectors(spark, sf_dir)
-    words = terms.count_terms(docs, "text", "lang").where("n >= 50").select("term").distinct()
+    words = terms.count_terms(docs, "text", "lang").select("term").distinct()
     vecs = describe.term_vectors(docs, "text", words).select(F.col("term").alias("word"), "vec")
     flat = vectors.word_position_vectors(docs, "text", vecs, 64, 30)
     first = vectors.first_token_vectors(flat, 64)
@@ -380,7 +380,7 @@ def _reduced(spark, sf_dir):
 
 
 def density_topics(spark, sf_dir):
-    return clusters.density_clusters(_reduced(spark, sf_dir), min_size=50, min_points=15)
+    return clusters.density_clusters(_embedded(spark, sf_dir), "vec", min_size=2, min_points=5, eps=1.15)
 
 
 def ward_topics(spark, sf_dir):
@@ -416,20 +416,20 @@ def classify_lr(spark, sf_dir):
     from pyspark.ml import Pipeline
 
     train, test = _classes(spark, sf_dir)
-    stages = [*vectors.sentence_stages("text", dims=128), classify.logistic(maxIter=20)]
+    stages = [*vectors.sentence_stages("text"), classify.logistic()]
     return _predicted(Pipeline(stages=stages).fit(train), test)
 
 
 def classify_nb(spark, sf_dir):
     train, test = _classes(spark, sf_dir)
-    return _predicted(classify.fit_text_naive_bayes(train, "text", "label"), test)
+    return _predicted(bayes.fit_text_naive_bayes(train, "text", "label"), test)
 
 
 def classify_mlp(spark, sf_dir):
     from pyspark.ml import Pipeline
 
     train, test = _classes(spark, sf_dir)
-    stages = [*vectors.sentence_stages("text", dims=128), classify.perceptron(128, 4, iterations=50)]
+    stages = [*vectors.sentence_stages("text"), classify.perceptron(256, 4)]
     return _predicted(Pipeline(stages=stages).fit(train), test)
 
 

@@ -1,16 +1,15 @@
-"""Supervised models on document vectors or term counts."""
+"""Supervised models on document vectors; naive Bayes over words is in ``bayes``."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamhis.functions import fixed
 from tamhis.functions.vectors import as_array
-from tamhis.operators.vectors import count_stages
+from tamhis.operators.bayes import TextNaiveBayesModel
 
 RAW, PROBABILITY = "__raw_prediction", "probability"
 
@@ -22,14 +21,6 @@ def logistic(vec_col: str = "vec", label_col: str = "label", out: str = "predict
     )
 
 
-def naive_bayes(counts_col: str = "counts", label_col: str = "label", out: str = "prediction") -> NaiveBayes:
-    """Multinomial naive Bayes; its input must be counts, vectors with negative parts are refused."""
-    return NaiveBayes(
-        featuresCol=counts_col, labelCol=label_col, predictionCol=out, rawPredictionCol=RAW,
-        probabilityCol=PROBABILITY, modelType="multinomial", smoothing=1.0,
-    )
-
-
 def perceptron(
     dims: int, classes: int, nodes: int = 5, layers: int = 2, vec_col: str = "vec", label_col: str = "label",
     out: str = "prediction", iterations: int = 100,
@@ -41,27 +32,8 @@ def perceptron(
     )
 
 
-def naive_bayes_stages(counts: list, counts_col: str, label_col: str) -> list:
-    """Naive Bayes over the classes that occur: Spark numbers its outputs without gaps, so labels are indexed."""
-    index = StringIndexer(inputCol=label_col, outputCol="__class", handleInvalid="keep", stringOrderType="alphabetAsc")
-    return [index, *counts, naive_bayes(counts_col, "__class")]
-
-
-def fit_text_naive_bayes(df: DataFrame, text_col: str, label_col: str, **options) -> PipelineModel:
-    """Counts of tokens, then naive Bayes; ``label_col`` holds class numbers."""
-    stages = naive_bayes_stages(count_stages(text_col, **options), "counts", label_col)
-    return Pipeline(stages=stages).fit(df)
-
-
-def outcome(model: PipelineModel, prediction: str = "prediction") -> tuple[Column, Column]:
+def outcome(model: PipelineModel | TextNaiveBayesModel, prediction: str = "prediction") -> tuple[Column, Column]:
     """Predicted class number and probabilities by class number, from the columns that ``model`` adds."""
-    indexers = [stage for stage in model.stages if isinstance(stage, StringIndexerModel)]
-    shares = as_array(PROBABILITY)
-    if not indexers:
-        return F.col(prediction).cast("int"), shares
-    labels = [int(float(name)) for name in indexers[0].labels]
-    predicted = F.element_at(F.array(*[F.lit(n) for n in labels]), F.col(prediction).cast("int") + 1)
-    by_number = [
-        F.get(shares, F.lit(labels.index(n))) if n in labels else F.lit(0.0) for n in range(max(labels) + 1)
-    ]
-    return predicted, F.array(*by_number)
+    if isinstance(model, TextNaiveBayesModel):
+        return F.col(prediction), F.col(PROBABILITY)
+    return F.col(prediction).cast("int"), as_array(PROBABILITY)

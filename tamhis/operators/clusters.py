@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel, PowerIterationClustering
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tamhis.functions import fixed
 from tamhis.functions.vectors import array_of, as_vector
 from tamhis.operators.components import connected_components
-from tamhis.operators.neighbors import nearest_neighbors
+from tamhis.operators.neighbors import _distances, _matrix, nearest_neighbors
 from tamhis.operators.quality import ID
 from tamhis.session import pin, running_totals
 
@@ -29,39 +30,95 @@ def gaussian_mixture(k: int, vec_col: str = "reduced", out: str = "cluster") ->
     return GaussianMixture(featuresCol=vec_col, predictionCol=out, probabilityCol="probabilities", k=k, seed=fixed.SEED)
 
 
+def _forest(adjacent: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a two-sided graph: each row and column is met once."""
+    left_rows, left_cols = np.ones(len(a_ids), bool), np.ones(len(b_ids), bool)
+    edges = []
+    for start in range(len(a_ids)):
+        if not left_rows[start]:
+            continue
+        left_rows[start] = False
+        todo = [(start, True)]
+        while todo:
+            at, is_row = todo.pop()
+            near = np.flatnonzero((adjacent[at] & left_cols) if is_row else (adjacent[:, at] & left_rows))
+            (left_cols if is_row else left_rows)[near] = False
+            own = a_ids[at] if is_row else b_ids[at]
+            edges += [(int(own), int(other)) for other in (b_ids if is_row else a_ids)[near]]
+            todo += [(int(i), not is_row) for i in near]
+    return edges
+
+
+def _slab_pairs(points: DataFrame, eps: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Points in slabs of equal size along their first number, and the pairs of slabs that come within ``eps``.
+
+    The driver gets two numbers for each ``block_rows`` points.
+    """
+    first = F.element_at("vec", 1)
+    numbered = running_totals(points, [first, F.col("id")], {"__place": F.lit(1)})
+    slabs = pin(numbered.withColumn("slab", F.floor((F.col("__place") - 1) / block_rows).cast("int")).drop("__place"))
+    ends = sorted((r["slab"], r["low"], r["high"]) for r in slabs.groupBy("slab").agg(F.min(first).alias("low"), F.max(first).alias("high")).collect())
+    lows = np.array([low for _, low, _ in ends])
+    last = {slab: max(i, int(np.searchsorted(lows, high + eps, "right")) - 1) for i, (slab, _, high) in enumerate(ends)}
+    reach = slabs.sparkSession.createDataFrame([(s, int(e)) for s, e in last.items()] or [(0, 0)], "slab int, last int")
+    return slabs, reach.select(F.col("slab").alias("lo"), F.explode(F.sequence("slab", "last")).alias("hi"))
+
+
+def _by_slab_pair(slabs: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    """``work(ids, vectors, weights of either side, same slab)`` for each pair of slabs, as rows of ``schema``."""
+    pairs = F.broadcast(pairs)  # two numbers for each pair of neighbouring slabs
+    side = lambda end: slabs.join(pairs, F.col("slab") == F.col(end)).select(*[F.col(c).alias(c) for c in ("lo", "hi", "id", "vec", "weight")])
+    a, b = side("lo"), side("hi")
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+        same = one["lo"][0].as_py() == one["hi"][0].as_py()
+        sides = [(t["id"].to_numpy(), _matrix(t["vec"]), t["weight"].to_numpy()) for t in (one, two)]
+        rows = work(*sides, same)
+        return pa.table({"x": pa.array([int(r[0]) for r in rows], pa.int64()), "y": pa.array([int(r[1]) for r in rows], pa.int64())})
+
+    return a.groupBy("lo", "hi").cogroup(b.groupBy("lo", "hi")).applyInArrow(run, schema)
+
+
 def density_clusters(
     df: DataFrame, vec_col: str = "reduced", min_size: int = 50, min_points: int = 15, eps: float | None = None,
-    neighbors: int | None = None, metric: str = "euclidean", id_col: str = ID, method: str = "auto",
+    id_col: str = ID, block_rows: int = 4096, method: str = "lsh",
 ) -> DataFrame:
-    """``(doc_id, cluster)`` by DBSCAN* over a nearest-neighbour graph; noise is -1.
-
-    A point is core when its ``min_points - 1``-th neighbour lies within ``eps``. Core points are linked along
-    neighbour edges whose mutual reachability is at most ``eps``; linked groups of at least ``min_size`` points
-    are clusters, numbered by falling size. The graph has ``neighbors`` edges per point (``min_points`` by
-    default), however dense the data. Without ``eps`` the 90 % quantile of the core distances is used.
+    """``(doc_id, cluster)`` by DBSCAN*; noise is -1.
+
+    A row is core when at least ``min_points`` rows, itself counted, lie within ``eps`` (Euclidean). Core rows within ``eps``
+    of each other are linked; linked groups of at least ``min_size`` rows are clusters, numbered by falling size. Rows
+    that are not core, and those without a vector, are noise. Equal vectors are one point with a weight. Points lie in slabs along
+    their first number; slabs within ``eps`` are compared as matrices, and a comparison gives back counts or a
+    spanning forest of its links, never the pairs. Without ``eps`` the 90 % quantile of the distance to the
+    ``min_points - 1``-th neighbour is used, found by ``method``.
     """
-    k = max(neighbors or min_points, min_points - 1)
-    graph = pin(nearest_neighbors(df, k, vec_col, id_col, metric, method))
-    reach = graph.where(F.col("rank") == max(1, min_points - 1)).select("id", F.col("distance").alias("core"))
+    rows = df.select(F.col(id_col).alias("__doc"), array_of(df, vec_col).cast("array<double>").alias("vec"))
     if eps is None:
-        eps = reach.agg(F.percentile_approx("core", 0.9, 100_000)).first()[0] or 0.0
-    core = pin(reach.where(F.col("core") <= F.lit(float(eps))).select("id"))
-    linked = (
-        graph.where(F.col("distance") <= F.lit(float(eps)))
-        .join(core, "id", "left_semi")
-        .select(F.col("id").alias("src"), F.col("neighbor").alias("id"))
-        .join(core, "id", "left_semi")
-        .select("src", F.col("id").alias("dst"))
-    )
+        reach = nearest_neighbors(rows, max(1, min_points - 1), "vec", "__doc", "euclidean", method).where(F.col("rank") == max(1, min_points - 1))
+        eps = reach.agg(F.percentile_approx("distance", 0.9, 100_000)).first()[0]
+    limit = float(eps or 0.0) + 1e-9
+    points = pin(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("__doc").alias("id"), F.count(F.lit(1)).alias("weight")))
+    slabs, pairs = _slab_pairs(points, limit, block_rows)
+
+    def count(a, b, same):
+        near = _distances(a[1], b[1], "euclidean") <= limit
+        found = list(zip(a[0], near @ b[2], strict=True))
+        return found if same else found + list(zip(b[0], a[2] @ near, strict=True))
+
+    def link(a, b, same):
+        return _forest(_distances(a[1], b[1], "euclidean") <= limit, a[0], b[0])
+
+    counted = _by_slab_pair(slabs, pairs, count, "x bigint, y bigint").groupBy("x").agg(F.sum("y").alias("n"))
+    core = pin(counted.where(F.col("n") >= min_points).select(F.col("x").alias("id")))
+    linked = _by_slab_pair(slabs.join(core, "id"), pairs, link, "x bigint, y bigint").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     members = connected_components(core, linked)
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    sized = members.join(points.select("id", "weight"), "id")
+    sizes = sized.groupBy("component").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_size)
     numbered = running_totals(sizes, [F.desc("n"), F.asc("component")], {"place": F.lit(1)})
-    named = members.join(numbered, "component").select(
-        F.col("id").alias(id_col), (F.col("place") - 1).cast("int").alias("cluster")
-    )
-    return df.select(id_col).join(named, id_col, "left").select(
-        id_col, F.coalesce("cluster", F.lit(NOISE)).alias("cluster")
-    )
+    named = members.join(numbered, "component").join(points.select("id", "vec"), "id").select("vec", (F.col("place") - 1).cast("int").alias("cluster"))
+    return rows.join(named, "vec", "left").select(F.col("__doc").alias(id_col), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
 
 def ward_merge(points: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -92,18 +149,14 @@ def ward_merge(points: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def ward_clusters(df: DataFrame, k: int, vec_col: str = "reduced", micro: int = 256, id_col: str = ID) -> DataFrame:
-    """``(doc_id, cluster)``: Spark k-means into ``micro`` groups, then Ward merges over their centres.
+    """``(doc_id, cluster)``: Spark k-means into at most ``micro`` groups, then Ward merges over their centres.
 
-    Only ``micro`` centres and sizes reach the driver. When the table has at most ``micro`` rows the rows
-    themselves are merged, which is plain Ward.
+    Only ``micro`` centres and sizes reach the driver, whatever the number of rows; where there are no more distinct rows than ``micro``,
+    each is a group of its own and this is plain Ward.
     """
     vectors = df.select(id_col, as_vector(array_of(df, vec_col)).alias("__v"))
-    small = vectors.limit(micro + 1).orderBy(id_col).collect()
-    if len(small) <= micro:
-        points = np.array([row["__v"].toArray() for row in small])
-        found = ward_merge(points, np.ones(len(small)), k) if len(small) else []
-        rows = [(row[id_col], int(c)) for row, c in zip(small, found)]
-        return df.sparkSession.createDataFrame(rows, f"{id_col} bigint, cluster int")
+    if vectors.isEmpty():
+        return df.select(id_col, F.lit(NOISE).alias("cluster"))
     model: KMeansModel = kmeans(micro, "__v", "__m", 20).fit(vectors)
     grouped = model.transform(vectors).select(id_col, "__m")
     counted = {r["__m"]: r["n"] for r in grouped.groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -116,7 +169,7 @@ def ward_clusters(df: DataFrame, k: int, vec_col: str = "reduced", micro: int =
 
 def spectral_clusters(
     df: DataFrame, k: int, vec_col: str = "reduced", neighbors: int = 15, iterations: int = 20, id_col: str = ID,
-    method: str = "auto",
+    method: str = "lsh",
 ) -> DataFrame:
     """``(doc_id, cluster)`` by power iteration on the cosine neighbour graph, weights in [0, 1]."""
     graph = nearest_neighbors(df, neighbors, vec_col, id_col, "cosine", method)

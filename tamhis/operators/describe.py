@@ -57,13 +57,15 @@ def mmr_pick(similar: np.ndarray, mutual: np.ndarray, n: int, diversity: float)
 
 
 def diverse_terms(
-    words: DataFrame, vectors: DataFrame, centres: DataFrame, n: int = 15, diversity: float = 0.3, by: str = "topic"
+    words: DataFrame, vectors: DataFrame, centres: DataFrame, n: int = 15, diversity: float = 0.3, by: str = "topic",
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """``(topic, term, weight, rank)``: terms near the topic yet unlike each other.
 
-    ``words`` are the ranked candidates; the first ``CANDIDATES`` of a topic are weighed, so a group is small.
+    ``words`` are ranked; the first ``candidates`` of a topic are weighed against each other, the caller's choice of
+    how far down to look.
     """
-    rows = _candidates(words.where(F.col("rank") <= CANDIDATES), vectors, centres, by)
+    rows = _candidates(words.where(F.col("rank") <= candidates), vectors, centres, by)
     rows = rows.select(by, "term", F.col("vec").cast("array<double>"), F.col("centroid").cast("array<double>"))
     kind = rows.schema[by].dataType.simpleString()
 
@@ -102,6 +104,7 @@ def zero_shot_names(
 def describe_topics(
     words: DataFrame, vectors: DataFrame, centres: DataFrame, chain: Sequence[str], n: int = 15,
     diversity: float = 0.3, names: DataFrame | None = None, threshold: float = 0.5, by: str = "topic",
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """``(topic, term, weight, rank)`` after the chosen describers, in the listed order.
 
@@ -111,9 +114,9 @@ def describe_topics(
     out = words.select(by, "term", "weight", "rank")
     for step in (s.lower() for s in chain):
         if step == "keybert":
-            out = rerank_by_similarity(out, vectors, centres, CANDIDATES, by)
+            out = rerank_by_similarity(out, vectors, centres, candidates, by)
         elif step == "mmr":
-            out = diverse_terms(out, vectors, centres, n, diversity, by)
+            out = diverse_terms(out, vectors, centres, n, diversity, by, candidates)
         elif step == "zeroshot":
             if names is None:
                 raise ValueError("zeroshot needs a table of candidate names (name, vec)")

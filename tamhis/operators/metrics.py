@@ -12,10 +12,15 @@ from tamhis.session import running_totals
 
 
 def pair_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """``(y_true, y_pred, n)`` for the pairs that occur."""
-    return df.groupBy(F.col(truth).alias("y_true"), F.col(predicted).alias("y_pred")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """``(y_true, y_pred, n)`` for the pairs that occur; rows without a truth or a prediction cannot be judged and are left out."""
+    rows = df.select(F.col(truth).alias("y_true"), F.col(predicted).alias("y_pred")).where("y_true IS NOT NULL AND y_pred IS NOT NULL")
+    return rows.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unjudged(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``(metric, value)`` with the number of rows that the metrics leave out."""
+    missing = F.count_if(F.col(truth).isNull() | F.col(predicted).isNull())
+    return df.agg(missing.cast("double").alias("value")).select(F.lit("unjudged_rows").alias("metric"), "value")
 
 
 def _per_class(counts: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ def weighted_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """``(y_true, y_pred, n)`` for all pairs of the labels of both sides, zeros included."""
-    counts = pair_counts(df, truth, predicted).where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    counts = pair_counts(df, truth, predicted)
     sides = counts.agg(
         F.array_union(F.collect_set("y_true"), F.collect_set("y_pred")).alias("labels")
     )

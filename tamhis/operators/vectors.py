@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    PCA, IDF, HashingTF, Normalizer, RegexTokenizer, StandardScaler, StopWordsRemover, Word2Vec, Word2VecModel,
+    PCA, IDF, HashingTF, Normalizer, RegexTokenizer, StandardScaler, Word2Vec, Word2VecModel,
 )
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
@@ -110,14 +110,3 @@ def reduction_stages(method: str | None, dims: int, vec_col: str = "vec", out: s
 
 def fit_reduction(df: DataFrame, dims: int, vec_col: str = "vec", out: str = "reduced") -> PipelineModel:
     return Pipeline(stages=reduction_stages("pca", dims, vec_col, out)).fit(df)
-
-
-def count_stages(text_col: str, out: str = "counts", stop_words=(), vocabulary: int = 1 << 18, min_docs: float = 1.0):
-    """Tokens, stop words and term counts as ML stages."""
-    from pyspark.ml.feature import CountVectorizer
-
-    return [
-        tokenizer(text_col),
-        StopWordsRemover(inputCol="__tokens", outputCol="__kept", stopWords=list(stop_words) or [""], locale="en_US"),
-        CountVectorizer(inputCol="__kept", outputCol=out, vocabSize=vocabulary, minDF=min_docs),
-    ]

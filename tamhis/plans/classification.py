@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamhis.functions import fixed
-from tamhis.operators import classify, metrics, vectors
+from tamhis.operators import bayes, classify, metrics, vectors
 from tamhis.operators.quality import ID, encode_labels
-from tamhis.plans.cleaning import CLASSIFIER_FLAGS, clean_text, preprocess
+from tamhis.plans.cleaning import CLASSIFIER_FLAGS, clean_text, learn_vocabulary, preprocess
+from tamhis.session import pin
 from tamhis.sources import sinks
 
 
@@ -24,22 +26,22 @@ class ReviewClassifier:
         self.config = {**fixed.CLASSIFIER_DEFAULTS, "head": "mlp", "vector_dims": 256, "iterations": 100,
                        **args.get("model_config", {})}
         self.classes, self.id_col = dict(classes), id_col
-        self.model: PipelineModel | None = None
+        self.model: PipelineModel | bayes.TextNaiveBayesModel | None = None
+        self.vocabulary: DataFrame | None = None
         self._seen: DataFrame | None = None
 
     @property
     def _flags(self) -> dict:
         return {s: bool(self.data_args.get(s)) for s in fixed.CLEANING_STEPS}
 
-    def _labelled(self, df: DataFrame) -> DataFrame:
+    def _labelled(self, df: DataFrame, save_to: str | None = None) -> DataFrame:
         text, target = self.data_args["text_col"], self.data_args["target_col"]
-        out = encode_labels(preprocess(df, text, self._flags, id_col=self.id_col), target, self.classes, "__label")
+        clean = preprocess(df, text, self._flags, vocabulary=self.vocabulary, save_to=save_to, id_col=self.id_col)
+        out = encode_labels(clean, target, self.classes, "__label")
         return out.where(F.col("__label").isNotNull()).withColumn("__label", F.col("__label").cast("double"))
 
     def _stages(self) -> list:
         text, c = self.data_args["text_col"], self.config
-        if c["head"] == "nb":
-            return classify.naive_bayes_stages(vectors.count_stages(text, "__counts"), "__counts", "__label")
         stages = vectors.sentence_stages(text, dims=c["vector_dims"], out="__vec")
         if c["head"] == "lr":
             return [*stages, classify.logistic("__vec", "__label")]
@@ -49,16 +51,23 @@ class ReviewClassifier:
                                                  iterations=c["iterations"])]
         raise ValueError(f"unknown head {c['head']!r}; use mlp, lr or nb")
 
-    def train(self, df: DataFrame) -> PipelineModel:
-        self._seen = self._labelled(df)
-        self.model = Pipeline(stages=self._stages()).fit(self._seen)
+    def _fit(self) -> PipelineModel | bayes.TextNaiveBayesModel:
+        if self.config["head"] == "nb":
+            return bayes.fit_text_naive_bayes(self._seen, self.data_args["text_col"], "__label", id_col=self.id_col)
+        return Pipeline(stages=self._stages()).fit(self._seen)
+
+    def train(self, df: DataFrame) -> PipelineModel | bayes.TextNaiveBayesModel:
+        if self._flags["check_spelling"]:
+            self.vocabulary = pin(learn_vocabulary(df, self.data_args["text_col"], self._flags, id_col=self.id_col))
+        self._seen = pin(self._labelled(df, self.data_args.get("save_data_file")))
+        self.model = self._fit()
         return self.model
 
-    def retrain(self, df: DataFrame) -> PipelineModel:
+    def retrain(self, df: DataFrame) -> PipelineModel | bayes.TextNaiveBayesModel:
         """Fit anew on the labelled rows seen so far and the new ones."""
-        new = self._labelled(df)
+        new = pin(self._labelled(df))
         self._seen = new if self._seen is None else self._seen.unionByName(new)
-        self.model = Pipeline(stages=self._stages()).fit(self._seen)
+        self.model = self._fit()
         return self.model
 
     def _decoded(self, df: DataFrame, kept: list[str]) -> DataFrame:
@@ -70,17 +79,55 @@ class ReviewClassifier:
             table[F.col("__predicted")].alias("predicted"), F.col("__shares").alias("probabilities"),
         )
 
+    def _scored(self, df: DataFrame) -> DataFrame:
+        rows = self._labelled(df)
+        return self._decoded(rows, [*rows.columns]).withColumn("__label", F.col("__label").cast("int"))
+
     def evaluate(self, df: DataFrame, save_to: str | None = None, task: str = "Evaluation") -> DataFrame:
         """``(metric, value)`` on labelled rows; appended to a performance table when ``save_to`` is given."""
-        rows = self._labelled(df)
-        scored = self._decoded(rows, [*rows.columns]).withColumn("__label", F.col("__label").cast("int"))
-        result = metrics.weighted_metrics(scored, "__label", "predicted_id")
+        result = metrics.weighted_metrics(self._scored(df), "__label", "predicted_id")
         if save_to:
             sinks.append_performance(result, save_to, task)
         return result
 
+    def evaluation_tables(self, df: DataFrame) -> dict[str, DataFrame]:
+        """All tables of an evaluation: metrics, confusion cells, report per class, ROC points and its area."""
+        scored = pin(self._scored(df))
+        return {
+            "metrics": metrics.weighted_metrics(scored, "__label", "predicted_id"),
+            "confusion": metrics.confusion(scored, "__label", "predicted_id"),
+            "class_report": metrics.class_report(scored, "__label", "predicted_id", self.classes),
+            "roc_points": metrics.roc_points(scored, "__label", "probabilities"),
+            "roc_auc": metrics.roc_auc_micro(scored, "__label", "probabilities"),
+        }
+
+    def save(self, folder: str) -> str:
+        """Write the fitted head, the spelling vocabulary and the settings into a new folder."""
+        spark = self._seen.sparkSession
+        meta = {"data_args": self.data_args, "model_config": self.config, "classes": {str(k): v for k, v in self.classes.items()},
+                "id_col": self.id_col, "vocabulary": self.vocabulary is not None}
+        spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").write.text(f"{folder}/meta")
+        self.model.save(f"{folder}/model")
+        self._seen.write.parquet(f"{folder}/seen")
+        if self.vocabulary is not None:
+            self.vocabulary.write.parquet(f"{folder}/vocabulary")
+        return folder
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> ReviewClassifier:
+        meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
+        run = cls({"data_args": meta["data_args"], "model_config": meta["model_config"]}, {int(k): v for k, v in meta["classes"].items()}, meta["id_col"])
+        if run.config["head"] == "nb":
+            run.model = bayes.TextNaiveBayesModel.load(spark, f"{folder}/model")
+        else:
+            run.model = PipelineModel.load(f"{folder}/model")
+        run._seen = spark.read.parquet(f"{folder}/seen")
+        if meta["vocabulary"]:
+            run.vocabulary = spark.read.parquet(f"{folder}/vocabulary")
+        return run
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Input columns, cleaned text, predicted class and probabilities; no row is lost."""
-        clean = clean_text(df, self.data_args["text_col"], self._flags, id_col=self.id_col)
+        clean = clean_text(df, self.data_args["text_col"], self._flags, vocabulary=self.vocabulary, id_col=self.id_col)
         clean = clean.withColumn(self.data_args["text_col"], F.coalesce(F.col(f"`{self.data_args['text_col']}`"), F.lit("")))
         return self._decoded(clean, list(df.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamhis.functions import fixed
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID, check_quality
-from tamhis.operators.spelling import check_spelling
+from tamhis.operators.spelling import build_word_counts, check_spelling
 from tamhis.operators.translation import translate_english
 from tamhis.sources.sinks import write_reviews
 
@@ -67,6 +67,15 @@ def clean_text(
     return out.withColumn(text_col, clean_column(text_col, flags, steps=_AFTER, **options))
 
 
+def learn_vocabulary(
+    df: DataFrame, text_col: str, flags: Mapping[str, bool], stop_words=None, emoji_words=None, min_count: int = 5, id_col: str = ID,
+) -> DataFrame:
+    """``(word, freq)`` of the texts as they are when spelling is checked. Learned once, it corrects any later text alike."""
+    rows = check_quality(df, text_col, id_col)
+    early = rows.withColumn(text_col, clean_column(text_col, flags, stop_words, emoji_words, steps=_BEFORE))
+    return build_word_counts(early, text_col, min_count)
+
+
 def preprocess(
     df: DataFrame, text_col: str, flags: Mapping[str, bool], stop_words=None, emoji_words=None,
     vocabulary: DataFrame | None = None, translations: DataFrame | None = None, save_to: str | None = None,

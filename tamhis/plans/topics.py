@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tamhis.functions import fixed
 from tamhis.functions.vectors import array_of, as_vector
-from tamhis.operators import classify, clusters, describe, terms, topics, vectors
+from tamhis.operators import bayes, classify, clusters, describe, reports, terms, topics, vectors
+from tamhis.operators.coherence import coherence_by_topic
 from tamhis.operators.metrics import topic_metrics
 from tamhis.operators.quality import ID, encode_labels
 from tamhis.operators.reports import topic_similarity
-from tamhis.plans.cleaning import TOPIC_FLAGS, preprocess
+from tamhis.plans.cleaning import TOPIC_FLAGS, learn_vocabulary, preprocess
 from tamhis.session import pin
 from tamhis.sources import sinks
 from tamhis.sources.runs import RunRecorder
@@ -83,6 +84,7 @@ class TopicModel:
         self.config, self.text_col, self.id_col = config, text_col, id_col
         self.embedder, self.reducer, self.clusterer = embedder, reducer, clusterer
         self.names, self.centres, self.weights, self.words = names, centres, weights, words
+        self.vocabulary: DataFrame | None = None
 
     @property
     def kind(self) -> str:
@@ -124,14 +126,17 @@ class TopicModel:
         path = f"{folder.rstrip('/')}/{self.name}"
         spark = self.weights.sparkSession
         for part, stage in (("embedder", self.embedder.pipeline), ("reducer", self.reducer), ("clusterer", self.clusterer)):
-            if stage is not None:
+            if isinstance(stage, bayes.TextNaiveBayesModel):
+                stage.save(f"{path}/{part}")
+            elif stage is not None:
                 stage.write().overwrite().save(f"{path}/{part}")
-        tables = {"centres": self.centres, "weights": self.weights, "words": self.words, "word_vectors": self.embedder.words}
+        tables = {"centres": self.centres, "weights": self.weights, "words": self.words, "word_vectors": self.embedder.words,
+                  "vocabulary": self.vocabulary}
         for part, table in tables.items():
             if table is not None:
                 table.write.mode("overwrite").parquet(f"{path}/{part}")
         meta = {"config": self.config, "text_col": self.text_col, "id_col": self.id_col,
-                "names": {str(k): v for k, v in self.names.items()}}
+                "names": {str(k): v for k, v in self.names.items()}, "vocabulary": self.vocabulary is not None}
         spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").write.mode("overwrite").text(f"{path}/meta")
         return path
 
@@ -146,11 +151,16 @@ class TopicModel:
             spark.read.parquet(f"{path}/word_vectors") if embedding == "word" and kind != "nb" else None,
         )
         reducer = PipelineModel.load(f"{path}/reducer") if kind != "nb" else None
-        clusterer = PipelineModel.load(f"{path}/clusterer") if kind in ("kmeans", "lr", "nb") else None
+        clusterer = PipelineModel.load(f"{path}/clusterer") if kind in ("kmeans", "lr") else None
+        if kind == "nb":
+            clusterer = bayes.TextNaiveBayesModel.load(spark, f"{path}/clusterer")
         centres = spark.read.parquet(f"{path}/centres") if kind not in ("nb",) else None
         names = {int(k): v for k, v in meta["names"].items()}
-        return cls(config, meta["text_col"], embedder, reducer, clusterer, names, centres,
-                   spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/words"), meta["id_col"])
+        model = cls(config, meta["text_col"], embedder, reducer, clusterer, names, centres,
+                    spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/words"), meta["id_col"])
+        if meta.get("vocabulary"):
+            model.vocabulary = spark.read.parquet(f"{path}/vocabulary")
+        return model
 
 
 def fit_topics(
@@ -167,8 +177,7 @@ def fit_topics(
     if kind == "nb":
         embedder = Embedder(c, text_col)
         train = df.withColumn("__label", F.col(label_col).cast("double"))
-        counts = vectors.count_stages(text_col, "__counts", stop_words)
-        clusterer = Pipeline(stages=classify.naive_bayes_stages(counts, "__counts", "__label")).fit(train)
+        clusterer = bayes.fit_text_naive_bayes(train, text_col, "__label", stop_words, id_col)
     else:
         embedder = Embedder.fit(df, text_col, c)
         embedded = embedder.transform(df, id_col).persist(StorageLevel.MEMORY_AND_DISK)
@@ -195,11 +204,15 @@ def fit_topics(
         with_shares = topics.topic_probabilities(placed, model.centres, REDUCED)
         annotated = df.join(with_shares.select(id_col, TOPIC, "probabilities"), id_col)
 
+    annotated = pin(annotated)  # read by counts, descriptions, metrics, digests and writers
     # Terms come from single words; n-grams are kept out of the plan unless a range above 1 is set.
     low, high = c["ngram_range"]
     counts = terms.count_terms(annotated.where(F.col(TOPIC) != clusters.NOISE), text_col, TOPIC, stop_words, (low, high))
     model.weights = pin(terms.ctfidf(counts, TOPIC, "bm25", True))
     model.words = pin(_describe(model, reduced, annotated, c, text_col, id_col))
+    if kind != "nb":
+        reduced.unpersist()
+        embedded.unpersist()
     return annotated, model
 
 
@@ -265,6 +278,11 @@ class TopicExperiment:
     def _supervised(self) -> bool:
         return self.config["task"] in SUPERVISED
 
+    def _tables(self, tables: dict) -> dict:
+        """Cleaning tables with the model's own spelling vocabulary, so that a text is cleaned alike in any batch."""
+        known = self.model.vocabulary if self.model else None
+        return {"vocabulary": known, **tables} if known is not None else tables
+
     def cleaned(self, df: DataFrame, **tables) -> DataFrame:
         text = self.data_args["text_col"]
         out = preprocess(df, text, self._flags, id_col=self.id_col, **tables)
@@ -275,9 +293,13 @@ class TopicExperiment:
 
     def fit(self, df: DataFrame, recorder: RunRecorder | None = None, **tables) -> DataFrame:
         text, target = self.data_args["text_col"], self.data_args["target_col"]
-        data = pin(self.cleaned(df, **tables))
+        if self._flags["check_spelling"] and "vocabulary" not in tables:
+            options = {k: v for k, v in tables.items() if k in ("stop_words", "emoji_words")}
+            tables = {**tables, "vocabulary": pin(learn_vocabulary(df, text, self._flags, id_col=self.id_col, **options))}
+        data = pin(self.cleaned(df, save_to=self.data_args.get("save_data_file"), **tables))
         train = data.where(F.col(target).isNotNull()) if self._supervised else data
         annotated, self.model = fit_topics(train, self.config, text, target if self._supervised else None, id_col=self.id_col)
+        self.model.vocabulary = tables.get("vocabulary")
         metrics = topic_metrics(annotated, target, TOPIC) if self._supervised else None
         if recorder:
             recorder.params(self.config, self._flags)
@@ -290,11 +312,33 @@ class TopicExperiment:
             self.model.save(self.data_args["checkpoints_dir"])
         if self.data_args.get("results_dir"):
             sinks.write_topic_report(topics.topic_sizes(annotated), f"{self.data_args['results_dir']}/topic_report")
+        if self.data_args.get("visual_dir"):
+            for name, table in self.report_tables(annotated).items():
+                table.write.mode("overwrite").parquet(f"{self.data_args['visual_dir'].rstrip('/')}/{name}")
         return annotated
 
+    def report_tables(self, annotated: DataFrame) -> dict[str, DataFrame]:
+        """Tables behind the topic figures, by name; ``fit`` writes them under ``visual_dir``."""
+        text, target = self.data_args["text_col"], self.data_args["target_col"]
+        docs = annotated.where(F.col(TOPIC) != clusters.NOISE)
+        weights, words = self.model.weights, self.model.words
+        found = {
+            "topic_map": reports.topic_map(weights, topics.topic_sizes(docs)),
+            "topic_similarity": topic_similarity(weights),
+            "term_decline": reports.term_decline(weights, TOPIC, fixed.TOP_TERMS),
+            "topic_words": reports.topic_words(weights, TOPIC, 5),
+            "topic_distribution": reports.topic_distribution(docs, text, weights, by=TOPIC, id_col=self.id_col),
+            "coherence": coherence_by_topic(docs, text, words.select(TOPIC, "term", "rank"), by=TOPIC),
+        }
+        if self.model.kind != "nb":
+            found["document_map"] = reports.document_map(self.model.features(docs), REDUCED, TOPIC, id_col=self.id_col)
+        if target in annotated.columns:
+            found["topics_per_class"] = reports.topics_per_class(docs.where(F.col(target).isNotNull()), text, target, TOPIC)
+        return found
+
     def validation(self, df: DataFrame, recorder: RunRecorder | None = None, **tables) -> DataFrame:
         text, target = self.data_args["text_col"], self.data_args["target_col"]
-        data = self.model.transform(self.cleaned(df, **tables))
+        data = self.model.transform(self.cleaned(df, **self._tables(tables)))
         label = F.col(target) if target in data.columns else F.lit(None).cast("string")
         result = data.select(self.id_col, F.col(text).alias("review"), label.alias("label"), TOPIC)
         if recorder and self._supervised:
@@ -306,7 +350,7 @@ class TopicExperiment:
 
     def transform(self, df: DataFrame, **tables) -> DataFrame:
         text = self.data_args["text_col"]
-        data = preprocess(df, text, self._flags, id_col=self.id_col, **tables)
+        data = preprocess(df, text, self._flags, id_col=self.id_col, **self._tables(tables))
         result = self.model.transform(data).select(self.id_col, F.col(text).alias("review"), TOPIC)
         self._save(result, "test")
         return result

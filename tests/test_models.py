@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamhis.functions.vectors import as_vector
-from tamhis.operators import clusters, components, describe, neighbors, reports, topics, vectors
+from tamhis.operators import bayes, clusters, components, describe, neighbors, reports, topics, vectors
 from tamhis.plans.classification import ReviewClassifier
 from tamhis.plans.topics import TopicExperiment, TopicModel, fit_topics, settings
 from tamhis.sources.runs import RunRecorder
@@ -72,6 +72,55 @@ def test_density(spark):
     assert {label[0], label[60]} == {0, 1} and all(label[i] == -1 for i in range(120, 125))
 
 
+def plain_dbscan(points, min_points, eps, min_size):
+    x = np.asarray(points, float)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps + 1e-9
+    core = near.sum(1) >= min_points
+    label, groups = {}, []
+    for i in np.flatnonzero(core):
+        if i not in label:
+            todo, group = [i], set()
+            while todo:
+                j = todo.pop()
+                if j not in group:
+                    group.add(j)
+                    todo += list(np.flatnonzero(near[j] & core))
+            groups.append(group)
+            label.update({j: group for j in group})
+    return {frozenset(int(i) for i in g) for g in groups if len(g) >= min_size}
+
+
+def grouped(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r["cluster"], set()).add(r["doc_id"])
+    return {frozenset(v) for k, v in found.items() if k != -1}
+
+
+@pytest.mark.parametrize("block_rows", [7, 4096])
+def test_density_against_the_plain_way(spark, block_rows):
+    rng = np.random.default_rng(13)
+    stacks = np.repeat([[0.0, 0.0], [0.5, 0.0]], 30, axis=0)  # copies fill any list of nearest rows
+    chain = np.column_stack([np.arange(40) * 0.9 + 20, np.zeros(40)])
+    cloud = rng.uniform(0, 8, (120, 2)) + [0, 30]
+    copies = np.repeat([[100.0, 0.0]], 80, axis=0)
+    points = np.concatenate([stacks, chain, cloud, copies, [[500, 500]]])
+    for min_points, min_size in ((5, 50), (3, 10), (1, 1)):
+        got = clusters.density_clusters(frame(spark, points), "vec", min_size=min_size, min_points=min_points, eps=1.0, block_rows=block_rows).collect()
+        assert len(got) == len(points) and grouped(got) == plain_dbscan(points, min_points, 1.0, min_size)
+
+
+def test_neighbours_do_not_depend_on_partitions(spark):
+    x = np.random.default_rng(14).uniform(-1, 1, (2000, 8))
+    df = frame(spark, x)
+    rows = [sorted(map(tuple, neighbors.nearest_neighbors(d, 10, method="lsh", window_rows=256).collect())) for d in (df, df, df.repartition(13))]
+    assert rows[0] == rows[1] == rows[2]
+    exact = {(r["id"], r["neighbor"]) for r in neighbors.nearest_neighbors(df, 10, method="exact").collect()}
+    assert len(exact & {r[:2] for r in rows[0]}) >= 0.9 * len(exact)
+    with pytest.raises(ValueError):
+        neighbors.nearest_neighbors(df, 3, method="auto")
+
+
 def plain_ward(points, k):
     groups = [[i] for i in range(len(points))]
     x = np.asarray(points, float)
@@ -104,7 +153,8 @@ def test_spectral(spark):
     rng = np.random.default_rng(6)
     points = np.concatenate([rng.normal(c, 0.05, (30, 3)) for c in ((1, 0, 0), (0, 1, 0))])
     rows = clusters.spectral_clusters(frame(spark, points), 2, "vec", neighbors=8).collect()
-    assert len(rows) == 60 and {r["cluster"] for r in rows} <= {0, 1}
+    label = {r["doc_id"]: r["cluster"] for r in rows}
+    assert len(label) == 60 and {len({label[i] for i in range(s, s + 30)}) for s in (0, 30)} == {1} and label[0] != label[30]
 
 
 def test_pca_centres_and_keeps_variance(spark):
@@ -255,7 +305,8 @@ def test_unknown_techniques_are_refused():
 def test_topic_experiment(spark, tmp_path):
     args = {
         "data_args": {"check_spelling": False, "save_annotation": str(tmp_path / "annotated"),
-                      "results_dir": str(tmp_path / "results"), "checkpoints_dir": str(tmp_path / "models")},
+                      "results_dir": str(tmp_path / "results"), "checkpoints_dir": str(tmp_path / "models"),
+                      "save_data_file": str(tmp_path / "cleaned"), "visual_dir": str(tmp_path / "visual")},
         "model_config": {"task": "cls", "clustering_model_name": "lr", "vector_dims": 64, "n_components": 3, "ngram_range": (1, 1)},
     }
     run = TopicExperiment(args)
@@ -273,6 +324,9 @@ def test_topic_experiment(spark, tmp_path):
     for split, columns in (("train", {"Label", "topic"}), ("val", {"review", "label", "topic"}), ("test", {"review", "topic"})):
         assert columns <= set(spark.read.parquet(str(tmp_path / "annotated" / f"split={split}")).columns)
     assert spark.read.parquet(str(tmp_path / "results" / "topic_report")).count() > 0
+    assert spark.read.parquet(str(tmp_path / "cleaned")).count() == 60
+    for name in ("topic_map", "document_map", "topic_similarity", "term_decline", "topic_words", "topic_distribution", "topics_per_class", "coherence"):
+        assert spark.read.parquet(str(tmp_path / "visual" / name)).count() > 0, name
 
 
 def test_word_embedding_topics(spark):
@@ -293,5 +347,38 @@ def test_review_classifier(spark, head, tmp_path):
     extra = spark.createDataFrame([(900, "ممتاز جميل", None), (901, None, None)], "doc_id long, `Review Text` string, Label string")
     rows = {r["doc_id"]: r for r in run.predict(extra).collect()}
     assert len(rows) == 2 and abs(sum(rows[901]["probabilities"]) - 1) < 1e-6
-    run.retrain(reviews(spark, 20).withColumn("doc_id", F.col("doc_id") + 1000))
-    assert run.predict(extra).count() == 2
+    tables = run.evaluation_tables(reviews(spark))
+    assert tables["confusion"].where("y_true <> y_pred").agg(F.sum("n")).first()[0] <= 3
+    assert tables["class_report"].count() == 2 and tables["roc_points"].count() > 0 and tables["roc_auc"].first()["value"] > 0.95
+    again = ReviewClassifier.load(spark, run.save(str(tmp_path / "saved")))
+    predicted = lambda r: sorted((x["doc_id"], x["predicted"]) for x in r.predict(extra).collect())
+    assert predicted(again) == predicted(run)
+    again.retrain(reviews(spark, 20).withColumn("doc_id", F.col("doc_id") + 1000))
+    assert again.predict(extra).count() == 2
+
+
+def test_texts_are_cleaned_alike_alone_and_in_the_corpus(spark, tmp_path):
+    words = "خدمه سريعه ممتازه تطبيق جميل"
+    rows = [(i, words, "Positive" if i % 2 else "Issue") for i in range(8)]
+    rows = [(i, f"{t} {chr(1576 + i)}", y) for i, t, y in rows] + [(90, "خدمه سريعهه ممتازه", "Positive")]
+    df = spark.createDataFrame(rows, ["doc_id", "Review Text", "Label"])
+    run = ReviewClassifier({"data_args": {"check_spelling": True, "normalize": True}, "model_config": {"head": "nb"}})
+    run.train(df)
+    inside = run._seen.where("doc_id = 90").first()["Review Text"]
+    alone = run._labelled(df.where("doc_id = 90")).first()["Review Text"]
+    assert inside == alone and alone.split()[1] == "سريعه"
+    assert ReviewClassifier.load(spark, run.save(str(tmp_path / "m")))._labelled(df.where("doc_id = 90")).first()["Review Text"] == alone
+
+
+def test_naive_bayes_against_plain_sums(spark):
+    rows = [(0, "aa bb aa", 0), (1, "bb cc", 1), (2, "cc cc dd", 1), (3, None, 1), (4, "aa", None)]
+    df = spark.createDataFrame(rows, "doc_id long, t string, y int")
+    model = bayes.fit_text_naive_bayes(df, "t", "y", stop_words=("dd",))
+    counts, docs, words, size = {0: {"aa": 2, "bb": 1}, 1: {"bb": 1, "cc": 3}}, {0: 1, 1: 3}, {0: 3, 1: 4}, 3
+    tests = {10: "aa cc cc zz", 11: "", 12: "bb dd", 13: None}
+    got = {r["doc_id"]: r for r in model.transform(spark.createDataFrame(list(tests.items()), "doc_id long, t string")).collect()}
+    for i, text in tests.items():
+        known = [w for w in (text or "").split() if w in ("aa", "bb", "cc")]
+        scores = [np.log((docs[y] + 1) / 6) + sum(np.log((counts[y].get(w, 0) + 1) / (words[y] + size)) for w in known) for y in (0, 1)]
+        assert got[i]["prediction"] == int(np.argmax(scores))
+        assert np.allclose(got[i]["probability"], np.exp(scores) / np.exp(scores).sum())

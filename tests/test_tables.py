@@ -81,15 +81,24 @@ def distance(a, b):
 def test_spelling_equals_brute_force(spark):
     rng = random.Random(7)
     words = {"".join(rng.choice("abcdسع") for _ in range(rng.randint(1, 7))) for _ in range(150)}
-    vocabulary = {w: rng.randint(1, 9) for w in words}
-    tokens = sorted({"".join(rng.choice("abcdeسعé") for _ in range(rng.randint(1, 8))) for _ in range(250)} | {"z" * 30})
+    roots = ["".join(rng.choice("abcdسع") for _ in range(n)) for n in (22, 24, 25, 26, 27, 28, 40)]
+
+    def changed(word):
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word))
+            word = word[:at] + rng.choice(["", "x", "xe"]) + word[at + rng.randint(0, 1):]
+        return word
+
+    vocabulary = {w: rng.randint(1, 9) for w in words | set(roots) | {changed(r) for r in roots for _ in range(3)}}
+    tokens = sorted({"".join(rng.choice("abcdeسعé") for _ in range(rng.randint(1, 8))) for _ in range(250)} | {"z" * 30, "y" * 5000}
+                    | {changed(r) for r in roots for _ in range(12)})
     got = spelling.correct_tokens(
         spark.createDataFrame([(t,) for t in tokens], "token string"),
         spark.createDataFrame(list(vocabulary.items()), "word string, freq long"),
     )
     want = {}
     for t in tokens:
-        if t in vocabulary or len(t) > 25:
+        if t in vocabulary or len(t) > 100:
             continue
         near = [(-distance(t, w), f, w) for w, f in vocabulary.items() if distance(t, w) <= 2]
         if near:
@@ -147,6 +156,9 @@ def test_metrics(spark):
     assert got == {"accuracy": 0.75, "precision": 0.833333, "recall": 0.75, "f1_score": 0.65}
     grid = {(r["y_true"], r["y_pred"]): r["n"] for r in metrics.confusion(df, "y", "p").collect()}
     assert len(grid) == 9 and grid[(1, 0)] == 1 and grid[(1, 1)] == 0
+    holed = df.union(spark.createDataFrame([(None, None), (None, 1), (1, None)], "y int, p int"))
+    assert {r["metric"]: round(r["value"], 6) for r in metrics.weighted_metrics(holed, "y", "p").collect()} == got
+    assert metrics.unjudged(holed, "y", "p").first()["value"] == 3.0
     report = {r["name"]: r["support"] for r in metrics.class_report(df, "y", "p", fixed.CLASS_NAMES).collect()}
     assert report == {"Negative": 2, "Positive": 1, "Suggestion": 1}
 

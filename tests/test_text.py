@@ -1,6 +1,6 @@
 """Golden rows of the text rules and agreement with plain restatements on odd inputs."""
 
-import re
+import itertools
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -62,14 +62,54 @@ def test_null_stays_null(spark):
         assert df.select(rule(F.col("t"))).first()[0] is None
 
 
-# Restatements of the rules with Python's own Unicode classes.
+# Restatements of the rules as plain loops over Python strings.
+def _drop_links(t):
+    out, i = [], 0
+    while i < len(t):
+        stop = i
+        while stop < len(t) and not t[stop].isspace():
+            stop += 1
+        run = t[i:stop]
+        link = run.find("http")
+        if link >= 0 and len(run) == link + 4:
+            link = -1  # nothing follows
+        mail = next((k for k, ch in enumerate(run) if ch == "@" and 0 < k < len(run) - 1), -1)
+        # An address takes the whole run, a link begins where it stands; the one that begins first counts.
+        kept = "" if mail >= 0 and link != 0 else run[:link] if link >= 0 else run
+        out.append(kept)
+        if stop < len(t):
+            out.append(t[stop])
+        i = stop + 1
+    return "".join(out)
+
+
+def _single_chars(t):
+    return "".join(ch for i, ch in enumerate(t) if i == 0 or ch == "\n" or ch != t[i - 1])
+
+
+def _word(ch):
+    return ch.isalnum() or ch == "_"
+
+
+def _single_words(t):
+    parts = ["".join(group) for _, group in itertools.groupby(t, key=_word)]
+    out = []
+    for part in parts:
+        if _word(part[0]) and len(out) >= 2 and out[-2] == part:
+            out.pop()
+        else:
+            out.append(part)
+    return "".join(out)
+
+
 PLAIN = {
     "strip": (tx.strip_space, lambda t: t.strip()),
-    "url": (tx.remove_url_email, lambda t: re.sub(r"http\S+|\S+@\S+", "", t)),
-    "chars": (tx.collapse_repeated_chars, lambda t: re.sub(r"(.)\1+", r"\1", t)),
-    "words": (tx.collapse_repeated_words, lambda t: re.sub(r"\b(\w+)(?:\W+\1\b)+", r"\1", t)),
+    "url": (tx.remove_url_email, _drop_links),
+    "chars": (tx.collapse_repeated_chars, _single_chars),
+    "words": (tx.collapse_repeated_words, _single_words),
     "long": (tx.remove_long_words, lambda t: " ".join(w for w in t.split(" ") if len(w) < 10)),
-    "tokens": (lambda c: F.array_join(tx.word_tokens(c, 2, False), "|"), lambda t: "|".join(re.findall(r"\b\w\w+\b", t))),
+    "tokens": (lambda c: F.array_join(tx.word_tokens(c, 2, False), "|"),
+               lambda t: "|".join(w for w in ("".join(g) for k, g in itertools.groupby(t, key=_word) if k) if len(w) > 1)),
 }
 ALPHABET = "aab  @@.:/httpé ّ\n\t\x1c_1²جيدا😀"
 
