@@ -13,9 +13,18 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 def _pattern(markup: str) -> str:
     """The markup as a pattern over words that each end in one blank."""
-    words = re.sub(r"<<var;words=(\d+)-(\d+)>>", r"(?:[^\\s]+ ){\1,\2}", markup.replace("<<beginOptional>>", "(?: ").replace("<<endOptional>>", " )?"))
-    spaced = re.sub(r"(?<![\w\\^+}{,?:)(])([a-z0-9]+)(?![\w,}])", r"\1@", words)
-    return " " + spaced.replace(" ", "").replace("(?:[^\\s]+)", "(?:[^ ]+ )").replace("@", " ")
+    out = " "
+    for part in re.split(r"(<<.*?>>)", markup):
+        if part == "<<beginOptional>>":
+            out += "(?:"
+        elif part == "<<endOptional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            low, high = re.findall(r"\d+", part)
+            out += f"(?:[^ ]+ ){{{low},{high}}}"
+        else:
+            out += "".join(f"{word} " for word in part.split())
+    return out
 
 
 def op1() -> str:
