@@ -149,6 +149,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return stored(scored.where(F.col("similarity") >= threshold), "links")
 
 
+def _families(met: DataFrame, best: DataFrame) -> DataFrame:
+    """``(node, family)``: what hangs together by common leaders.
+
+    Every node goes with its central leader, so only leaders are left to join: those that one node has met, and a leader
+    with its own central leader.
+    """
+    leaders = met.select(F.col("leader").alias("id")).distinct()
+    side = met.join(best.select("node", "centre"), "node").where("leader <> centre").select(F.col("centre").alias("src"), F.col("leader").alias("dst")).distinct()
+    own = best.join(leaders, F.col("node") == F.col("id")).select(F.col("node").alias("src"), F.col("centre").alias("dst"))
+    tops = connected_components(leaders, side.union(own)).select("id", F.col("component").alias("family"))
+    return best.join(tops, F.col("centre") == F.col("id")).select("node", "family").union(tops).distinct()
+
+
 def _family_links(families: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``(src, dst, similarity)`` of all linked pairs of different ``label`` in one ``family``.
 
@@ -223,15 +236,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         F.count(F.lit(1)).alias("times"), F.first("central").alias("central"), F.first("n").alias("n"), F.first("c").alias("c"))
     met = stored(met, "met")
     often, centre = F.max(F.struct("times", "central", "leader")), F.max(F.struct("central", "times", "leader"))
-    best = met.groupBy("node").agg(F.array_distinct(F.array(often["leader"], centre["leader"])).alias("leaders"))
-    edges = _verified(best.select(F.explode("leaders").alias("a"), F.col("node").alias("b")), texts, k, threshold)
+    best = stored(met.groupBy("node").agg(often["leader"].alias("often"), centre["leader"].alias("centre")), "best")
+    pairs = best.select(F.explode(F.array_distinct(F.array("often", "centre"))).alias("a"), F.col("node").alias("b"))
+    edges = _verified(pairs, texts, k, threshold)
 
     def labels(links: DataFrame) -> DataFrame:
         ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         return connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
     first = labels(edges.select("src", "dst"))
-    family = labels(met.select(F.col("node").alias("src"), F.col("leader").alias("dst"))).withColumnRenamed("label", "family")
+    family = _families(met, best)
     sized = prefixes.select("node", "n", "c").distinct()
     current = stored(family.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sized, "node"), "current")
     open_ = current.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("family")
