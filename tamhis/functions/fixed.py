@@ -73,7 +73,7 @@ TOPIC_DEFAULTS = {
     "task": "unsupervised", "n_topics": 5, "min_topic_size": 50,
     "candidate_topics": ("positive", "negative", "issue", "suggestion", "question"),
     "embd_technique": "sent", "max_length": 30, "dim_model_name": "pca", "n_components": 5,
-    "clustering_model_name": "kmeans", "representation_model_list": ("mmr",),
+    "clustering_model_name": "kmeans", "representation_model_list": ("keyBERT", "mmr", "zeroshot"),
     "ngram_range": (1, 3), "diversity": 0.3,
 }
 CLASSIFIER_DEFAULTS = {"max_len": 30, "n_nodes": 5, "n_layers": 2}

@@ -56,10 +56,10 @@ class TextNaiveBayesModel:
             by_number.alias("probability"))
 
     def save(self, path: str) -> None:
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        self.terms.write.parquet(f"{path}/terms")
+        self.totals.write.parquet(f"{path}/totals")
         meta = self.terms.sparkSession.createDataFrame([(self.text_col, self.id_col, list(self.stop_words))], "text_col string, id_col string, stop_words array<string>")
-        meta.write.mode("overwrite").parquet(f"{path}/meta")
+        meta.write.parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextNaiveBayesModel:

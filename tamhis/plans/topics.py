@@ -123,21 +123,22 @@ class TopicModel:
         return found.select(*kept, TOPIC)
 
     def save(self, folder: str) -> str:
+        """Write the model under its name into ``folder``; a model that is there already is refused, as it may be in use."""
         path = f"{folder.rstrip('/')}/{self.name}"
         spark = self.weights.sparkSession
         for part, stage in (("embedder", self.embedder.pipeline), ("reducer", self.reducer), ("clusterer", self.clusterer)):
             if isinstance(stage, bayes.TextNaiveBayesModel):
                 stage.save(f"{path}/{part}")
             elif stage is not None:
-                stage.write().overwrite().save(f"{path}/{part}")
+                stage.write().save(f"{path}/{part}")
         tables = {"centres": self.centres, "weights": self.weights, "words": self.words, "word_vectors": self.embedder.words,
                   "vocabulary": self.vocabulary}
         for part, table in tables.items():
             if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{part}")
+                table.write.parquet(f"{path}/{part}")
         meta = {"config": self.config, "text_col": self.text_col, "id_col": self.id_col,
                 "names": {str(k): v for k, v in self.names.items()}, "vocabulary": self.vocabulary is not None}
-        spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").write.mode("overwrite").text(f"{path}/meta")
+        spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").write.text(f"{path}/meta")
         return path
 
     @classmethod

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tamhis.functions import fixed
 from tamhis.operators.quality import ID
+from tamhis.session import running_totals
 
 
 def review_schema(text_col: str = "Review Text", label_col: str | None = "Label") -> T.StructType:
@@ -22,23 +23,29 @@ def missing_to_null(name: str) -> Column:
     return F.when(~F.col(f"`{name}`").isin(*fixed.NA_TOKENS), F.col(f"`{name}`")).alias(name)
 
 
-def read_reviews(spark: SparkSession, path, schema: T.StructType | None = None, id_col: str = ID) -> DataFrame:
-    """Reviews from CSV with a header; quoted cells may span lines, missing-like cells become null.
+def read_reviews(spark: SparkSession, path, schema: T.StructType | None = None, id_col: str = ID, multi_line: bool = True) -> DataFrame:
+    """Reviews from CSV with a header; missing-like cells become null.
 
-    A file without an id column gets one from its position. Write the result as Parquet to fix the ids before
-    the files are moved or split differently.
+    The columns of ``schema`` must be there and get its types; further columns are kept as strings. With ``multi_line`` quoted
+    cells may span lines and a file is one task; without it files are split. A file without an id column gets one: the
+    number of the record in the order of file name and place, which is the same however the files are split or packed.
     """
     schema = schema or review_schema()
     raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
-        .option("enforceSchema", False).schema(schema).csv(path)
+        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("quote", '"')
+        .option("inferSchema", False).csv(path)
     )
-    cells = [
-        missing_to_null(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in schema
-    ]
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {missing} in {raw.columns}")
+    types = {f.name: f.dataType for f in schema}
+    cells = [missing_to_null(c).cast(types.get(c, T.StringType())).alias(c) for c in raw.columns]
     if id_col in raw.columns:
-        return raw.select(*cells)
-    return raw.select(F.monotonically_increasing_id().alias(id_col), *cells)
+        return raw.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if c == id_col and c not in types else cell for c, cell in zip(raw.columns, cells)])
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    placed = raw.select(*cells, *place).withColumn("__record", F.monotonically_increasing_id())
+    numbered = running_totals(placed, [F.col("__file"), F.col("__start"), F.col("__record")], {"__number": F.lit(1)})
+    return numbered.select((F.col("__number") - 1).cast("bigint").alias(id_col), *[F.col(f"`{c}`") for c in raw.columns])
 
 
 def _read_map(spark: SparkSession, path: str) -> DataFrame:

@@ -290,6 +290,8 @@ def test_fit_topics(spark, kind, tmp_path):
     if kind in ("kmeans", "lr", "nb"):
         assert again == {r["doc_id"]: r["topic"] for r in rows}
     path = model.save(str(tmp_path))
+    with pytest.raises(Exception, match="exists|EXISTS"):
+        model.save(str(tmp_path))
     loaded = TopicModel.load(spark, path)
     assert {r["doc_id"]: r["topic"] for r in loaded.transform(df).collect()} == again
 

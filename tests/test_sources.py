@@ -21,6 +21,26 @@ def test_read_reviews(spark, tmp_path):
     assert one.columns == ["doc_id", "Review Text", "Label"]
 
 
+def test_reviews_keep_further_columns_and_ids(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(3):
+        lines = [f"text {part} {i},Issue,{'' if i % 5 else 'note'}" for i in range(200)]
+        (folder / f"r{part}.csv").write_text("Review Text,Label,Note\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    whole = sorted(map(tuple, readers.read_reviews(spark, str(folder)).collect()))
+    assert [r[0] for r in whole] == list(range(600)) and [r[1] for r in whole[:2]] == ["text 0 0", "text 0 1"]
+    assert {r[3] for r in whole} == {"note", None}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        split = readers.read_reviews(spark, str(folder), multi_line=False)
+        assert sorted(map(tuple, split.collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    with pytest.raises(ValueError):
+        readers.read_reviews(spark, str(folder), readers.review_schema("Absent", None))
+
+
 def test_mappings(spark, tmp_path):
     classes = tmp_path / "c.json"
     classes.write_text('{\n "0": "Negative",\n "3": "Issue"\n}', encoding="utf-8")
