@@ -408,6 +408,18 @@ def all_oracles() -> dict[str, str]:
             comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
             num AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS k FROM comp GROUP BY c HAVING count(*) >= 2)
             SELECT e.id AS doc_id, coalesce(num.k, -1)::INTEGER AS cluster FROM e LEFT JOIN comp ON comp.a = e.id LEFT JOIN num ON num.c = comp.c""",
+        "table_digest": f"""SELECT count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', {', '.join(
+            f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ('doc_id', 'text', 'lang', 'source', 'n_chars'))})), 1, 15))::BIGINT)::VARCHAR AS digest
+            FROM documents""",
+        "word_position_vectors": f"""WITH src AS (SELECT doc_id, {TOKENS} AS w, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+            holds AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(w) AS term FROM src)),
+            cell AS (SELECT doc_id, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM src),
+            mean AS (SELECT term, i, avg(v) AS v FROM holds JOIN cell USING (doc_id) GROUP BY term, i),
+            top AS (SELECT term, max(v) AS m FROM mean GROUP BY term),
+            head AS (SELECT doc_id, unnest(w[1:30]) AS term, generate_subscripts(w[1:30], 1) AS pos FROM src)
+            SELECT src.doc_id, 1920::INTEGER AS width, round(greatest(max(m), CASE WHEN count(m) < 30 THEN 0 ELSE max(m) END), 6) AS largest,
+            round(coalesce(max(m) FILTER (pos = 1), 0), 6) AS first
+            FROM src LEFT JOIN head ON head.doc_id = src.doc_id LEFT JOIN top USING (term) GROUP BY src.doc_id""",
         "coherence_cv": _coherence_sql(),
         "rerank_terms": f"""WITH {DESCRIBED},
             sc AS (SELECT c.lang, t.term, {COSINE} AS weight FROM cand JOIN tvec t USING (term) JOIN centre c ON c.lang = cand.lang AND c.i = t.i GROUP BY c.lang, t.term)

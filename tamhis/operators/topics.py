@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tamhis.functions.vectors import array_of, as_array, as_vector
 from tamhis.operators.clusters import NOISE
-from tamhis.operators.neighbors import nearest_exact
+from tamhis.operators.neighbors import PLACES, nearest_exact
 from tamhis.operators.quality import ID
 from tamhis.session import pin, small
 
@@ -68,7 +68,8 @@ def nearest_centroid(
     def nearest(vecs: pd.Series) -> pd.DataFrame:
         best, far = [], []
         for start in range(0, len(vecs), step):
-            d = _distance_rows(vecs.iloc[start : start + step], matrix)
+            # Rounded as in the block way, so that both break ties alike.
+            d = np.round(_distance_rows(vecs.iloc[start : start + step], matrix), PLACES)
             place = d.argmin(axis=1)
             best.append(ids[place])
             far.append(d[np.arange(len(d)), place])

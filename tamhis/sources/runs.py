@@ -17,8 +17,13 @@ def enabled_steps(flags: Mapping[str, bool]) -> list[str]:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """``(rows, digest)``: row count and an order-free sum of row hashes."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    """``(rows, digest)``: row count and an order-free sum of row hashes, the first 60 bits of an MD5 of all cells.
+
+    Each cell carries its length, and a null is not an empty string.
+    """
+    text = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("decimal(38,0)").alias("digest"))
 
 
