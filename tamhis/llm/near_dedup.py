@@ -163,11 +163,11 @@ def _families(met: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def _family_links(families: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """``(src, dst, similarity)`` of all linked pairs of different ``label`` in one ``family``.
+    """``(src, dst)``: labels in one ``family`` that a linked pair of nodes joins; a pair of labels once for each task.
 
     ``families`` has ``family, node, label, n, c, all``. A family is dealt into blocks of about ``block`` nodes, and each pair of blocks is
-    one group of two bounded sides. Overlaps are counted array by array and only links leave the task, so the pairs
-    of a family of near misses, which can be many, are never rows.
+    one group of two bounded sides. Overlaps are counted array by array and only joined labels leave the task, so the
+    pairs of a family of near misses, which can be many, are never rows.
     """
     sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -177,7 +177,7 @@ def _family_links(families: DataFrame, threshold: float, block: int = BLOCK) ->
     right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).select(*[F.col(x).alias(x) for x in columns])
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found: set[tuple[int, int]] = set()
         if one.num_rows and two.num_rows:
             same = one["i"][0].as_py() == one["j"][0].as_py()
             node, label, n, c = (two[x].to_numpy() for x in ("node", "label", "n", "c"))
@@ -194,13 +194,12 @@ def _family_links(families: DataFrame, threshold: float, block: int = BLOCK) ->
                 starts = np.concatenate([[0], np.cumsum(n[able])[:-1]])
                 common = np.add.reduceat((ordered[at] == flat).astype(np.int64), starts)
                 for k in able[common >= threshold / (1 + threshold) * (n[able] + a_n) - 1e-9]:
-                    similarity = aligned_similarity(own, sets[k], threshold)
-                    if similarity >= threshold:
-                        for out, value in zip(found, (a, int(node[k]), similarity), strict=True):
-                            out.append(value)
-        return pa.table({"src": pa.array(found[0], pa.int64()), "dst": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
+                    joined = (a_label, int(label[k]))
+                    if joined not in found and aligned_similarity(own, sets[k], threshold) >= threshold:
+                        found.add(joined)
+        return pa.table({"src": pa.array([x for x, _ in found], pa.int64()), "dst": pa.array([y for _, y in found], pa.int64())})
 
-    return left.groupBy("family", "i", "j").cogroup(right.groupBy("family", "i", "j")).applyInArrow(compare, "src long, dst long, similarity double")
+    return left.groupBy("family", "i", "j").cogroup(right.groupBy("family", "i", "j")).applyInArrow(compare, "src long, dst long")
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -251,9 +250,10 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     open_ = current.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("family")
     current = stored(current.join(open_, "family"), "open")
     wanted = texts.join(small(current.select("node")), "node", "left_semi")
-    more = stored(_family_links(current.join(_shingled(wanted, k), "node"), threshold), "family-links")
-    latest = first if more.isEmpty() else labels(edges.select("src", "dst").union(more.select("src", "dst")))
-    labelled_nodes = nodes.select("key", "node", "least_id", "copies").join(latest, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = stored(_family_links(current.join(_shingled(wanted, k), "node"), threshold).distinct(), "family-links")
+    joined = labels(more).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    labelled_nodes = nodes.select("key", "node", "least_id", "copies").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled_nodes = labelled_nodes.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
     classes = labelled_nodes.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_key = labelled_nodes.select("key", "label").join(classes, "label").select("key", "class_id", "class_size")
     known = rows.where("n > 0").select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id", "class_size")
