@@ -75,21 +75,17 @@ def _lines(value: Column) -> Column:
 def frequent_lines(docs: DataFrame, host: str, text: str, max_share: float = 0.05, min_docs: int = 10) -> DataFrame:
     """``(host, h, n_docs)``: normalised lines in more than ``max_share`` of a host's documents and at least ``min_docs``.
 
-    Distinct documents are counted by what they hold besides the line: by their least other line hash (0 if there is
-    none). Copies and near copies of one document so count once, however many there are, and a line is frequent only
-    if it stands in many different documents. A host's documents are counted in the same way, by their least line
-    hash. Counts are combined in each task first and dealt out by (host, line, document), so neither a hot host nor
-    a hot line meets in one task.
+    Distinct documents are distinct texts, told apart by the MD5 of the whole text: exact copies count once, however
+    many there are, and nothing else is merged. A host's documents are counted in the same way, those with a line.
+    Counts are combined in each task first and dealt out by (host, line, document), so neither a hot host nor a hot
+    line meets in one task.
     """
     # The optimizer must not copy the line hashes into each use, hence the one-element explode.
-    hashes = F.array_sort(F.array_distinct(F.transform(_lines(F.col(text)), line_hash)))
-    rows = docs.select(F.col(host).alias("host"), F.explode(F.array(hashes)).alias("hs")).where(F.size("hs") > 0)
-    least = F.get("hs", F.lit(0))
-    marks = F.concat(
-        F.array(F.struct(F.lit(None).cast("bigint").alias("h"), least.alias("doc"))),
-        F.transform("hs", lambda h: F.struct(
-            h.alias("h"), F.when(h == least, F.coalesce(F.get("hs", F.lit(1)), F.lit(0))).otherwise(least).alias("doc"))))
-    counted = rows.select("host", F.inline(marks)).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
+    hashes = F.array_distinct(F.transform(_lines(F.col(text)), line_hash))
+    rows = docs.select(F.col(host).alias("host"), F.unhex(F.md5(F.col(text))).alias("doc"), F.explode(F.array(hashes)).alias("hs")).where(F.size("hs") > 0)
+    # The null line stands for the document itself.
+    marks = F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("hs"))).alias("h")
+    counted = rows.select("host", "doc", marks).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
     counted = stored(counted.where((F.col("n_docs") >= min_docs) | F.col("h").isNull()), "lines")
     totals = counted.where(F.col("h").isNull()).select(F.col("host").alias("of"), F.col("n_docs").alias("total"))
     return counted.where(F.col("h").isNotNull()).join(small(totals), F.col("host").eqNullSafe(F.col("of"))).where(

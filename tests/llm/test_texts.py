@@ -56,6 +56,24 @@ def test_quality_rules(spark, rows, extra):
         assert by_id[200]["removed_words"] == 0 and by_id[200]["kept"]  # copies of one document do not make a line frequent
 
 
+def test_frequent_passages_by_brute_force(spark):
+    """Passages of several lines in otherwise different documents: a document is a text, whatever lines it shares."""
+    words = ["red", "green", "blue", "grey", "black", "white", "pink", "brown"]
+    name = lambda i: " ".join(words[i >> 3 * k & 7] for k in range(4))
+    passage = [f"Passage line {w} stands here" for w in words[:6]]
+    texts = [("a", "\n".join([f"{name(8 * i + k)} in own line" for k in range(3)] + (passage if i % 10 == 0 else []))) for i in range(150)]
+    texts += [("a", texts[0][1])] * 40 + [("b", "copied line\nof one text")] * 60 + [(None, f"{name(i)} here\nshared line") for i in range(12)]
+    rows = [(i, t, "en", host, 1) for i, (host, t) in enumerate(texts)]
+    got = {(r["host"], r["h"]): r["n_docs"] for r in quality_rules.frequent_lines(cases.documents(spark, rows), "source", "text").collect()}
+    hashes = dict(map(tuple, spark.createDataFrame([(x,) for x in {x for _, t in texts for x in t.split("\n")}], "x string").select("x", quality_rules.line_hash(F.col("x"))).collect()))
+    want = {}
+    for host in {h for h, _ in texts}:
+        own = {t for h, t in texts if h == host}
+        holding = {hashes[x]: sum(x in t.split("\n") for t in own) for t in own for x in t.split("\n")}
+        want |= {(host, h): n for h, n in holding.items() if n >= 10 and n > 0.05 * len(own)}
+    assert got == want and {("a", hashes[x]) for x in passage} <= set(got) and (None, hashes["shared line"]) in got
+
+
 def test_quality_filters_and_edits(spark):
     rows = [*cases.ROWS, *[(300 + i, cases.LINE * 3, "en", "hot", 1) for i in range(2)]]
     docs = cases.documents(spark, rows, True)
