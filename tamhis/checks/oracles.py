@@ -343,6 +343,7 @@ def all_oracles() -> dict[str, str]:
         "untranslated_texts": f"""SELECT DISTINCT text AS source_text FROM documents WHERE {EN.format(c='text')}
             AND text NOT IN (SELECT source_text FROM ({MEMORY}))""",
         "spelling_fix": _spelling_sql(),
+        "spelling_documents": _spelling_sql().replace("benchmark", "documents").replace("item_id", "doc_id"),
         "count_terms": f"SELECT doc_id, term, count(*) AS n FROM {term_rows('doc_id')} WHERE term NOT IN {stop} GROUP BY doc_id, term",
         "ngrams": f"""WITH tok AS (SELECT lang, list_filter({TOKENS}, lambda w: w NOT IN {stop}) AS w FROM documents), g AS ({grams})
             SELECT lang, term, count(*) AS n FROM g GROUP BY lang, term""",

@@ -14,7 +14,7 @@ from tamhis.operators import (
     bayes, classify, clusters, coherence, describe, encoding, metrics, neighbors, quality, reports, spelling, terms, topics,
     translation, vectors,
 )
-from tamhis.plans.cleaning import clean_column, flags_from, preprocess
+from tamhis.plans.cleaning import clean_column, clean_text, flags_from, preprocess
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC = "اإأآبىتثجحخةدذرزسشصؤضطگظعغ"
@@ -25,6 +25,7 @@ CHAIN = flags_from(
     ("normalize", "remove_url_email", "remove_punct", "remove_repeated_chars", "remove_repeated_words",
      "remove_long_words", "remove_english", "remove_stopwords", "stem")
 )
+FULL_CHAIN = flags_from(fixed.CLEANING_STEPS)
 MINIMUM_SLICE = flags_from(("remove_url_email", "remove_punct", "remove_repeated_chars", "remove_repeated_words"))
 
 
@@ -129,6 +130,17 @@ def spelling_fix(spark, sf_dir):
     return spelling.check_spelling(texts, "text", spelling.build_word_counts(documents(spark, sf_dir), "text", 5), id_col="item_id")
 
 
+def spelling_documents(spark, sf_dir):
+    return spelling.check_spelling(documents(spark, sf_dir).select("doc_id", "text"), "text")
+
+
+def full_chain(spark, sf_dir):
+    """All cleaning steps, spelling and segments too; some letters are emoji first."""
+    smiling = F.translate("text", EMOJI_FROM, EMOJI_TO)
+    docs = documents(spark, sf_dir).select("doc_id", F.translate(smiling, LATIN, ARABIC).alias("text"))
+    return clean_text(docs, "text", FULL_CHAIN, emoji_words=EMOJI_WORDS)
+
+
 def _counts(spark, sf_dir, by="lang", **options):
     return terms.count_terms(documents(spark, sf_dir), "text", by, **options)
 
@@ -467,7 +479,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         topic_distribution, topics_per_class, weighted_metrics, confusion, confusion_wide, class_report, roc_points,
         roc_micro, metrics_on_topics, coherence_cv, rerank_terms, mmr_terms, zero_shot_names, sentence_vectors,
         word_position_vectors, pca_vectors, document_map, kmeans_topics, mixture_topics, density_topics, ward_topics,
-        spectral_topics, reduce_topics, classify_lr, classify_nb, classify_mlp, table_digest,
+        spectral_topics, reduce_topics, classify_lr, classify_nb, classify_mlp, table_digest, spelling_documents, full_chain,
     ):
         found[query.__name__] = query
     return found

@@ -1,12 +1,15 @@
 """Set-level rules: quality, labels, spelling, translation, terms, encoding, metrics."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tamhis.checks import queries
 from tamhis.functions import fixed
 from tamhis.operators import coherence, encoding, metrics, quality, spelling, terms, translation
+from tamhis.plans import cleaning
 from tamhis.plans.cleaning import flags_from, preprocess
 from tamhis.session import running_totals
 
@@ -114,6 +117,31 @@ def test_spelling_of_texts(spark):
     assert got == {1: "hello world the", 2: "helo", 3: "hello  world xxxxxxx", 4: None, 5: ""}
 
 
+def test_full_chain_by_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    roots = ["".join(rng.choice("bcdefghijlmnoprstuwyz") for _ in range(rng.randint(4, 8))) for _ in range(30)]
+    texts = [" ".join(r[:1] + rng.choice(["", "ea"]) + r[2:] if rng.random() < 0.1 else r for r in rng.choices(roots, k=30)) for _ in range(40)]
+    texts += [texts[0]] * 5 + [None, "", "x", roots[0] + " " + "a" * 40 + " x vvk, " + roots[1] + "!!!"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in queries.full_chain(spark, str(tmp_path)).collect()}
+    source = F.translate(F.translate("text", queries.EMOJI_FROM, queries.EMOJI_TO), queries.LATIN, queries.ARABIC)
+    steps = fixed.CLEANING_STEPS
+    at = steps.index("check_spelling")
+    early = rows.select("doc_id", cleaning.clean_column(source, queries.FULL_CHAIN, emoji_words=queries.EMOJI_WORDS, steps=steps[:at]).alias("text"))
+    split = {r["doc_id"]: r["text"].split(" ") if r["text"] is not None else None for r in early.collect()}
+    seen = Counter(w for ws in split.values() for w in ws or [] if w)
+    known = {w: n for w, n in seen.items() if n >= 5}
+    fixes = {}
+    for t in seen.keys() - known.keys():
+        near = [(-distance(t, w), n, w.encode()) for w, n in known.items() if distance(t, w) <= 2]
+        fixes |= {t: max(near)[2].decode()} if near else {}
+    right = [(i, None if ws is None else " ".join(fixes.get(w, w) if len(ws) > 1 else w for w in ws)) for i, ws in split.items()]
+    late = spark.createDataFrame(right, "doc_id long, text string")
+    want = late.select("doc_id", cleaning.clean_column("text", queries.FULL_CHAIN, steps=steps[at + 1 :]).alias("text"))
+    assert len(fixes) > 5 and len(got) == len(texts) and got == {r["doc_id"]: r["text"] for r in want.collect()}
+
+
 def test_translation(spark):
     df = spark.createDataFrame([(1, "hello"), (2, "مرحبا"), (3, "other"), (4, None), (5, "hello")], "doc_id long, t string")
     memory = spark.createDataFrame([("hello", "ب"), ("hello", "اهلا"), ("x", "y")], "source_text string, target_text string")
