@@ -217,6 +217,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     words is one shingle. Null ids are passed over for the least id; a class of null ids only has a null ``class_id``. Repeated rows each get
     a row. An empty table gives no rows; other columns are not read.
     """
+    return _judged(docs, doc_id, text, k, threshold).drop("survivor")
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, key, class_id, class_size, survivor``; the last is the key of the text that stays: least (id, key), null ids last."""
     docs = docs.select(doc_id, text)
     rows = stored(_sketched(docs, doc_id, text, k), "sketched")
     # The number is given before the table is written and read from there ever after.
@@ -254,19 +259,22 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     joined = labels(more).select(F.col("node").alias("label"), F.col("label").alias("joined"))
     labelled_nodes = nodes.select("key", "node", "least_id", "copies").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled_nodes = labelled_nodes.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
-    classes = labelled_nodes.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_key = labelled_nodes.select("key", "label").join(classes, "label").select("key", "class_id", "class_size")
-    known = rows.where("n > 0").select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id", "class_size")
-    alone = rows.where("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    least = F.min(F.struct(F.col("least_id").isNull(), "least_id", "key"))["key"]
+    classes = labelled_nodes.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), least.alias("survivor"))
+    of_key = labelled_nodes.select("key", "label").join(classes, "label").select("key", "class_id", "class_size", "survivor")
+    known = rows.where("n > 0").select("doc_id", "key").join(of_key, "key").select("doc_id", "key", "class_id", "class_size", "survivor")
+    alone = rows.where("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.col("key").alias("survivor"))
     return known.union(alone)
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, less those of a class that are not its least id.
+    """Rows of ``docs``, all columns as they are, less those of a class that are not its survivor: the least id, null
+    ids last, and under one id the text of the least digest.
 
     Rows that repeat both id and text are one document and stay or go together.
     """
-    judged = near_duplicate_classes(docs, doc_id, text, **options)
-    gone = stored(judged.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "gone")
+    judged = _judged(docs, doc_id, text, **options)
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("survivor"))
+    gone = stored(judged.where(~stays).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "gone")
     key = F.unhex(F.md5(docs[text]))
     return docs.join(small(gone), docs[doc_id].eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left_anti")

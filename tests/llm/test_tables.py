@@ -188,6 +188,17 @@ def test_near_duplicates_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted([d for d, c, _ in classes(rows) if d is not None and d == c])
 
 
+def test_one_of_each_class_stays(spark):
+    """Near-copies that have no id, or share the least one: one text of the class stays, the least (id, digest)."""
+    near = lambda name: [" ".join([f"{name}{i}" for i in range(60)] + end) for end in ([], ["tail"], ["other", "tail"])]
+    groups = [[(None, t) for t in near("a")], [(4, near("b")[0]), (4, near("b")[1]), (9, near("b")[2])], [(None, near("c")[0]), (7, near("c")[1])], [(None, ""), (None, "...")]]
+    rows = [r for g in groups for r in g] + [groups[0][0], groups[1][0]]
+    left = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    digest = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())
+    want = [min(g, key=digest) for g in groups[:3]] + groups[3]
+    assert sorted(map(repr, map(tuple, left))) == sorted(repr(r) for r in rows if r in want)
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_family_links_are_whole(spark, block):
     random.seed(11)
