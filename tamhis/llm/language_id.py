@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import map_rows
+from tamhis.llm.common import map_rows, stored
 from tamhis.session import small
 
 UNKNOWN = "und"
@@ -132,8 +132,14 @@ def predict_languages(docs: DataFrame, keep: Sequence[str | Column] = ("doc_id",
     return identify(docs, profiles, keep, text)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.05, **options) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose language is known and whose score is at least ``least_score``."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    judged = predict_languages(docs, (row,), **options)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("__row.*")
+def keep_identified(docs: DataFrame, least_score: float = 0.05, text: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose language is known and whose score is at least ``least_score``.
+
+    A verdict depends on the text alone, so only texts go to Python and only the digests of refused ones come back. Rows with a
+    null text or one without a letter are refused; equal texts stay or go together.
+    """
+    judged = predict_languages(docs, [F.unhex(F.md5(F.col(text))).alias("__refused")], text=text, **options)
+    refused = judged.where(F.col("__refused").isNotNull() & ((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)))
+    refused = stored(refused.select("__refused").distinct(), "refused")
+    known = docs.where(docs[text].isNotNull())
+    return known.join(small(refused), F.unhex(F.md5(known[text])) == refused["__refused"], "left_anti")

@@ -16,12 +16,12 @@ from tamhis.session import small
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Sketches of a text, and the least shingles of each. At similarity 0.8 two texts share a sketch with probability
-#: 0.8 ** 4, so all 24 differ with probability 0.000003.
-SKETCHES, LEAST = 24, 4
+#: Sketches of a text, and the least shingles of each. At similarity 0.8 two long texts share a sketch with probability
+#: 0.8 ** 4, so all 24 differ with probability 0.000003. Short ones can differ more often, so texts of fewer than SHORT shingles need no sketch in common.
+SKETCHES, LEAST, SHORT = 24, 4, 40
 _CELLS = 1 << 20
-#: Nodes of a family that are compared with as many others at once.
-BLOCK = 512
+#: Nodes of a family that are compared with as many others at once, and how many shingles they may have.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
@@ -165,11 +165,12 @@ def _families(met: DataFrame, best: DataFrame) -> DataFrame:
 def _family_links(families: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``(src, dst)``: labels in one ``family`` that a linked pair of nodes joins; a pair of labels once for each task.
 
-    ``families`` has ``family, node, label, n, c, all``. A family is dealt into blocks of about ``block`` nodes, and each pair of blocks is
+    ``families`` has ``family, node, label, n, c, all``. A family is dealt into blocks of about ``block`` nodes and ``BLOCK_SHINGLES`` shingles, and each pair of blocks is
     one group of two bounded sides. Overlaps are counted array by array and only joined labels leave the task, so the
     pairs of a family of near misses, which can be many, are never rows.
     """
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = families.groupBy("family").agg(blocks.alias("blocks"))
     dealt = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     columns = ["family", "i", "j", "node", "label", "n", "c", "all"]
     last = F.col("blocks") - 1
@@ -207,7 +208,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Similarity is the share of runs of ``k`` words that two texts have in one order (see ``aligned_similarity``); words are
     compared in lower case without punctuation. ``class_id`` is the least id of the class. Equal texts are one node
-    whatever their number, so copies are never paired. Nodes that share a sketch with another are candidates; candidates that
+    whatever their number, so copies are never paired. Nodes that share a sketch with another, and those of few shingles, are candidates; candidates that
     share one of their rarest shingles as well (``_prefixes``, which loses no pair) are one group, and groups with a node in common
     one family. First each node is compared with two leaders, nodes with few shingles of their own: the one that it
     meets most often, and the most central one. Then, where a family still holds several components, all pairs of
@@ -230,7 +231,8 @@ def _judged(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, threshold
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", F.explode("sketches").alias("sketch"))
     shared = buckets.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("sketch")
-    candidates = stored(buckets.join(shared, "sketch").select("node").distinct().join(nodes.select("node", "key", "n"), "node"), "candidates")
+    likely = buckets.join(shared, "sketch").select("node").union(nodes.where(F.col("n") < SHORT).select("node"))
+    candidates = stored(likely.distinct().join(nodes.select("node", "key", "n"), "node"), "candidates")
     texts = stored(_texts(candidates, docs, text), "texts")
     prefixes = stored(_prefixes(texts, candidates, k, threshold), "prefixes")
     central = F.struct((F.col("c") / F.col("n")).alias("central"), (-F.col("node")).alias("place"))

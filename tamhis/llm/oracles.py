@@ -54,12 +54,9 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) AS o(k) GROUP
 lines AS (SELECT r, host, line, md5(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS m,
     len(regexp_extract_all(line, '{WORD}')) AS n
   FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
-h AS (SELECT r, host, n, ('0x' || substr(m, 1, 15))::BIGINT AS h FROM lines),
-one AS (SELECT DISTINCT r, host, h FROM h),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY h) AS k, min(h) OVER (PARTITION BY r) AS low,
-    lead(h) OVER (PARTITION BY r ORDER BY h) AS up FROM one),
-freq AS (SELECT host, h, count(DISTINCT CASE WHEN k = 1 THEN coalesce(up, 0) ELSE low END) AS n FROM ranked GROUP BY host, h),
-tot AS (SELECT host, count(DISTINCT low) AS n FROM ranked GROUP BY host),
+h AS (SELECT r, host, n, m AS h, md5(text) AS t FROM lines JOIN (SELECT r, text FROM d) USING (r)),
+freq AS (SELECT host, h, count(DISTINCT t) AS n FROM h GROUP BY host, h),
+tot AS (SELECT host, count(DISTINCT t) AS n FROM h GROUP BY host),
 bad AS (SELECT f.host, f.h FROM freq f JOIN tot t ON f.host IS NOT DISTINCT FROM t.host WHERE f.n >= 10 AND f.n > 0.05 * t.n),
 lost AS (SELECT r, sum(n) AS n FROM h JOIN bad ON h.h = bad.h AND h.host IS NOT DISTINCT FROM bad.host GROUP BY r),
 res AS (SELECT d.doc_id, len(w.words)::BIGINT AS n_words, len(array_to_string(w.words, ''))::BIGINT AS word_chars,
@@ -108,8 +105,13 @@ FROM p GROUP BY conv_id"""
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT DISTINCT item_id, text FROM benchmark),
 b AS (SELECT row_number() OVER () AS n, item_id, {_WORDS} AS w FROM i),
-ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d)),
-bs AS (SELECT DISTINCT n, item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM b)),
+ks AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+p AS (SELECT r, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+l AS (SELECT r, doc_id, x, x || ' ' || lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4, lead(x, 4) OVER o AS x5
+  FROM p WINDOW o AS (PARTITION BY r ORDER BY j)),
+ds AS (SELECT DISTINCT r, doc_id, CASE k WHEN 1 THEN x WHEN 2 THEN x2 WHEN 3 THEN x2 || ' ' || x3 WHEN 4 THEN x2 || ' ' || x3 || ' ' || x4
+  ELSE x2 || ' ' || x3 || ' ' || x4 || ' ' || x5 END AS s FROM l, ks),
+bs AS (SELECT DISTINCT n, item_id, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM (SELECT *, least(len(w), 5) AS k FROM b WHERE len(w) > 0))),
 q AS (SELECT n, count(*) AS q FROM bs GROUP BY n)
 SELECT doc_id, item_id, any_value(q)::BIGINT AS shingles, count(*)::BIGINT AS found, count(*)::DOUBLE / any_value(q) AS containment
 FROM ds JOIN bs USING (s) JOIN q USING (n) GROUP BY r, doc_id, n, item_id HAVING count(*) >= 0.8 * any_value(q)"""
