@@ -55,6 +55,16 @@ class TextNaiveBayesModel:
             *[F.col(f"`{c}`") for c in df.columns], F.get(labels, F.array_position("__scores", best).cast("int") - 1).alias("prediction"),
             by_number.alias("probability"))
 
+    def merged(self, other: TextNaiveBayesModel) -> TextNaiveBayesModel:
+        """The model of the rows of both: word and class counts add up, so earlier rows are not read again."""
+        if (self.text_col, self.id_col, self.stop_words) != (other.text_col, other.id_col, other.stop_words):
+            raise ValueError("only models of the same columns and stop words can be merged")
+        both = self.terms.select("term", F.explode("counts").alias("label", "n")).unionByName(other.terms.select("term", F.explode("counts").alias("label", "n")))
+        counted = both.groupBy("term", "label").agg(F.sum("n").alias("n"))
+        terms = pin(counted.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts")))
+        totals = pin(self.totals.unionByName(other.totals).groupBy("label").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")))
+        return TextNaiveBayesModel(self.text_col, self.id_col, self.stop_words, terms, totals)
+
     def save(self, path: str) -> None:
         self.terms.write.parquet(f"{path}/terms")
         self.totals.write.parquet(f"{path}/totals")

@@ -138,4 +138,4 @@ def topic_metrics(df: DataFrame, label_col: str = "label", topic_col: str = "top
     from tamhis.operators.topics import majority_label
 
     names = majority_label(df, topic_col, label_col).select(F.col("topic").alias("__t"), F.col("label").alias("__l"))
-    return weighted_metrics(df.join(names, F.col(topic_col) == F.col("__t")), label_col, "__l")
+    return weighted_metrics(df.join(names, F.col(topic_col) == F.col("__t"), "left"), label_col, "__l")

@@ -57,10 +57,11 @@ def nearest_centroid(
     if held is None:
         left = df.select(F.col(id_col).alias("id"), array_of(df, vec_col).alias("vec"))
         right = centres.select(F.col("topic").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
-        best = nearest_exact(left, right, 1, "euclidean").select(
-            F.col("left_id").alias(id_col), F.col("right_id").cast("int").alias(out), "distance"
-        )
-        return df.select(*kept).join(best, id_col, "left")
+        best = nearest_exact(left, right, 1, "euclidean").select(F.col("left_id").alias(id_col), F.col("right_id").alias("__at"))
+        met = df.join(best, id_col, "left").join(right.select(F.col("id").alias("__at"), F.col("vec").alias("__c")), "__at", "left")
+        squares = F.zip_with(array_of(df, vec_col), "__c", lambda a, b: (a - b) * (a - b))
+        far = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+        return met.select(*kept, F.col("__at").cast("int").alias(out), far.alias("distance"))
     ids, matrix = held
     step = max(1, 4_000_000 // len(ids))
 
@@ -68,11 +69,11 @@ def nearest_centroid(
     def nearest(vecs: pd.Series) -> pd.DataFrame:
         best, far = [], []
         for start in range(0, len(vecs), step):
-            # Rounded as in the block way, so that both break ties alike.
-            d = np.round(_distance_rows(vecs.iloc[start : start + step], matrix), PLACES)
-            place = d.argmin(axis=1)
+            own = vecs.iloc[start : start + step]
+            # Rounded for the choice alone, as in the block way, so that both break ties alike.
+            place = np.round(_distance_rows(own, matrix), PLACES).argmin(axis=1)
             best.append(ids[place])
-            far.append(d[np.arange(len(d)), place])
+            far.append(np.sqrt(((np.stack(own.to_numpy()).astype(float) - matrix[place]) ** 2).sum(axis=1)))
         if not best:
             return pd.DataFrame({"topic": [], "distance": []})
         return pd.DataFrame({"topic": np.concatenate(best).astype("int32"), "distance": np.concatenate(far)})
@@ -133,43 +134,72 @@ def rename_topics(df: DataFrame, names: dict[int, int], topic_col: str = "topic"
     return df.withColumn(topic_col, F.coalesce(table[F.col(topic_col)], F.lit(NOISE)).cast("int"))
 
 
-def merge_plan(similarity: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
-    """New group per topic after merging the most similar pair, weighted by size, until ``n`` are left."""
-    s = similarity.astype(float).copy()
-    np.fill_diagonal(s, -np.inf)
-    weight, owner = sizes.astype(float).copy(), np.arange(len(sizes))
-    for _ in range(len(sizes) - max(n, 1)):
-        i, j = sorted(np.unravel_index(np.argmax(s), s.shape))
-        row = (weight[i] * s[i] + weight[j] * s[j]) / (weight[i] + weight[j])
-        weight[i] += weight[j]
-        owner[owner == j] = i
-        s[i, :], s[:, i] = row, row
-        s[j, :], s[:, j], s[i, i] = -np.inf, -np.inf, -np.inf
-    return owner
+def merge_tree(similarity: DataFrame, sizes: DataFrame, wanted: int | None = None) -> list[tuple[int, int, float]]:
+    """``(kept, gone, similarity)`` of every merge of the topics, by falling similarity; one row fewer than topics at most.
+
+    The similarity of two groups is the mean over their pairs of topics, weighted by size; a pair without a row counts as 0. Rounds of reciprocal
+    nearest pairs: each group picks its best partner, and all pairs that pick each other merge at once. As a merged group is never more similar to a
+    third than the better of its parts, these are the merges of taking the best pair each time. Equally similar pairs are ordered by a hash of their
+    ids, so that a chain of them takes few rounds. Rounds end once ``wanted`` merges are better than all that are left. The table of pairs stays in
+    Spark; the merges reach the driver.
+    """
+    weights = pin(sizes.where(F.col("topic") != NOISE).select(F.col("topic").alias("id"), F.col("n").cast("double").alias("w")))
+    known = lambda side: weights.select(F.col("id").alias(side), F.col("w").alias(f"w{side}"))
+    once = similarity.where("t1 <> t2").select(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b"), F.col("cosine").alias("s"))
+    once = once.groupBy("a", "b").agg(F.first("s").alias("s")).join(known("a"), "a").join(known("b"), "b")
+    pairs = pin(once.select("a", "b", (F.col("s") * F.col("wa") * F.col("wb")).alias("total")))
+    merges: list[tuple[int, int, float]] = []
+    while True:
+        rated = pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", (F.col("total") / F.col("wa") / F.col("wb")).alias("s"))
+        ends = rated.select("a", "b", "s", F.explode(F.array("a", "b")).alias("id"))
+        best = ends.groupBy("id").agg(F.max(F.struct("s", F.xxhash64("a", "b").alias("tie"), "a", "b")).alias("x"))
+        mutual = pin(best.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("x.a").alias("kept"), F.col("x.b").alias("gone"), "x.s"))
+        found = [(r["kept"], r["gone"], r["s"]) for r in mutual.collect()]
+        top = max((m[2] for m in found), default=None)
+        if top is None or (wanted is not None and sum(m[2] > top for m in merges) >= wanted):
+            return sorted(merges, key=lambda m: (-m[2], m[0], m[1]))
+        merges += found
+        names = mutual.select("gone", "kept")
+
+        def renamed(df, column):
+            return df.join(names, F.col(column) == F.col("gone"), "left").withColumn(column, F.coalesce("kept", column)).drop("gone", "kept")
+
+        moved = renamed(renamed(pairs, "a"), "b").where("a <> b")
+        moved = moved.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("total").alias("total"))
+        pairs = pin(moved.select(F.col("x").alias("a"), F.col("y").alias("b"), "total"))
+        weights = pin(renamed(weights, "id").groupBy("id").agg(F.sum("w").alias("w")))
 
 
 def reduce_topics(similarity: DataFrame, sizes: DataFrame, n_topics: int) -> dict[int, int]:
     """Merge list ``old -> new`` that leaves ``n_topics`` topics; noise is kept apart.
 
-    ``similarity`` is ``(t1, t2, cosine)`` between topics. Only topic-by-topic numbers reach the driver.
+    ``similarity`` is ``(t1, t2, cosine)`` between topics, a pair once or in both directions. The best merges of ``merge_tree`` are taken; topics that
+    are similar to none merge last, smallest ids first. A group has the smallest id of its topics. The driver holds one entry for each topic.
     """
-    rows = sizes.where(F.col("topic") != NOISE).limit(MAX_TOPICS + 1).collect()
-    if len(rows) > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics; raise the minimum size")
-    ids = sorted(r["topic"] for r in rows)
-    place = {t: i for i, t in enumerate(ids)}
-    matrix = np.zeros((len(ids), len(ids)))
-    for r in similarity.collect():
-        if r["t1"] in place and r["t2"] in place:
-            matrix[place[r["t1"]], place[r["t2"]]] = matrix[place[r["t2"]], place[r["t1"]]] = r["cosine"]
-    counts = {r["topic"]: r["n"] for r in rows}
-    owner = merge_plan(matrix, np.array([counts[t] for t in ids]), n_topics) if ids else []
-    return {NOISE: NOISE, **{t: ids[owner[i]] for i, t in enumerate(ids)}}
+    ids = sorted(r["topic"] for r in sizes.where(F.col("topic") != NOISE).select("topic").collect())
+    owner = {t: t for t in ids}
+
+    def root(t):
+        while owner[t] != t:
+            owner[t] = owner[owner[t]]
+            t = owner[t]
+        return t
+
+    spare = len(ids) - max(n_topics, 1)
+    merges = merge_tree(similarity, sizes, spare)[:spare] if spare > 0 else []
+    for kept, gone, _ in merges:
+        a, b = sorted((root(kept), root(gone)))
+        owner[b] = a
+    apart = [t for t in ids if owner[t] == t]
+    for t in apart[1 : 1 + max(spare - len(merges), 0)]:
+        owner[t] = apart[0]
+    return {NOISE: NOISE, **{t: root(t) for t in ids}}
 
 
 def majority_label(df: DataFrame, topic_col: str = "topic", label_col: str = "label") -> DataFrame:
-    """``(topic, label)``: the most frequent label per topic; ties go to the smaller label."""
-    counts = df.groupBy(F.col(topic_col).alias("topic"), F.col(label_col).alias("label")).agg(
+    """``(topic, label)``: the most frequent label per topic; ties go to the smaller label, rows without one do not count."""
+    known = df.where(F.col(label_col).isNotNull())
+    counts = known.groupBy(F.col(topic_col).alias("topic"), F.col(label_col).alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return counts.groupBy("topic").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))

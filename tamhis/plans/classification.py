@@ -34,11 +34,12 @@ class ReviewClassifier:
     def _flags(self) -> dict:
         return {s: bool(self.data_args.get(s)) for s in fixed.CLEANING_STEPS}
 
-    def _labelled(self, df: DataFrame, save_to: str | None = None) -> DataFrame:
+    def _labelled(self, df: DataFrame, save_to: str | None = None, all_rows: bool = False) -> DataFrame:
         text, target = self.data_args["text_col"], self.data_args["target_col"]
         clean = preprocess(df, text, self._flags, vocabulary=self.vocabulary, save_to=save_to, id_col=self.id_col)
         out = encode_labels(clean, target, self.classes, "__label")
-        return out.where(F.col("__label").isNotNull()).withColumn("__label", F.col("__label").cast("double"))
+        known = out if all_rows else out.where(F.col("__label").isNotNull())
+        return known.withColumn("__label", F.col("__label").cast("double"))
 
     def _stages(self) -> list:
         text, c = self.data_args["text_col"], self.config
@@ -64,10 +65,20 @@ class ReviewClassifier:
         return self.model
 
     def retrain(self, df: DataFrame) -> PipelineModel | bayes.TextNaiveBayesModel:
-        """Fit anew on the labelled rows seen so far and the new ones."""
-        new = pin(self._labelled(df))
-        self._seen = new if self._seen is None else self._seen.unionByName(new)
-        self.model = self._fit()
+        """Take the new labelled rows into the model.
+
+        Naive Bayes adds the counts of the new rows to those it has and reads no earlier row; the other heads are fitted
+        anew on all rows seen so far.
+        """
+        new, known = pin(self._labelled(df)), self.model
+        seen = new if self._seen is None else self._seen.unionByName(new)
+        if isinstance(known, bayes.TextNaiveBayesModel):
+            self._seen = new
+            self.model = known.merged(self._fit())
+        else:
+            self._seen = seen
+            self.model = self._fit()
+        self._seen = seen
         return self.model
 
     def _decoded(self, df: DataFrame, kept: list[str]) -> DataFrame:
@@ -79,8 +90,8 @@ class ReviewClassifier:
             table[F.col("__predicted")].alias("predicted"), F.col("__shares").alias("probabilities"),
         )
 
-    def _scored(self, df: DataFrame) -> DataFrame:
-        rows = self._labelled(df)
+    def _scored(self, df: DataFrame, all_rows: bool = False) -> DataFrame:
+        rows = self._labelled(df, all_rows=all_rows)
         return self._decoded(rows, [*rows.columns]).withColumn("__label", F.col("__label").cast("int"))
 
     def evaluate(self, df: DataFrame, save_to: str | None = None, task: str = "Evaluation") -> DataFrame:
@@ -91,10 +102,11 @@ class ReviewClassifier:
         return result
 
     def evaluation_tables(self, df: DataFrame) -> dict[str, DataFrame]:
-        """All tables of an evaluation: metrics, confusion cells, report per class, ROC points and its area."""
-        scored = pin(self._scored(df))
+        """All tables of an evaluation: metrics with the number of rows left out, confusion cells, report per class, ROC points and its area."""
+        every = pin(self._scored(df, all_rows=True))
+        scored = every.where(F.col("__label").isNotNull())
         return {
-            "metrics": metrics.weighted_metrics(scored, "__label", "predicted_id"),
+            "metrics": metrics.weighted_metrics(scored, "__label", "predicted_id").union(metrics.unjudged(every, "__label", "predicted_id")),
             "confusion": metrics.confusion(scored, "__label", "predicted_id"),
             "class_report": metrics.class_report(scored, "__label", "predicted_id", self.classes),
             "roc_points": metrics.roc_points(scored, "__label", "probabilities"),

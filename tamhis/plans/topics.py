@@ -232,7 +232,9 @@ def _final_names(df, grouped, c, text_col, stop_words, id_col) -> dict[int, int]
     """Clusterer ids to topic ids: merged down to ``n_topics`` when there are more, then by falling size."""
     sizes = pin(topics.topic_sizes(grouped, "cluster"))
     n = sizes.where(F.col("topic") != clusters.NOISE).count()
-    merged = {r["topic"]: r["topic"] for r in sizes.limit(topics.MAX_TOPICS + 1).collect()} if n <= topics.MAX_TOPICS else None
+    if min(n, c["n_topics"]) > topics.MAX_TOPICS:
+        raise ValueError(f"{n} topics are more than {topics.MAX_TOPICS}; ask for fewer with n_topics")
+    merged = {r["topic"]: r["topic"] for r in sizes.collect()} if n <= c["n_topics"] else {}
     if n > c["n_topics"]:
         texts = df.join(grouped.where(F.col("cluster") != clusters.NOISE), id_col)
         weights = pin(terms.ctfidf(terms.count_terms(texts, text_col, "cluster", stop_words), "cluster"))
@@ -243,7 +245,8 @@ def _final_names(df, grouped, c, text_col, stop_words, id_col) -> dict[int, int]
 
 
 def _describe(model, reduced, annotated, c, text_col, id_col) -> DataFrame:
-    words = terms.top_terms(model.weights, TOPIC, describe.CANDIDATES)
+    candidates = max(c.get("candidate_terms", describe.CANDIDATES), fixed.TOP_TERMS)
+    words = terms.top_terms(model.weights, TOPIC, candidates)
     chain = [s for s in c["representation_model_list"] if s]
     if not chain or model.kind == "nb":
         return words.where(F.col("rank") <= fixed.TOP_TERMS)
@@ -259,7 +262,7 @@ def _describe(model, reduced, annotated, c, text_col, id_col) -> DataFrame:
     table = pin(describe.term_vectors(docs, text_col, wanted, VEC))
     if any(s.lower() == "zeroshot" for s in chain):
         names = listed.join(table, F.col("name") == F.col("term")).select("name", "vec")
-    return describe.describe_topics(words, table, centres, chain, fixed.TOP_TERMS, c["diversity"], names, c["name_threshold"])
+    return describe.describe_topics(words, table, centres, chain, fixed.TOP_TERMS, c["diversity"], names, c["name_threshold"], candidates=candidates)
 
 
 class TopicExperiment:

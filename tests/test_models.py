@@ -216,6 +216,65 @@ def test_topic_tables(spark):
     assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and r["probabilities"][0] > 0.5 for r in shares)
 
 
+def plain_merges(similarity, sizes, n):
+    """The most similar pair merges first, with means weighted by size; of equal pairs the one of the smaller ids."""
+    s, weight, groups = similarity.copy(), list(map(float, sizes)), [[i] for i in range(len(sizes))]
+    alive = list(range(len(sizes)))
+    while len(alive) > n:
+        _, i, j = max((s[i, j], -i, -j) for i in alive for j in alive if i < j)
+        i, j = -i, -j
+        s[i] = s[:, i] = (weight[i] * s[i] + weight[j] * s[j]) / (weight[i] + weight[j])
+        weight[i] += weight[j]
+        groups[i] += groups[j]
+        alive.remove(j)
+    return {t: min(g) for k, g in enumerate(groups) if k in alive for t in g}
+
+
+@pytest.mark.parametrize("zeros", [0.0, 0.7])
+def test_topics_merge_as_by_the_best_pair(spark, monkeypatch, zeros):
+    rng = np.random.default_rng(21)
+    m = rng.random((10, 10)) * (rng.random((10, 10)) >= zeros)
+    m = np.triu(m, 1) + np.triu(m, 1).T
+    sizes = rng.integers(1, 40, 10)
+    pairs = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(10) for j in range(i + 1, 10) if m[i, j] > 0], "t1 int, t2 int, cosine double")
+    table = spark.createDataFrame([*[(i, int(n)) for i, n in enumerate(sizes)], (-1, 9)], "topic int, n long")
+    tree = topics.merge_tree(pairs, table)
+    monkeypatch.setattr(topics, "merge_tree", lambda *_: tree)
+    for n in (1, 4, 9, 10, 30):
+        assert topics.reduce_topics(pairs, table, n) == {-1: -1, **plain_merges(m, sizes, n)}
+
+
+def test_thousands_of_topics_merge(spark):
+    """A chain of pairs: each pair is far more similar than its neighbours."""
+    rows = [(2 * i, 2 * i + 1, 0.9) for i in range(3_000)] + [(2 * i + 1, 2 * i + 2, 0.1) for i in range(2_999)]
+    sizes = spark.range(6_000).select(F.col("id").cast("int").alias("topic"), F.lit(1).cast("bigint").alias("n"))
+    names = topics.reduce_topics(spark.createDataFrame(rows, "t1 int, t2 int, cosine double"), sizes, 3_000)
+    assert names == {-1: -1, **{t: t // 2 * 2 for t in range(6_000)}}
+
+
+def test_distance_to_a_centre_is_not_rounded(spark, monkeypatch):
+    """0.9943794995 would become 0.994380 if it were rounded to nine places and then to six."""
+    far = 0.99437949978
+    df, centres = frame(spark, [[far, 0.0]]), spark.createDataFrame([(3, [0.0, 0.0]), (4, [9.0, 9.0])], "topic int, centroid array<double>")
+    for values in (1 << 22, 1):
+        monkeypatch.setattr(topics, "CENTRE_VALUES", values)
+        row = topics.nearest_centroid(df, centres).first()
+        assert row["topic"] == 3 and row["distance"] == far and round(row["distance"], 6) == 0.994379
+
+
+def test_naive_bayes_from_two_batches(spark):
+    rows = [(i, f"w{i % 7} w{i % 3} x{i}", i % 3 if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, t string, y int")
+    whole = bayes.fit_text_naive_bayes(df, "t", "y")
+    parts = [bayes.fit_text_naive_bayes(df.where(x), "t", "y") for x in ("doc_id < 20", "doc_id >= 20")]
+    both = parts[0].merged(parts[1])
+    assert sorted(map(tuple, both.totals.collect())) == sorted(map(tuple, whole.totals.collect()))
+    told = lambda m: sorted((r["doc_id"], r["prediction"], tuple(np.round(r["probability"], 12))) for r in m.transform(df).collect())
+    assert told(both) == told(whole)
+    with pytest.raises(ValueError):
+        parts[0].merged(bayes.fit_text_naive_bayes(df, "t", "y", stop_words=("w1",)))
+
+
 def test_topic_products_beyond_one_block(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(int(t), f"w{w}", float(rng.random())) for t in range(12) for w in rng.choice(30, 10, replace=False)]
@@ -349,7 +408,9 @@ def test_review_classifier(spark, head, tmp_path):
     extra = spark.createDataFrame([(900, "ممتاز جميل", None), (901, None, None)], "doc_id long, `Review Text` string, Label string")
     rows = {r["doc_id"]: r for r in run.predict(extra).collect()}
     assert len(rows) == 2 and abs(sum(rows[901]["probabilities"]) - 1) < 1e-6
-    tables = run.evaluation_tables(reviews(spark))
+    bare = spark.createDataFrame([(950, "ممتاز جميل", "No such class")], "doc_id long, `Review Text` string, Label string")
+    tables = run.evaluation_tables(reviews(spark).select("doc_id", "Review Text", "Label").union(bare))
+    assert {r["metric"]: r["value"] for r in tables["metrics"].collect()}["unjudged_rows"] == 1.0
     assert tables["confusion"].where("y_true <> y_pred").agg(F.sum("n")).first()[0] <= 3
     assert tables["class_report"].count() == 2 and tables["roc_points"].count() > 0 and tables["roc_auc"].first()["value"] > 0.95
     again = ReviewClassifier.load(spark, run.save(str(tmp_path / "saved")))
