@@ -234,6 +234,11 @@ def knn_lsh(spark, sf_dir):
     return neighbors.nearest_neighbors(_embedded(spark, sf_dir), 15, method="lsh")
 
 
+def knn_descent(spark, sf_dir):
+    found = neighbors.nearest_neighbors(_embedded(spark, sf_dir), 15, method="descent")
+    return found.select("id", "neighbor", "rank", six("distance").alias("distance"))
+
+
 def topic_similarity(spark, sf_dir):
     found = reports.topic_similarity(_weights(spark, sf_dir), "lang")
     return found.select("t1", "t2", six("cosine").alias("cosine"))
@@ -484,7 +489,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dedupe_rows, drop_nulls, quality_report, recheck_quality, strip_page_links, detect_language, clean_chain,
         clean_table, translate_routed, untranslated_texts, spelling_fix, count_terms, ngrams, ctfidf, ctfidf_bm25,
         top_terms, encode_fixed, encode_labels, holdout_split, assemble_result, nearest_centroid, topic_probabilities,
-        topic_sizes, min_topic_size, cosine_knn, knn_lsh, topic_similarity, term_decline, topic_words, topic_map,
+        topic_sizes, min_topic_size, cosine_knn, knn_lsh, knn_descent, topic_similarity, term_decline, topic_words, topic_map,
         topic_distribution, topics_per_class, weighted_metrics, confusion, confusion_wide, class_report, roc_points,
         roc_micro, metrics_on_topics, coherence_cv, rerank_terms, mmr_terms, zero_shot_names, sentence_vectors,
         word_position_vectors, pca_vectors, document_map, kmeans_topics, mixture_topics, density_topics, ward_topics,

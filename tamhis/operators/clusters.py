@@ -49,36 +49,94 @@ def _forest(adjacent: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> list[
     return edges
 
 
-def _slab_pairs(points: DataFrame, eps: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Points in slabs of equal size along their first number, and the pairs of slabs that come within ``eps``.
+def _split(sample: np.ndarray, leaves: int, low: np.ndarray, high: np.ndarray) -> tuple | np.ndarray:
+    """k-d tree over ``sample``: ``(axis, value, lower side, upper side)``, or the box of a leaf."""
+    spread = np.ptp(sample, axis=0) if len(sample) > 1 else np.zeros(len(low))
+    axis = int(np.argmax(spread)) if len(spread) else 0
+    if leaves < 2 or not len(spread) or not spread[axis] > 0:
+        return np.stack([low, high])
+    value = float(np.median(sample[:, axis]))
+    below = sample[:, axis] <= value
+    if below.all():  # the median is the largest number: cut below it, since the widest axis has another
+        value = float(sample[sample[:, axis] < value, axis].max())
+        below = sample[:, axis] <= value
+    lower_high, upper_low = high.copy(), low.copy()
+    lower_high[axis] = upper_low[axis] = value
+    return (axis, value, _split(sample[below], leaves // 2, low, lower_high), _split(sample[~below], leaves - leaves // 2, upper_low, high))
+
+
+def _cells_of(tree, x: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Point number and cell number for each cell whose box comes within ``eps`` of the point; the cell's number is its place in the tree."""
+    points, cells, count = [], [], 0
+    todo = [(tree, np.arange(len(x)))]
+    while todo:
+        node, at = todo.pop()
+        if isinstance(node, tuple):
+            axis, value, lower, upper = node
+            todo += [(upper, at[x[at, axis] > value - eps]), (lower, at[x[at, axis] <= value + eps])]
+            continue
+        gap = np.maximum(np.maximum(node[0] - x[at], x[at] - node[1]), 0.0)
+        near = at[(gap * gap).sum(1) <= eps * eps * (1 + 1e-9) + 1e-18]
+        points.append(near)
+        cells.append(np.full(len(near), count))
+        count += 1
+    return np.concatenate(points), np.concatenate(cells)
+
 
-    The driver gets two numbers for each ``block_rows`` points.
+def _cells(points: DataFrame, eps: float, block_rows: int, sample_cells: int = 4096) -> DataFrame:
+    """Points with the cells they are compared in: ``own`` in the cell that holds them, a copy in every other cell within ``eps``.
+
+    Cells are leaves of a k-d tree over a bounded sample of the points, taken by a hash of the vector: 16 points a cell in expectation and at most
+    ``sample_cells`` cells. The sample settles only how even the cells are, never which points meet.
     """
-    first = F.element_at("vec", 1)
-    numbered = running_totals(points, [first, F.col("id")], {"__place": F.lit(1)})
-    slabs = pin(numbered.withColumn("slab", F.floor((F.col("__place") - 1) / block_rows).cast("int")).drop("__place"))
-    ends = sorted((r["slab"], r["low"], r["high"]) for r in slabs.groupBy("slab").agg(F.min(first).alias("low"), F.max(first).alias("high")).collect())
-    lows = np.array([low for _, low, _ in ends])
-    last = {slab: max(i, int(np.searchsorted(lows, high + eps, "right")) - 1) for i, (slab, _, high) in enumerate(ends)}
-    reach = slabs.sparkSession.createDataFrame([(s, int(e)) for s, e in last.items()] or [(0, 0)], "slab int, last int")
-    return slabs, reach.select(F.col("slab").alias("lo"), F.explode(F.sequence("slab", "last")).alias("hi"))
-
-
-def _by_slab_pair(slabs: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
-    """``work(ids, vectors, weights of either side, same slab)`` for each pair of slabs, as rows of ``schema``."""
-    pairs = F.broadcast(pairs)  # two numbers for each pair of neighbouring slabs
-    side = lambda end: slabs.join(pairs, F.col("slab") == F.col(end)).select(*[F.col(c).alias(c) for c in ("lo", "hi", "id", "vec", "weight")])
-    a, b = side("lo"), side("hi")
+    total = points.count()
+    leaves = max(1, min(sample_cells, -(-total // block_rows)))
+    part = 1 << 30
+    share = min(part, -(-16 * leaves * part // max(1, total)))
+    taken = points.where(F.pmod(F.xxhash64("vec"), F.lit(part)) < share).select("vec").toArrow()
+    sample = _matrix(taken["vec"]) if taken.num_rows and leaves > 1 else np.zeros((0, 0))
+    sample = sample[np.lexsort(sample.T)] if sample.size else sample
+    dims = sample.shape[1]
+    tree = _split(sample, leaves, np.full(dims, -np.inf), np.full(dims, np.inf))
+
+    def place(batches):
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            if tree_is_leaf:
+                at, cell, home = np.arange(len(x)), np.zeros(len(x), int), np.zeros(len(x), int)
+            else:
+                at, cell = _cells_of(tree, x, eps)
+                inside, owner = _cells_of(tree, x, 0.0)
+                home = np.full(len(x), np.iinfo(np.int64).max)
+                np.minimum.at(home, inside, owner)  # a point on a cut touches two boxes; the first one owns it
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.astype(np.int32)), pa.array(home[at] == cell), *(batch.column(c).take(pa.array(at)) for c in ("id", "vec", "weight"))],
+                names=["cell", "own", "id", "vec", "weight"],
+            )
+
+    tree_is_leaf = not isinstance(tree, tuple)
+    return pin(points.select("id", "vec", "weight").mapInArrow(place, "cell int, own boolean, id bigint, vec array<double>, weight bigint"))
+
+
+def _by_cell(cells: DataFrame, block_rows: int, work, schema: str) -> DataFrame:
+    """``work(own points, points of the cell)`` as rows of ``schema``; a cell of more than ``block_rows`` points is worked off in pairs of blocks."""
+    sizes = cells.groupBy("cell").agg(
+        F.ceil(F.sum(F.col("own").cast("int")) / block_rows).cast("int").alias("owned"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("held")
+    )
+    dealt = cells.join(F.broadcast(sizes), "cell")  # at most one row for each of the cells of the tree
+    block = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = [F.col(c).alias(c) for c in ("cell", "id", "vec", "weight")]
+    a = dealt.where("own").select(block("owned").alias("a"), every("held").alias("b"), *columns)
+    b = dealt.where("owned > 0").select(every("owned").alias("a"), block("held").alias("b"), *columns)
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
-        if not one.num_rows or not two.num_rows:
-            return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
-        same = one["lo"][0].as_py() == one["hi"][0].as_py()
-        sides = [(t["id"].to_numpy(), _matrix(t["vec"]), t["weight"].to_numpy()) for t in (one, two)]
-        rows = work(*sides, same)
+        rows = []
+        if one.num_rows and two.num_rows:
+            rows = work(*[(t["id"].to_numpy(), _matrix(t["vec"]), t["weight"].to_numpy()) for t in (one, two)])
         return pa.table({"x": pa.array([int(r[0]) for r in rows], pa.int64()), "y": pa.array([int(r[1]) for r in rows], pa.int64())})
 
-    return a.groupBy("lo", "hi").cogroup(b.groupBy("lo", "hi")).applyInArrow(run, schema)
+    return a.groupBy("cell", "a", "b").cogroup(b.groupBy("cell", "a", "b")).applyInArrow(run, schema)
 
 
 def density_clusters(
@@ -89,9 +147,9 @@ def density_clusters(
 
     A row is core when at least ``min_points`` rows, itself counted, lie within ``eps`` (Euclidean). Core rows within ``eps``
     of each other are linked; linked groups of at least ``min_size`` rows are clusters, numbered by falling size. Rows
-    that are not core, and those without a vector, are noise. Equal vectors are one point with a weight. Points lie in slabs along
-    their first number; slabs within ``eps`` are compared as matrices, and a comparison gives back counts or a
-    spanning forest of its links, never the pairs. Without ``eps`` the 90 % quantile of the distance to the
+    that are not core, and those without a vector, are noise. Equal vectors are one point with a weight. Points lie in the cells of
+    a k-d tree and are copied into the cells within ``eps``; a cell's own points are compared with all it holds as matrices, which
+    gives back counts or a spanning forest of links, never the pairs. Without ``eps`` the 90 % quantile of the distance to the
     ``min_points - 1``-th neighbour is used, found by ``method``.
     """
     rows = df.select(F.col(id_col).alias("__doc"), array_of(df, vec_col).cast("array<double>").alias("vec"))
@@ -100,19 +158,17 @@ def density_clusters(
         eps = reach.agg(F.percentile_approx("distance", 0.9, 100_000)).first()[0]
     limit = float(eps or 0.0) + 1e-9
     points = pin(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("__doc").alias("id"), F.count(F.lit(1)).alias("weight")))
-    slabs, pairs = _slab_pairs(points, limit, block_rows)
+    cells = _cells(points, limit, block_rows)
 
-    def count(a, b, same):
-        near = _distances(a[1], b[1], "euclidean") <= limit
-        found = list(zip(a[0], near @ b[2], strict=True))
-        return found if same else found + list(zip(b[0], a[2] @ near, strict=True))
+    def count(own, held):
+        return list(zip(own[0], (_distances(own[1], held[1], "euclidean") <= limit) @ held[2], strict=True))
 
-    def link(a, b, same):
-        return _forest(_distances(a[1], b[1], "euclidean") <= limit, a[0], b[0])
+    def link(own, held):
+        return _forest(_distances(own[1], held[1], "euclidean") <= limit, own[0], held[0])
 
-    counted = _by_slab_pair(slabs, pairs, count, "x bigint, y bigint").groupBy("x").agg(F.sum("y").alias("n"))
+    counted = _by_cell(cells, block_rows, count, "x bigint, y bigint").groupBy("x").agg(F.sum("y").alias("n"))
     core = pin(counted.where(F.col("n") >= min_points).select(F.col("x").alias("id")))
-    linked = _by_slab_pair(slabs.join(core, "id"), pairs, link, "x bigint, y bigint").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    linked = _by_cell(cells.join(core, "id", "left_semi"), block_rows, link, "x bigint, y bigint").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     members = connected_components(core, linked)
     sized = members.join(points.select("id", "weight"), "id")
     sizes = sized.groupBy("component").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_size)

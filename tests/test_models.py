@@ -121,6 +121,56 @@ def test_neighbours_do_not_depend_on_partitions(spark):
         neighbors.nearest_neighbors(df, 3, method="auto")
 
 
+def test_cells_compare_few_pairs(spark):
+    points = np.random.default_rng(21).uniform(0, 100, (6000, 4))
+    df = frame(spark, points).select(F.col("doc_id").alias("id"), "vec", F.lit(1).cast("bigint").alias("weight"))
+    cells = clusters._cells(df, 2.0, 128)
+    held = cells.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own"), F.count("*").alias("held")).collect()
+    assert sum(r["own"] for r in held) == 6000 and len(held) == 47
+    assert sum(r["own"] * r["held"] for r in held) < 6000 * 6000 / 10
+    # Every pair within reach meets in the cell of either end.
+    where = {}
+    for r in cells.select("cell", "own", "id").collect():
+        where.setdefault(r["id"], [None, set()])[1].add(r["cell"])
+        if r["own"]:
+            where[r["id"]][0] = r["cell"]
+    for i in range(0, 6000, 10):
+        near = np.flatnonzero(np.sqrt(((points - points[i]) ** 2).sum(1)) <= 2.0)
+        assert all(where[i][0] in where[int(j)][1] for j in near)
+
+
+def test_cells_of_points_on_cuts(spark):
+    grid = np.array([[x, y] for x in range(30) for y in range(30)], float)  # every cut goes through points
+    for eps, min_points in ((1.0, 3), (1.5, 9), (0.5, 1)):
+        got = clusters.density_clusters(frame(spark, grid), "vec", min_size=1, min_points=min_points, eps=eps, block_rows=50).collect()
+        assert grouped(got) == plain_dbscan(grid, min_points, eps, 1)
+    assert clusters.density_clusters(frame(spark, grid).where("doc_id < 0"), "vec", eps=1.0).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_descent_mends_narrow_windows(spark, metric):
+    x = np.random.default_rng(22).normal(size=(3000, 24))
+    x[:1000] = x[0]  # a third of all rows are copies
+    df = frame(spark, x)
+    exact = {(r["id"], r["neighbor"]) for r in neighbors.nearest_neighbors(df, 5, metric=metric, method="exact").where("id >= 1000").collect()}
+    hits = {}
+    for method in ("lsh", "descent"):
+        rows = neighbors.nearest_neighbors(df, 5, metric=metric, method=method, window_rows=64, tables=4).collect()
+        hits[method] = len(exact & {(r["id"], r["neighbor"]) for r in rows}) / len(exact)
+        assert {r["id"] for r in rows} == set(range(3000)) and all(r["id"] != r["neighbor"] for r in rows)
+        assert max(r["distance"] for r in rows if r["id"] < 1000) < 1e-6
+    assert hits["lsh"] < 0.6 and hits["descent"] >= 0.9
+
+
+def test_descent_does_not_depend_on_partitions(spark):
+    df = frame(spark, np.random.default_rng(23).normal(size=(800, 8)))
+    rows = [sorted(map(tuple, neighbors.nearest_neighbors(d, 5, method="descent", window_rows=32, width=16, group_rows=g).collect()))
+            for d, g in ((df, 100), (df.repartition(13), 1024))]
+    assert rows[0] == rows[1]
+    one = neighbors.nearest_neighbors(df.where("doc_id = 3"), 5, method="descent").collect()
+    assert one == [] and neighbors.nearest_neighbors(df.where("doc_id < 0"), 5, method="descent").collect() == []
+
+
 def plain_ward(points, k):
     groups = [[i] for i in range(len(points))]
     x = np.asarray(points, float)
