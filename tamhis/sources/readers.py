@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tamhis.functions import fixed
 from tamhis.operators.quality import ID
 from tamhis.session import running_totals
+from tamhis.sources.split_csv import split_records
 
 
 def review_schema(text_col: str = "Review Text", label_col: str | None = "Label") -> T.StructType:
@@ -27,8 +28,8 @@ def read_reviews(spark: SparkSession, path, schema: T.StructType | None = None,
     """Reviews from CSV with a header; missing-like cells become null.
 
     The columns of ``schema`` must be there and get its types; further columns are kept as strings. With ``multi_line`` quoted
-    cells may span lines and a file is one task; without it files are split. A file without an id column gets one: the
-    number of the record in the order of file name and place, which is the same however the files are split or packed.
+    cells may span lines; files are split either way. Rows without an id column get one: the number of the record in the order
+    of file name and place, which is the same however the files are split or packed. The files must not change while they are read.
     """
     schema = schema or review_schema()
     raw = (
@@ -40,8 +41,14 @@ def read_reviews(spark: SparkSession, path, schema: T.StructType | None = None,
         raise ValueError(f"no column {missing} in {raw.columns}")
     types = {f.name: f.dataType for f in schema}
     cells = [missing_to_null(c).cast(types.get(c, T.StringType())).alias(c) for c in raw.columns]
+    ids = [F.col(f"`{c}`").cast("bigint").alias(c) if c == id_col and c not in types else cell for c, cell in zip(raw.columns, cells)]
+    if multi_line:
+        schema_text = ", ".join("`{}` string".format(c.replace("`", "``")) for c in raw.columns)
+        record = F.from_csv("record", schema_text, {"multiLine": "true", "escape": '"', "quote": '"', "lineSep": "\n"}).alias("__cells")
+        found = split_records(spark, path).where("place > 0").select(F.col("number").alias("__number"), record).select("__number", "__cells.*")
+        return found.select(*ids) if id_col in raw.columns else found.select(F.col("__number").alias(id_col), *cells)
     if id_col in raw.columns:
-        return raw.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if c == id_col and c not in types else cell for c, cell in zip(raw.columns, cells)])
+        return raw.select(*ids)
     place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
     placed = raw.select(*cells, *place).withColumn("__record", F.monotonically_increasing_id())
     numbered = running_totals(placed, [F.col("__file"), F.col("__start"), F.col("__record")], {"__number": F.lit(1)})

@@ -1,9 +1,11 @@
 """Readers, writers and run records."""
 
 import datetime as dt
+import random
 
 import pytest
 
+from tamhis.functions import fixed
 from tamhis.session import use_checkpoint_dir
 from tamhis.sources import readers, runs, sinks
 
@@ -12,7 +14,7 @@ def test_read_reviews(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text('Review Text,Label\n"a ""q"", b\nline two",Issue\n,Issue\nNA,Positive\nok,\n', encoding="utf-8")
     df = readers.read_reviews(spark, str(path))
-    rows = df.collect()
+    rows = df.orderBy("doc_id").collect()
     assert [(r["Review Text"], r["Label"]) for r in rows] == [
         ('a "q", b\nline two', "Issue"), (None, "Issue"), (None, "Positive"), ("ok", None)
     ]
@@ -78,3 +80,65 @@ def test_runs(spark, tmp_path):
 
 def test_checkpoint_dir_is_kept(spark):
     assert use_checkpoint_dir(spark) == use_checkpoint_dir(spark)
+
+
+def _by_one_task(spark, path):
+    """Cells of each file as Spark reads it whole."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\n")
+    return [tuple(None if c in fixed.NA_TOKENS else c for c in r) for r in reader.csv(str(path)).collect()]
+
+
+def _cell(draw):
+    plain = draw.choice(["a", "NA", "", "b c", "x", "é", " y"])
+    quoted = '"' + "".join(draw.choice(["a", ",", "\n", "\r\n", '""', "word ", "é", '""""']) for _ in range(draw.randrange(8))) + '"'
+    return quoted if draw.random() < 0.5 else plain if draw.random() < 0.8 else plain + 'z5" w'
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_files_give_the_records_of_whole_ones(spark, tmp_path, seed):
+    draw = random.Random(seed)
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for part in range(2):
+        rows = [",".join(_cell(draw) for _ in range(3)) + draw.choice(["\n", "\n", "\n\n"]) for _ in range(120)]
+        body = 'Review Text,Label,"No\nte"\n' + "".join(rows)
+        (folder / f"r{part}.csv").write_bytes(body.encode() + (b'last,"never, closed\nto the\nend' if part and seed else b""))
+    expected = [row for part in range(2) for row in _by_one_task(spark, folder / f"r{part}.csv")]
+    if seed:
+        expected = expected[:-1] + [("last", "never, closed\nto the\nend", None)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = readers.read_reviews(spark, str(folder))
+            rows = sorted(map(tuple, found.collect()), key=lambda r: r[0])
+            assert [r[0] for r in rows] == list(range(len(expected)))
+            assert [r[1:] for r in rows] == expected
+            assert found.columns == ["doc_id", "Review Text", "Label", "No\nte"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_file_of_long_quoted_texts_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    texts = [f'"{i} ""quoted"", ' + "line\n" * (i % 400) + 'end"' for i in range(1, 300)]
+    path.write_text("Review Text,Label\r\n" + "".join(f"{t},Issue\r\n" for t in texts) + ",\r\n", encoding="utf-8", newline="")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("20000", "100")):
+        spark.conf.set(name, value)
+    try:
+        assert spark.read.option("lineSep", "\n").text(str(path)).rdd.getNumPartitions() > 10
+        rows = sorted(map(tuple, readers.read_reviews(spark, str(path)).collect()), key=lambda r: r[0])
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert [r[1] for r in rows[:-1]] == [t[1:-1].replace('""', '"') for t in texts]
+    assert {r[2] for r in rows[:-1]} == {"Issue"} and rows[-1] == (299, None, None)
+
+
+def test_header_alone_gives_no_reviews(spark, tmp_path):
+    path = tmp_path / "empty.csv"
+    path.write_text("Review Text,Label\n", encoding="utf-8")
+    found = readers.read_reviews(spark, str(path))
+    assert found.count() == 0 and found.columns == ["doc_id", "Review Text", "Label"]
