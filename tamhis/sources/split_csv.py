@@ -7,7 +7,6 @@ and only the lines of records that span lines are brought together.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +17,18 @@ from pyspark.sql import functions as F
 from tamhis.session import pin, small
 
 CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|(?!")[^,]*+)'
-#: Lines that end outside quotes when they start outside, and when they start inside.
-CLOSED = (re.compile(rf"{CELL}(?:,{CELL})*+"), re.compile(rf'(?:[^"]++|"")*+"[^,]*+(?:,{CELL})*+'))
+#: Lines that end outside quotes when they start outside, and when they start inside. Possessive throughout, so each costs one scan.
+CLOSED = (rf"\A{CELL}(?:,{CELL})*+\z", rf'\A(?:[^"]++|"")*+"[^,]*+(?:,{CELL})*+\z')
 RANGE = ["file", "start"]
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
-    rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
-
-
-def _after(lines: pd.Series, case: int) -> np.ndarray:
-    """For each line 1 if it ends inside quotes, given that it starts outside (``case`` 0) or inside (1)."""
-    ends = np.full(len(lines), case, dtype=np.int64)
-    for i in np.flatnonzero(lines.str.contains('"', regex=False).to_numpy(dtype=bool)):
-        ends[i] = CLOSED[case].fullmatch(lines.iloc[i]) is None
-    return ends
+    """``(file, start, line, after0, after1, full)``: ``after`` is 1 if the line ends inside quotes, given that it starts outside (0) or inside (1)."""
+    rows = spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
+    quoted = F.col("line").contains('"')
+    after = [F.when(quoted, (~F.col("line").rlike(CLOSED[case])).cast("int")).otherwise(case).alias(f"after{case}") for case in (0, 1)]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    return rows.select(*place, "line", *after, (~F.col("line").isin("", "\r")).alias("full"))
 
 
 def _states(ends: np.ndarray, first: int) -> np.ndarray:
@@ -50,15 +45,16 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[
     place, ends, counts, pos = None, [0, 1], [0, 0], 0
     for batch in batches:
         batch = batch.reset_index(drop=True)
-        change = (batch[RANGE] != batch[RANGE].shift()).any(axis=1).to_numpy()
-        cuts = [*np.flatnonzero(change), len(batch)]
+        change = [(batch[c].to_numpy()[1:] != batch[c].to_numpy()[:-1]) for c in RANGE]
+        cuts = [0, *(np.flatnonzero(change[0] | change[1]) + 1), len(batch)] if len(batch) else []
         for a, b in zip(cuts, cuts[1:]):
             piece = batch.iloc[a:b].reset_index(drop=True)
             here = tuple(piece.loc[0, RANGE])
             if here != place:
                 place, ends, counts, pos = here, [0, 1], [0, 0], 0
-            after = np.stack([_after(piece["line"], 0), _after(piece["line"], 1)])
-            full = (piece["line"].str.rstrip("\r") != "").to_numpy()
+            after = piece[["after0", "after1"]].to_numpy(dtype=np.int64).T
+            full = piece["full"].to_numpy(dtype=bool)
+            piece = piece.drop(columns=["after0", "after1"])
             piece["pos"] = np.arange(pos, pos + len(piece))
             states = [_states(after, ends[case]) for case in (0, 1)]
             for case in (0, 1):
@@ -86,8 +82,7 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for piece, *_ in _walk(batches):
         # Blank lines outside quotes are no records under either case and go here.
-        keep = (piece["line"].str.rstrip("\r") != "") | piece["open0"] | piece["open1"]
-        yield piece[keep]
+        yield piece[piece["full"] | piece["open0"] | piece["open1"]]
 
 
 def _ranges(summary: DataFrame) -> DataFrame:
@@ -116,17 +111,17 @@ def split_records(spark: SparkSession, path) -> DataFrame:
     makes one record of the rest of its file.
     """
     lines = _lines(spark, path)
-    summary = lines.mapInPandas(_summaries, "file string, start long, end0 int, end1 int, n0 long, n1 long")
+    summary = lines.drop("line").mapInPandas(_summaries, "file string, start long, end0 int, end1 int, n0 long, n1 long")
     ranges = small(pin(_ranges(pin(summary))))
-    schema = "file string, start long, line string, pos long, " + ", ".join(f"record{c} long, open{c} boolean, whole{c} boolean" for c in (0, 1))
+    schema = "file string, start long, line string, full boolean, pos long, " + ", ".join(f"record{c} long, open{c} boolean, whole{c} boolean" for c in (0, 1))
     met = lines.mapInPandas(_placed, schema).join(ranges.withColumnRenamed("file", "f").withColumnRenamed("start", "s"),
                                                  (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")), "left")
     case = F.coalesce("case", F.raise_error(F.lit("the files or their splits changed while they were read")).cast("int"))
     pick = lambda name: F.when(F.col("__case") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     met = met.withColumn("__case", case).select(
-        *RANGE, "pos", "line", pick("open").alias("open"), pick("whole").alias("whole"),
+        *RANGE, "pos", "line", "full", pick("open").alias("open"), pick("whole").alias("whole"),
         (F.col("first") + pick("record")).alias("number"), (F.col("inside") + pick("record")).alias("place"),
-    ).where(F.col("open") | (F.rtrim(F.col("line"), F.lit("\r")) != ""))
+    ).where("open OR full")
     whole = met.where("whole").select("file", "number", "place", "line")
     cells = F.array_sort(F.collect_list(F.struct("start", "pos", "line")))
     spanning = met.where(~F.col("whole")).groupBy("file", "number", "place").agg(F.array_join(F.transform(cells, lambda c: c["line"]), "\n").alias("line"))
