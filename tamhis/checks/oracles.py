@@ -346,6 +346,7 @@ def all_oracles() -> dict[str, str]:
             SELECT min(doc_id) AS doc_id, lang, text FROM {table_last} GROUP BY lang, text""",
         "translate_routed": f"""SELECT d.doc_id, CASE WHEN {EN.format(c='d.text')} THEN coalesce(m.target_text, d.text)
             ELSE d.text END AS text FROM documents d LEFT JOIN ({MEMORY}) m ON d.text = m.source_text""",
+        "translation_rounds": f"SELECT doc_id, CASE WHEN {EN.format(c='text')} THEN {arabic()} ELSE text END AS text FROM documents",
         "untranslated_texts": f"""SELECT DISTINCT text AS source_text FROM documents WHERE {EN.format(c='text')}
             AND text NOT IN (SELECT source_text FROM ({MEMORY}))""",
         "spelling_fix": _spelling_sql(),

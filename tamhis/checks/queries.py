@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tamhis.operators import (
     translation, vectors,
 )
 from tamhis.plans.cleaning import clean_column, clean_text, flags_from, preprocess
+from tamhis.session import use_checkpoint_dir
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC = "اإأآبىتثجحخةدذرزسشصؤضطگظعغ"
@@ -120,6 +122,16 @@ def translate_routed(spark, sf_dir):
     return translation.translate_english(docs, "text", _memory(spark, sf_dir))
 
 
+def translation_rounds(spark, sf_dir):
+    """Two rounds with a kept memory: the first holds some answers, the second those to the work list; then all texts are routed."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    path = f"{use_checkpoint_dir(spark).rstrip('/')}/translations-{uuid.uuid4().hex}"
+    translation.remember(_memory(spark, sf_dir), path)
+    work = translation.untranslated(docs, "text", translation.read_memory(spark, path))
+    translation.remember(work.select("source_text", arabic("source_text").alias("target_text")), path)
+    return translation.translate_english(docs, "text", translation.read_memory(spark, path))
+
+
 def untranslated_texts(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return translation.untranslated(docs, "text", _memory(spark, sf_dir))
@@ -487,7 +499,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for query in (
         dedupe_rows, drop_nulls, quality_report, recheck_quality, strip_page_links, detect_language, clean_chain,
-        clean_table, translate_routed, untranslated_texts, spelling_fix, count_terms, ngrams, ctfidf, ctfidf_bm25,
+        clean_table, translate_routed, translation_rounds, untranslated_texts, spelling_fix, count_terms, ngrams, ctfidf, ctfidf_bm25,
         top_terms, encode_fixed, encode_labels, holdout_split, assemble_result, nearest_centroid, topic_probabilities,
         topic_sizes, min_topic_size, cosine_knn, knn_lsh, knn_descent, topic_similarity, term_decline, topic_words, topic_map,
         topic_distribution, topics_per_class, weighted_metrics, confusion, confusion_wide, class_report, roc_points,

@@ -1,11 +1,16 @@
-"""English texts routed through a translation-memory table."""
+"""English texts routed through a translation-memory table, and the table kept between runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
+from tamhis.session import pin
+
+BUCKETS = 256  # parts of a kept memory; fixed, as it tells where a text lies
+_KEPT = "source_text string, target_text string, bucket int"
 
 
 def _memory(memory: DataFrame) -> DataFrame:
@@ -32,3 +37,35 @@ def untranslated(df: DataFrame, text_col: str, memory: DataFrame) -> DataFrame:
     """Distinct English texts that the memory lacks: the work list for a translator."""
     english = df.where(tx.detect_language(text_col) == "en").select(F.col(text_col).alias("source_text")).distinct()
     return english.join(_memory(memory), _matches(F.md5("source_text"), "source_text"), "left_anti")
+
+
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    """``(source_text, target_text)`` of a kept memory; without rows as long as nothing was remembered."""
+    return _kept(spark, path).drop("bucket")
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_KEPT).parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _KEPT)
+
+
+def remember(answers: DataFrame, path: str) -> None:
+    """Put ``answers (source_text, target_text)`` into the memory kept at ``path``; a text it knows gets the new target.
+
+    The table lies in buckets by the hash of the text, and only those that new answers fall into are read and replaced. Of several
+    targets in one batch the least counts; rows without a text or a target are left out. One writer at a time; doing the
+    same batch again gives the same table, so a run that ended while buckets were being replaced is mended by repeating it.
+    """
+    spark = answers.sparkSession
+    known = answers.where("source_text IS NOT NULL AND target_text IS NOT NULL")
+    new = known.groupBy("source_text").agg(F.min("target_text").alias("target_text"))
+    new = pin(new.withColumn("bucket", F.pmod(F.xxhash64("source_text"), F.lit(BUCKETS)).cast("int")))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    old = _kept(spark, path).where(F.col("bucket").isin(touched)).join(new.select("source_text"), "source_text", "left_anti")
+    # Pinned before the write, which replaces the files it was read from.
+    merged = pin(new.unionByName(old).repartition("bucket"))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tamhis.functions import fixed
 from tamhis.functions import text as tx
+from tamhis.functions.vectors import as_vector
 from tamhis.operators.quality import ID
 from tamhis.session import small
 
@@ -88,6 +89,16 @@ def word_position_vectors(
     )
 
 
+def with_first_token(df: DataFrame, text_col: str, word_vectors: DataFrame, dims: int, out: str = "vec") -> DataFrame:
+    """Add the vector of the first token as an ML vector, zeros without a known one; rows and their order of columns stay.
+
+    ``word_vectors`` is a stored or pinned table ``(word, vec array)`` with one row a word.
+    """
+    table = small(word_vectors.select(F.col("word").alias("__word"), F.col("vec").cast("array<double>").alias("__word_vec")))
+    met = df.join(table, F.get(tx.word_tokens(text_col), F.lit(0)) == F.col("__word"), "left")
+    return met.withColumn(out, as_vector(F.coalesce("__word_vec", F.array_repeat(F.lit(0.0), dims)))).drop("__word", "__word_vec")
+
+
 def first_token_vectors(position_vectors: DataFrame, dims: int, id_col: str = ID) -> DataFrame:
     """The vector of the first token, frozen: a feature column that no training changes."""
     return position_vectors.select(id_col, F.slice("vec", 1, dims).alias("vec"))

@@ -11,7 +11,7 @@ from tamhis.functions import fixed
 from tamhis.functions import text as tx
 from tamhis.operators.quality import ID, check_quality
 from tamhis.operators.spelling import build_word_counts, check_spelling
-from tamhis.operators.translation import translate_english
+from tamhis.operators.translation import translate_english, untranslated
 from tamhis.sources.sinks import write_reviews
 
 
@@ -67,11 +67,26 @@ def clean_text(
     return out.withColumn(text_col, clean_column(text_col, flags, steps=_AFTER, **options))
 
 
+def translated(df: DataFrame, text_col: str, flags: Mapping[str, bool], translations: DataFrame | None) -> DataFrame:
+    """English texts by the memory if that step is on."""
+    if not flags.get("translate_english"):
+        return df
+    if translations is None:
+        raise ValueError("translate_english needs a translation memory (source_text, target_text)")
+    return translate_english(df, text_col, translations)
+
+
+def translation_work(df: DataFrame, text_col: str, translations: DataFrame, id_col: str = ID) -> DataFrame:
+    """``(source_text)``: what ``preprocess`` would translate and the memory lacks."""
+    return untranslated(check_quality(df, text_col, id_col), text_col, translations)
+
+
 def learn_vocabulary(
     df: DataFrame, text_col: str, flags: Mapping[str, bool], stop_words=None, emoji_words=None, min_count: int = 5, id_col: str = ID,
+    translations: DataFrame | None = None,
 ) -> DataFrame:
     """``(word, freq)`` of the texts as they are when spelling is checked. Learned once, it corrects any later text alike."""
-    rows = check_quality(df, text_col, id_col)
+    rows = translated(check_quality(df, text_col, id_col), text_col, flags, translations)
     early = rows.withColumn(text_col, clean_column(text_col, flags, stop_words, emoji_words, steps=_BEFORE))
     return build_word_counts(early, text_col, min_count)
 
@@ -82,11 +97,7 @@ def preprocess(
     id_col: str = ID,
 ) -> DataFrame:
     """Quality check, translation, cleaning, quality check again; written to ``save_to`` when given."""
-    out = check_quality(df, text_col, id_col)
-    if flags.get("translate_english"):
-        if translations is None:
-            raise ValueError("translate_english needs a translation memory (source_text, target_text)")
-        out = translate_english(out, text_col, translations)
+    out = translated(check_quality(df, text_col, id_col), text_col, flags, translations)
     out = clean_text(out, text_col, flags, stop_words, emoji_words, vocabulary, id_col)
     out = check_quality(out, text_col, id_col)
     if save_to is None:

@@ -273,6 +273,7 @@ class TopicExperiment:
         self.config = settings(args.get("model_config"))
         self.classes, self.id_col = classes, id_col
         self.model: TopicModel | None = None
+        self._given: dict = {}
 
     @property
     def _flags(self) -> dict:
@@ -283,9 +284,9 @@ class TopicExperiment:
         return self.config["task"] in SUPERVISED
 
     def _tables(self, tables: dict) -> dict:
-        """Cleaning tables with the model's own spelling vocabulary, so that a text is cleaned alike in any batch."""
+        """Cleaning tables of the fit and the model's own spelling vocabulary, so that a text is cleaned alike in any batch."""
         known = self.model.vocabulary if self.model else None
-        return {"vocabulary": known, **tables} if known is not None else tables
+        return {**self._given, **({"vocabulary": known} if known is not None else {}), **tables}
 
     def cleaned(self, df: DataFrame, **tables) -> DataFrame:
         text = self.data_args["text_col"]
@@ -298,8 +299,9 @@ class TopicExperiment:
     def fit(self, df: DataFrame, recorder: RunRecorder | None = None, **tables) -> DataFrame:
         text, target = self.data_args["text_col"], self.data_args["target_col"]
         if self._flags["check_spelling"] and "vocabulary" not in tables:
-            options = {k: v for k, v in tables.items() if k in ("stop_words", "emoji_words")}
+            options = {k: v for k, v in tables.items() if k in ("stop_words", "emoji_words", "translations")}
             tables = {**tables, "vocabulary": pin(learn_vocabulary(df, text, self._flags, id_col=self.id_col, **options))}
+        self._given = dict(tables)
         data = pin(self.cleaned(df, save_to=self.data_args.get("save_data_file"), **tables))
         train = data.where(F.col(target).isNotNull()) if self._supervised else data
         annotated, self.model = fit_topics(train, self.config, text, target if self._supervised else None, id_col=self.id_col)

@@ -44,7 +44,8 @@ def read_reviews(spark: SparkSession, path, schema: T.StructType | None = None,
     ids = [F.col(f"`{c}`").cast("bigint").alias(c) if c == id_col and c not in types else cell for c, cell in zip(raw.columns, cells)]
     if multi_line:
         schema_text = ", ".join("`{}` string".format(c.replace("`", "``")) for c in raw.columns)
-        record = F.from_csv("record", schema_text, {"multiLine": "true", "escape": '"', "quote": '"', "lineSep": "\n"}).alias("__cells")
+        # Headers are nulled before they are left out, so that no cast of their cells can be moved before that.
+        record = F.from_csv(F.when(F.col("place") > 0, F.col("record")), schema_text, {"multiLine": "true", "escape": '"', "quote": '"', "lineSep": "\n"}).alias("__cells")
         found = split_records(spark, path).where("place > 0").select(F.col("number").alias("__number"), record).select("__number", "__cells.*")
         return found.select(*ids) if id_col in raw.columns else found.select(F.col("__number").alias(id_col), *cells)
     if id_col in raw.columns:
@@ -65,6 +66,11 @@ def read_class_mapping(spark: SparkSession, path: str) -> DataFrame:
     return _read_map(spark, path).select(F.col("key").cast("int").alias("id"), F.col("value").alias("name"))
 
 
+def read_stop_words(spark: SparkSession, path: str) -> list[str]:
+    """Words of a list with one a line, in its order; read once and then part of the plan."""
+    return list(dict.fromkeys(w for r in spark.read.text(path, wholetext=True).collect() for w in r[0].split()))
+
+
 def read_emoji_map(spark: SparkSession, path: str) -> dict[str, str]:
     """Emoji to word from one JSON object; read once and then part of the plan."""
     return {r["key"]: r["value"] for r in _read_map(spark, path).collect()}

@@ -214,3 +214,20 @@ def test_coherence_masks(spark):
     got = {r["mask"]: r["windows"] for r in coherence.window_masks(df, "t", words, 2, window=2).collect()}
     # Windows of document 1: (aa bb) (bb cc) (cc dd) (dd aa); document 2: (bb).
     assert got == {3: 1, 2: 2, 1: 1}
+
+
+def test_kept_memory(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    table = lambda: {tuple(r) for r in translation.read_memory(spark, path).collect()}
+    answers = lambda rows: spark.createDataFrame(rows, "source_text string, target_text string")
+    assert table() == set()
+    first = [(f"text {i}", f"one {i}") for i in range(300)]
+    translation.remember(answers([*first, ("text 7", "least"), (None, "x"), ("gone", None)]), path)
+    assert table() == {*first} - {("text 7", "one 7")} | {("text 7", "least")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "memory").glob("bucket=*/*.parquet")}
+    new = answers([("text 9", "two 9"), ("", "empty"), ("new", "n")])
+    for _ in range(2):  # the same batch again changes nothing
+        translation.remember(new, path)
+        assert table() == {*first} - {("text 7", "one 7"), ("text 9", "one 9")} | {("text 7", "least"), ("text 9", "two 9"), ("", "empty"), ("new", "n")}
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "memory").glob("bucket=*/*.parquet")}
+    assert len(before.items() & after.items()) >= len(before) - 3  # only the buckets of new answers were replaced
