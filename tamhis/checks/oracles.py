@@ -209,10 +209,10 @@ def _clean_words_sql() -> str:
     FROM (SELECT *, ({RANKED})::INTEGER AS r FROM weighted) WHERE r <= 15"""
 
 
-def _coherence_sql() -> str:
+def _coherence_sql(words: int = fixed.TOP_TERMS) -> str:
     return f"""
     WITH {weights()},
-    top AS (SELECT lang, term, r FROM (SELECT *, {RANKED} AS r FROM weighted) WHERE r <= 15),
+    top AS (SELECT lang, term, r FROM (SELECT *, {RANKED} AS r FROM weighted) WHERE r <= {words}),
     tok AS (SELECT doc_id, {TOKENS} AS w FROM documents),
     total AS (SELECT sum(greatest(len(w) - 109, 1))::DOUBLE AS n FROM tok WHERE len(w) > 0),
     spot AS (SELECT doc_id, len(w) AS size, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM tok),
@@ -428,6 +428,7 @@ def all_oracles() -> dict[str, str]:
             round(coalesce(max(m) FILTER (pos = 1), 0), 6) AS first
             FROM src LEFT JOIN head ON head.doc_id = src.doc_id LEFT JOIN top USING (term) GROUP BY src.doc_id""",
         "coherence_cv": _coherence_sql(),
+        "coherence_wide": _coherence_sql(q.WIDE_TERMS),
         "rerank_terms": f"""WITH {DESCRIBED},
             sc AS (SELECT c.lang, t.term, {COSINE} AS weight FROM cand JOIN tvec t USING (term) JOIN centre c ON c.lang = cand.lang AND c.i = t.i GROUP BY c.lang, t.term)
             SELECT lang, term, round(weight, 6) AS weight, r AS rank FROM (SELECT *, ({RANKED})::INTEGER AS r FROM sc) WHERE r <= 15""",

@@ -27,6 +27,7 @@ CHAIN = flags_from(
     ("normalize", "remove_url_email", "remove_punct", "remove_repeated_chars", "remove_repeated_words",
      "remove_long_words", "remove_english", "remove_stopwords", "stem")
 )
+WIDE_TERMS = 200  # more words a topic than a report shows
 FULL_CHAIN = flags_from(fixed.CLEANING_STEPS)
 MINIMUM_SLICE = flags_from(("remove_url_email", "remove_punct", "remove_repeated_chars", "remove_repeated_words"))
 
@@ -332,6 +333,12 @@ def coherence_cv(spark, sf_dir):
     return found.select("lang", six("coherence").alias("coherence"))
 
 
+def coherence_wide(spark, sf_dir):
+    words = _lang_words(spark, sf_dir, WIDE_TERMS)
+    found = coherence.coherence_by_topic(documents(spark, sf_dir), "text", words, n=WIDE_TERMS, by="lang")
+    return found.select("lang", six("coherence").alias("coherence"))
+
+
 def _text_vectors(spark, sf_dir) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(vecs, "doc_id")
@@ -503,7 +510,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top_terms, encode_fixed, encode_labels, holdout_split, assemble_result, nearest_centroid, topic_probabilities,
         topic_sizes, min_topic_size, cosine_knn, knn_lsh, knn_descent, topic_similarity, term_decline, topic_words, topic_map,
         topic_distribution, topics_per_class, weighted_metrics, confusion, confusion_wide, class_report, roc_points,
-        roc_micro, metrics_on_topics, coherence_cv, rerank_terms, mmr_terms, zero_shot_names, sentence_vectors,
+        roc_micro, metrics_on_topics, coherence_cv, coherence_wide, rerank_terms, mmr_terms, zero_shot_names, sentence_vectors,
         word_position_vectors, pca_vectors, document_map, kmeans_topics, mixture_topics, density_topics, ward_topics,
         spectral_topics, reduce_topics, classify_lr, classify_nb, retrain_nb, classify_mlp, table_digest, spelling_documents, full_chain,
     ):

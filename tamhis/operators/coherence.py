@@ -10,67 +10,52 @@ from tamhis.operators.quality import ID
 from tamhis.session import pin, small
 
 EPSILON = 1e-12
-MAX_WORDS = 63  # words of a topic share the bits of one long
 
 
-def window_masks(
-    df: DataFrame, text_col: str, words: DataFrame, n: int, window: int = 110, by: str = "topic", id_col: str = ID
+def pair_windows(
+    df: DataFrame, text_col: str, words: DataFrame, window: int = 110, by: str = "topic", id_col: str = ID
 ) -> DataFrame:
-    """``(topic, mask, windows)``: how many windows hold exactly the topic words of the mask.
+    """``(topic, i, j, windows)``: how many windows hold both words of a topic, by their places ``i <= j`` (rank less 1); ``i = j`` is one word alone.
 
-    Windows are not exploded. A word enters and leaves the moving window at two places; between two such
-    places the set of words stands still, and all windows there are counted at once.
+    Windows are not exploded. A window belongs to the first place of either word in it, so each two places less than ``window`` apart
+    own one run of window starts: after the earlier places of both words, up to the nearer of the two. The lengths of these runs add up
+    to the number of windows, whatever the number of words.
     """
     tokens = tx.with_tokens(df, [id_col], tx.word_tokens(text_col)).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - window, F.lit(0))
     spots = tokens.select(id_col, last.alias("last"), F.posexplode("w").alias("pos", "term"))
-    listed = words.select(F.col(by).alias("topic"), "term", (F.col("rank") - 1).alias("bit"))
-    met = spots.join(small(listed), "term")
-    enters = F.struct(F.greatest(F.col("pos") - (window - 1), F.lit(0)).alias("at"), F.lit(1).alias("step"))
-    leaves = F.struct((F.least("pos", "last") + 1).alias("at"), F.lit(-1).alias("step"))
-    moves = met.select(id_col, "topic", "bit", F.inline(F.array(enters, leaves)))
-    # One exchange serves both the grouping and the window below.
-    moves = moves.repartition(id_col, "topic")
-    bits = range(n)
-    at = moves.groupBy(id_col, "topic", "at").agg(
-        *[F.sum(F.when(F.col("bit") == b, F.col("step")).otherwise(F.lit(0))).alias(f"b{b}") for b in bits]
-    )
-    order = Window.partitionBy(id_col, "topic").orderBy("at")
-    running = at.select(
-        "topic",
-        (F.lead("at").over(order) - F.col("at")).alias("windows"),
-        *[F.sum(f"b{b}").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"b{b}") for b in bits],
-    )
-    mask = F.lit(0).cast("bigint")
-    for b in bits:
-        mask = mask.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    masks = running.where(F.col("windows").isNotNull()).select("topic", mask.alias("mask"), "windows")
-    return masks.where(F.col("mask") != 0).groupBy("topic", "mask").agg(F.sum("windows").alias("windows"))
+    listed = words.select(F.col(by).alias("topic"), "term", (F.col("rank") - 1).cast("int").alias("bit"))
+    # One exchange serves both windows.
+    met = spots.join(small(listed), "term").select(id_col, "topic", "last", "pos", "bit").repartition(id_col, "topic")
+    same = Window.partitionBy(id_col, "topic", "bit").orderBy("pos")
+    ahead = Window.partitionBy(id_col, "topic").orderBy("pos").rangeBetween(0, window - 1)
+    met = met.withColumn("free", F.coalesce(F.lag("pos").over(same) + 1, F.lit(0)))
+    near = met.withColumn("near", F.collect_list(F.struct("pos", "bit", "free")).over(ahead))
+    near = near.select("topic", "last", "pos", "bit", "free", F.explode("near").alias("m"))
+    first = F.greatest("free", "m.free", F.col("m.pos") - (window - 1))
+    runs = near.select("topic", F.least("bit", "m.bit").alias("i"), F.greatest("bit", "m.bit").alias("j"),
+                       (F.least("pos", "last") - first + 1).alias("windows"))
+    return runs.where("windows > 0").groupBy("topic", "i", "j").agg(F.sum("windows").alias("windows"))
 
 
 def coherence_by_topic(
     df: DataFrame, text_col: str, words: DataFrame, n: int = 15, window: int = 110, by: str = "topic", id_col: str = ID
 ) -> DataFrame:
-    """``(topic, coherence)`` for ``words (topic, term, rank)`` with ranks 1 to ``n``."""
-    if not 1 <= n <= MAX_WORDS:
-        raise ValueError(f"n must lie between 1 and {MAX_WORDS}")
-    # Both tables are small and used several times: a row per topic word, and a row per pair of them.
+    """``(topic, coherence)`` for ``words (topic, term, rank)`` with ranks 1 to ``n``, any number of them.
+
+    The measure compares each word with all words of its topic, so a row per pair of them is made.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    # Both tables are used several times: a row per topic word, and a row per pair of them.
     words = pin(words.where(F.col("rank") <= n))
-    masks = window_masks(df, text_col, words, n, window, by, id_col)
     size = F.size("w")
     total = tx.with_tokens(df, [], tx.word_tokens(text_col)).where(size > 0).agg(
         F.sum(F.greatest(size - (window - 1), F.lit(1))).cast("double").alias("total")
     )
-    held = F.filter(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda b: F.getbit("mask", b) == 1,
-    )
-    singles = masks.select("topic", "windows", held.alias("held")).select("topic", "windows", "held", F.explode("held").alias("i"))
-    pairs = pin(
-        singles.select("topic", "windows", "i", F.explode("held").alias("j"))
-        .groupBy("topic", "i", "j")
-        .agg(F.sum("windows").cast("double").alias("c"))
-    )
+    counted = pair_windows(df, text_col, words, window, by, id_col).select("topic", "i", "j", F.col("windows").cast("double").alias("c"))
+    counted = pin(counted)
+    pairs = counted.unionByName(counted.where("i <> j").select("topic", F.col("j").alias("i"), F.col("i").alias("j"), "c"))
     ranks = words.select(F.col(by).alias("topic"), (F.col("rank") - 1).alias("i"))
     most = ranks.groupBy("topic").agg(F.max("i").alias("m"))
     grid = ranks.join(most, "topic").select("topic", "i", F.explode(F.sequence(F.lit(0), "m")).alias("j"))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,12 +209,39 @@ def test_topic_metrics(spark):
     assert raw["accuracy"] == 0.0 and named["accuracy"] == 0.75
 
 
-def test_coherence_masks(spark):
+def test_coherence_pairs(spark):
     df = spark.createDataFrame([(1, "aa bb cc dd aa"), (2, "bb"), (3, "")], "doc_id long, t string")
     words = spark.createDataFrame([("t", "aa", 1), ("t", "bb", 2)], "topic string, term string, rank int")
-    got = {r["mask"]: r["windows"] for r in coherence.window_masks(df, "t", words, 2, window=2).collect()}
+    got = {(r["i"], r["j"]): r["windows"] for r in coherence.pair_windows(df, "t", words, window=2).collect()}
     # Windows of document 1: (aa bb) (bb cc) (cc dd) (dd aa); document 2: (bb).
-    assert got == {3: 1, 2: 2, 1: 1}
+    assert got == {(0, 0): 2, (1, 1): 3, (0, 1): 1}
+
+
+@pytest.mark.parametrize("window", [1, 4, 30])
+def test_coherence_of_many_words_by_brute_force(spark, window):
+    draw = random.Random(window)
+    listed = [f"w{i:02d}" for i in range(90)]
+    texts = [" ".join(draw.choice([*listed, "hot", "hot", "other"]) for _ in range(draw.randrange(70))) for _ in range(40)] + ["hot " * 50]
+    lists = {"a": [*listed[:70], "hot", "never"], "b": listed[40:]}
+    words = [(t, w, r + 1) for t, ws in lists.items() for r, w in enumerate(ws)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    words = spark.createDataFrame(words, "topic string, term string, rank int")
+    windows = [set(t.split()[i : i + window]) for t in texts if t for i in range(max(len(t.split()) - window + 1, 1))]
+    wanted = {}
+    for topic, ws in lists.items():
+        held = np.array([[w in seen for w in ws] for seen in windows], float)
+        joint = held.T @ held
+        got = {(r["i"], r["j"]): r["windows"] for r in coherence.pair_windows(df, "t", words, window).where(F.col("topic") == topic).collect()}
+        assert got == {(i, j): joint[i, j] for i in range(len(ws)) for j in range(i, len(ws)) if joint[i, j]}
+        p = joint / len(windows)
+        alone = np.outer(p.diagonal(), p.diagonal())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.where(alone > 0, np.log((p + 1e-12) / alone) / -np.log(p + 1e-12), 0.0)
+        whole = v.sum(0)
+        sizes = np.sqrt((v * v).sum(1)) * np.sqrt((whole * whole).sum())
+        wanted[topic] = np.mean([v[i] @ whole / sizes[i] if sizes[i] > 0 else 0.0 for i in range(len(ws))])
+    found = {r["topic"]: r["coherence"] for r in coherence.coherence_by_topic(df, "t", words, n=100, window=window).collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[t] - wanted[t]) < 1e-9 for t in wanted)
 
 
 def test_kept_memory(spark, tmp_path):
