@@ -7,19 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamhis.functions import text as tx
-from tamhis.session import pin
+from tamhis.session import pin, small
 
 BUCKETS = 256  # parts of a kept memory; fixed, as it tells where a text lies
 _KEPT = "source_text string, target_text string, bucket int"
 
 
 def _memory(memory: DataFrame) -> DataFrame:
-    best = memory.groupBy("source_text").agg(F.min("target_text").alias("__target"))
-    return best.select(F.md5("source_text").alias("__key"), F.col("source_text").alias("__source"), "__target")
-
-
-def _matches(key, text_col):
-    return (F.col("__key") == key) & (F.col("__source") == F.col(text_col))
+    """One target a text. The join is on the text itself, so that the exchange of this grouping serves it too."""
+    return memory.groupBy(F.col("source_text").alias("__source")).agg(F.min("target_text").alias("__target"))
 
 
 def translate_english(df: DataFrame, text_col: str, memory: DataFrame) -> DataFrame:
@@ -28,7 +24,7 @@ def translate_english(df: DataFrame, text_col: str, memory: DataFrame) -> DataFr
     Only English rows enter the join; the rest pass by without a shuffle.
     """
     english = tx.detect_language(text_col) == "en"
-    routed = df.where(english).join(_memory(memory), _matches(F.md5(text_col), text_col), "left")
+    routed = df.where(english).join(_memory(memory), F.col("__source") == F.col(text_col), "left")
     routed = routed.withColumn(text_col, F.coalesce("__target", text_col)).select(*df.columns)
     return routed.unionByName(df.where(F.coalesce(~english, F.lit(True))))
 
@@ -36,7 +32,7 @@ def translate_english(df: DataFrame, text_col: str, memory: DataFrame) -> DataFr
 def untranslated(df: DataFrame, text_col: str, memory: DataFrame) -> DataFrame:
     """Distinct English texts that the memory lacks: the work list for a translator."""
     english = df.where(tx.detect_language(text_col) == "en").select(F.col(text_col).alias("source_text")).distinct()
-    return english.join(_memory(memory), _matches(F.md5("source_text"), "source_text"), "left_anti")
+    return english.join(_memory(memory), F.col("source_text") == F.col("__source"), "left_anti")
 
 
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
@@ -60,12 +56,17 @@ def remember(answers: DataFrame, path: str) -> None:
     targets in one batch the least counts; rows without a text or a target are left out. One writer at a time; doing the
     same batch again gives the same table, so a run that ended while buckets were being replaced is mended by repeating it.
     """
-    spark = answers.sparkSession
     known = answers.where("source_text IS NOT NULL AND target_text IS NOT NULL")
     new = known.groupBy("source_text").agg(F.min("target_text").alias("target_text"))
-    new = pin(new.withColumn("bucket", F.pmod(F.xxhash64("source_text"), F.lit(BUCKETS)).cast("int")))
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-    old = _kept(spark, path).where(F.col("bucket").isin(touched)).join(new.select("source_text"), "source_text", "left_anti")
-    # Pinned before the write, which replaces the files it was read from.
-    merged = pin(new.unionByName(old).repartition("bucket"))
+    new = new.withColumn("bucket", F.pmod(F.xxhash64("source_text"), F.lit(BUCKETS)).cast("int"))
+    old = _kept(answers.sparkSession, path)
+    if old.isEmpty():
+        merged = new.repartition("bucket")
+    else:
+        new = pin(new)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        replaced = small(pin(new.select("bucket", F.sha2("source_text", 256).alias("digest"))))
+        old = old.where(F.col("bucket").isin(touched)).withColumn("digest", F.sha2("source_text", 256))
+        # Pinned before the write, which replaces the files it was read from.
+        merged = pin(new.unionByName(old.join(replaced, ["bucket", "digest"], "left_anti").drop("digest")).repartition("bucket"))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
