@@ -54,7 +54,7 @@ def remember(answers: DataFrame, path: str) -> None:
 
     The table lies in buckets by the hash of the text, and only those that new answers fall into are read and replaced. Of several
     targets in one batch the least counts; rows without a text or a target are left out. One writer at a time; doing the
-    same batch again gives the same table, so a run that ended while buckets were being replaced is mended by repeating it.
+    same batch again gives the same table. A driver lost while buckets are being replaced can leave one of them missing: keep a copy.
     """
     known = answers.where("source_text IS NOT NULL AND target_text IS NOT NULL")
     new = known.groupBy("source_text").agg(F.min("target_text").alias("target_text"))
