@@ -1,12 +1,15 @@
 """Spelling correction against a corpus vocabulary by equi-joins alone.
 
-A word within two edits of another meets it in a shared *form*: letters deleted on either side, or replaced
+A word within two edits of a short token meets it in a shared *form*: letters deleted on either side, or replaced
 by a blank on both. ``blanks + letters deleted from the token + letters deleted from the word`` is the number
 of edits. The vocabulary index keeps one word, the best, per ``(form, letters deleted)``, so the join key is
 unique on that side: a token meets at most one row per form, however many words share the form, and no
-list of candidate pairs is ever built.
+list of candidate pairs is built.
 
-The number of forms grows with the square of the length, so longer tokens go another way to the same result: of three
+Short forms are shared by many words, long ones by few. Tokens of more than ``UNIQUE_LENGTH`` letters therefore meet words in what is left
+of both after deletions alone, a quarter of the forms and known by their hash, and the distance is then counted.
+
+The number of forms grows with the square of the length, so the longest tokens go a third way to the same result: of three
 parts of a word two edits leave one whole, at most two places from where it was. Token and word meet in such a part, and
 the distance is then counted.
 """
@@ -21,7 +24,8 @@ from tamhis.operators.quality import ID
 from tamhis.session import pin, small
 
 _BLANK = "\ue001"  # private-use character standing for a replaced letter
-FORM_LENGTH = 25  # tokens up to here are met by forms, longer ones by parts
+UNIQUE_LENGTH = 6  # tokens up to here are met by forms with a unique key, longer ones by deletions
+FORM_LENGTH = 25  # tokens up to here are met by forms or deletions, longer ones by parts
 
 
 def build_word_counts(df: DataFrame, text_col: str, min_count: int = 5) -> DataFrame:
@@ -65,9 +69,12 @@ def _forms(df: DataFrame, word: str, edits: int) -> DataFrame:
 
 
 def _index(vocabulary: DataFrame, edits: int, length: int) -> DataFrame:
-    """Best word per ``(form, letters deleted from the word)``: most frequent, then the larger string."""
-    usable = vocabulary.where(F.length("word").between(1, length + 2))
-    rows = _forms(usable.select("word", "freq"), "word", edits)
+    """Best word per ``(form, letters deleted from the word)``: most frequent, then the larger string.
+
+    No form of a token is longer than the token, so longer forms are left out.
+    """
+    usable = vocabulary.where(F.length("word").between(1, length + edits))
+    rows = _forms(usable.select("word", "freq"), "word", edits).where(F.length("form") <= length)
     return rows.groupBy("form", "deleted").agg(F.max(F.struct("freq", "word")).alias("best"))
 
 
@@ -80,6 +87,27 @@ def _within(tokens: DataFrame, index: DataFrame, edits: int) -> DataFrame:
     return met.groupBy("token").agg(F.max("best").alias("best")).select("token", F.col("best.word").alias("fix"))
 
 
+def _deletions(df: DataFrame, word: str, edits: int) -> DataFrame:
+    """``df`` with the hash ``key`` of each form that up to ``edits`` deletions leave of ``word``; a key may repeat."""
+    size = F.length(word)
+    first = F.sequence(F.lit(0), size) if edits == 2 else F.array(F.lit(0))
+    spots = df.select("*", F.explode(first).alias("i")).select("*", F.explode(F.sequence("i", size)).alias("j"))
+    i, j = F.col("i"), F.col("j")
+    spots = spots.where((j == 0) | (i < j))
+    one = F.when(j == 0, F.col(word)).otherwise(_cut(F.col(word), j, ""))
+    left = spots.select(*df.columns, "i", one.alias("left"))
+    return left.select(*df.columns, F.xxhash64(F.when(F.col("i") == 0, F.col("left")).otherwise(_cut(F.col("left"), F.col("i"), ""))).alias("key"))
+
+
+def _by_deletions(tokens: DataFrame, vocabulary: DataFrame, edits: int, above: int, length: int) -> DataFrame:
+    """Best word at ``edits`` edits per token of ``above`` to ``length`` letters, given that nothing is nearer."""
+    usable = vocabulary.where(F.length("word").between(above + 1 - edits, length + edits))
+    index = _deletions(usable.select("word", "freq"), "word", edits)
+    met = _deletions(tokens.select("token"), "token", edits).join(index, "key")
+    near = met.where(F.levenshtein("token", "word", edits) == edits)
+    return near.groupBy("token").agg(F.max(F.struct("freq", "word")).alias("best")).select("token", F.col("best.word").alias("fix"))
+
+
 def _by_parts(tokens: DataFrame, vocabulary: DataFrame, length: int) -> DataFrame:
     """``(token, fix)`` for tokens longer than ``length``: the nearest word within two edits."""
     words = vocabulary.where(F.length("word") > length - 2).withColumn("size", F.length("word"))
@@ -114,10 +142,16 @@ def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, length: int = FORM_
     )
     # These tables are used several times and would otherwise read the corpus again each time.
     unknown = pin(unknown)
-    short = unknown.where(F.length("token") <= length)
-    near = pin(_within(short, _index(vocabulary, 1, length), 1))
-    rest = short.join(near, "token", "left_anti")
-    return near.unionByName(_within(rest, _index(vocabulary, 2, length), 2)).unionByName(_by_parts(unknown, vocabulary, length))
+    unique = min(UNIQUE_LENGTH, length)
+
+    def nearest(rows: DataFrame, edits: int) -> DataFrame:
+        short = rows.where(F.length("token") <= unique)
+        middle = rows.where(F.length("token").between(unique + 1, length))
+        return _within(short, _index(vocabulary, edits, unique), edits).unionByName(_by_deletions(middle, vocabulary, edits, unique, length))
+
+    near = pin(nearest(unknown, 1))
+    rest = unknown.join(near, "token", "left_anti")
+    return near.unionByName(nearest(rest, 2)).unionByName(_by_parts(unknown, vocabulary, length))
 
 
 def check_spelling(

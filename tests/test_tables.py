@@ -110,6 +110,24 @@ def test_spelling_equals_brute_force(spark):
     assert {r["token"]: r["fix"] for r in got.collect()} == want
 
 
+def test_spelling_by_deletions(spark):
+    rng = random.Random(11)
+    word = lambda low, high: "".join(rng.choice("abسé") for _ in range(rng.randint(low, high)))
+    vocabulary = {word(4, 11): rng.randint(1, 3) for _ in range(200)}
+    tokens = sorted({word(4, 11) for _ in range(300)} - vocabulary.keys())
+    table = spark.createDataFrame(list(vocabulary.items()), "word string, freq long")
+    got = spelling.correct_tokens(spark.createDataFrame([(t,) for t in tokens], "token string"), table)
+    want = {}
+    for t in tokens:
+        near = [(-d, f, w.encode()) for w, f in vocabulary.items() if (d := distance(t, w)) <= 2]
+        want |= {t: max(near)[2].decode()} if near else {}
+    assert len(want) > 50 and {r["token"]: r["fix"] for r in got.collect()} == want
+    # What a long token sends over the network: itself, 12 and 66 deletions, and not four forms of each two places.
+    long = spark.createDataFrame([("abcdefghijkl",)], "token string")
+    keys = spelling._deletions(long, "token", 2)
+    assert keys.count() == keys.select("key").distinct().count() == 79
+
+
 def test_spelling_of_texts(spark):
     df = spark.createDataFrame([(1, "hello wrld teh"), (2, "helo"), (3, "helo  wordl xxxxxxx"), (4, None), (5, "")],
                                "doc_id long, t string")
