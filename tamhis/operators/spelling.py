@@ -26,6 +26,7 @@ from tamhis.session import pin, small
 _BLANK = "\ue001"  # private-use character standing for a replaced letter
 UNIQUE_LENGTH = 6  # tokens up to here are met by forms with a unique key, longer ones by deletions
 FORM_LENGTH = 25  # tokens up to here are met by forms or deletions, longer ones by parts
+FIXES_BYTES = 8 << 20  # a broadcast passes through the driver, and takes several times its measured size there
 
 
 def build_word_counts(df: DataFrame, text_col: str, min_count: int = 5) -> DataFrame:
@@ -162,12 +163,12 @@ def check_spelling(
     The corpus is turned into tokens once per document and token. Only tokens that do have a fix come
     back, grouped by document into a small map that is applied inside the row.
     """
-    if vocabulary is None:
-        vocabulary = build_word_counts(df, text_col, min_count)
     several = F.size(tx.blank_tokens(text_col)) > 1
     df = pin(df)  # read four times below
+    if vocabulary is None:
+        vocabulary = build_word_counts(df, text_col, min_count)
     used = df.where(several).select(id_col, F.explode(F.array_distinct(tx.blank_tokens(text_col))).alias("token"))
-    fixes = small(pin(correct_tokens(used, vocabulary)))
+    fixes = small(pin(correct_tokens(used, vocabulary)), FIXES_BYTES)
     per_doc = (
         used.join(fixes, "token")
         .groupBy(id_col)

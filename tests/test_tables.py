@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamhis import session
 from tamhis.checks import queries
 from tamhis.functions import fixed
 from tamhis.operators import coherence, encoding, metrics, quality, spelling, terms, translation
@@ -136,6 +137,14 @@ def test_spelling_of_texts(spark):
     assert got == {1: "hello world the", 2: "helo", 3: "hello  world xxxxxxx", 4: None, 5: ""}
 
 
+def test_large_tables_of_fixes_stay_off_the_driver(spark, monkeypatch):
+    limits = []
+    monkeypatch.setattr(spelling, "small", lambda df, limit=session.BROADCAST_BYTES: limits.append(limit) or df)
+    df = spark.createDataFrame([(1, "hello wrld teh"), (2, "hello world the")] * 3, "doc_id long, t string")
+    spelling.check_spelling(df, "t", min_count=3).collect()
+    assert limits == [spelling.FIXES_BYTES] and limits[0] <= 8 << 20
+
+
 def test_full_chain_by_brute_force(spark, tmp_path):
     rng = random.Random(3)
     roots = ["".join(rng.choice("bcdefghijlmnoprstuwyz") for _ in range(rng.randint(4, 8))) for _ in range(30)]
