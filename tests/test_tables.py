@@ -271,6 +271,18 @@ def test_coherence_of_many_words_by_brute_force(spark, window):
     assert found.keys() == wanted.keys() and all(abs(found[t] - wanted[t]) < 1e-9 for t in wanted)
 
 
+def test_pairs_of_places_are_never_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(["aa", "bb", "cc"][: i + 1] * 40)) for i in range(3)] + [(None, "aa aa")], "doc_id long, t string")
+    words = spark.createDataFrame([("t", w, r) for r, w in enumerate(("aa", "bb", "cc"), 1)] + [(None, "aa", 1)], "topic string, term string, rank int")
+    found = coherence.pair_windows(df.union(df), "t", words, 5)
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    wanted = {tuple(r) for r in found.collect()}
+    assert {(r[0], r[1], r[2]) for r in wanted} == {("t", i, j) for i in range(3) for j in range(i, 3)} | {(None, 0, 0)}
+    monkeypatch.setattr(coherence, "SPOTS", 7)
+    monkeypatch.setattr(coherence, "CELLS", 2)
+    assert {tuple(r) for r in coherence.pair_windows(df, "t", words, 5).collect()} == wanted
+
+
 def test_kept_memory(spark, tmp_path):
     path = str(tmp_path / "memory")
     table = lambda: {tuple(r) for r in translation.read_memory(spark, path).collect()}
