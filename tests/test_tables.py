@@ -283,6 +283,17 @@ def test_pairs_of_places_are_never_rows(spark, monkeypatch):
     assert {tuple(r) for r in coherence.pair_windows(df, "t", words, 5).collect()} == wanted
 
 
+def test_a_memory_moves_no_source_texts(spark):
+    df = spark.createDataFrame([(1, "hello"), (2, "other")], "doc_id long, t string")
+    memory = spark.range(1).select(F.lit("hello").alias("source_text"), F.lit("x").alias("target_text"))
+    memory = memory.union(spark.createDataFrame([("a", "b")], "source_text string, target_text string"))
+    found = translation._memory(memory)
+    assert "source_text" not in " ".join(found.columns) and found.schema["__source"].dataType.simpleString() == "binary"
+    assert sorted(tuple(r) for r in translation.translate_english(df, "t", memory).collect()) == [(1, "x"), (2, "other")]
+    merged = translation._by_bucket(memory.withColumn("bucket", F.lit(1)))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_kept_memory(spark, tmp_path):
     path = str(tmp_path / "memory")
     table = lambda: {tuple(r) for r in translation.read_memory(spark, path).collect()}
