@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tamhis.functions import text as tx
 from tamhis.functions.vectors import as_array
@@ -164,18 +166,9 @@ def topic_distribution(
     windows themselves are never exploded. Holds for non-negative weights and no similarity threshold.
     """
     tokens = tx.with_tokens(df, [id_col], tx.word_tokens(text_col)).where(F.size("w") > 0)
-    last = F.greatest(F.size("w") - (window - 1), F.lit(1))
-    inverse = F.transform(
-        F.sequence(F.lit(1), last), lambda i: 1.0 / F.sqrt(_squared_length(F.slice("w", i, window)))
-    )
-    spread = tx.with_tokens(tokens, [id_col, "w"], inverse, "inv")
-
-    def at(p):
-        found = [F.coalesce(F.get("inv", p - back), F.lit(0.0)) for back in range(window)]
-        return sum(found[1:], found[0])
-
-    places = F.transform("w", lambda term, p: F.struct(term.alias("term"), at(p).alias("c")))
-    cells = spread.select(id_col, F.explode(places).alias("p")).select(id_col, "p.term", "p.c")
+    schema = T.StructType([tokens.schema[id_col], tokens.schema["w"], T.StructField("c", T.ArrayType(T.DoubleType()))])
+    spread = tokens.mapInArrow(_window_parts(window, to_arrow_schema(schema)), schema)
+    cells = spread.select(id_col, F.inline(F.arrays_zip(F.col("w").alias("term"), F.col("c").alias("c"))))
     sizes = weights.groupBy(by).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__size"))
     unit = weights.join(sizes, by).select("term", F.struct(F.col(by).alias("topic"), (F.col("weight") / F.col("__size")).alias("u")).alias("cell"))
     # While the weights fit into memory no token leaves its task; the sums per text are then combined in place.
@@ -186,11 +179,40 @@ def topic_distribution(
     return sums.select(id_col, F.col("topic").alias(by), F.coalesce(F.try_divide("s", whole), F.lit(0.0)).alias("share"))
 
 
-def _squared_length(part):
-    """Squared length of the count vector of a small token array: the number of equal ordered pairs."""
-    pairs = F.size(F.flatten(F.transform(part, lambda a: F.filter(part, lambda b: a == b))))
-    size = F.size(part)
-    return F.when(F.size(F.array_distinct(part)) == size, size).otherwise(pairs).cast("double")
+def _window_parts(window: int, schema: pa.Schema):
+    """Arrow batches of ``(id, tokens)`` to ``(id, terms, numbers)``: for each term the sum of ``1 / length`` over its places and the windows that hold them.
+
+    The squared length of the count vector of a window is the number of equal ordered pairs of its tokens.
+    """
+    def ahead(values, by):
+        return np.concatenate([values[by:], np.zeros(min(by, len(values)), values.dtype)])
+
+    def work(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            terms, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            place = np.arange(len(word)) - starts[owner]
+            square = np.minimum(sizes, window)[owner].astype(float)
+            for gap in range(1, window):
+                equal = np.zeros(len(word), bool)
+                equal[:-gap] = (word[gap:] == word[:-gap]) & (owner[gap:] == owner[:-gap])
+                for step in range(window - gap):
+                    square += 2 * ahead(equal, step)
+            inverse = np.where(place < np.maximum(sizes - (window - 1), 1)[owner], 1.0 / np.sqrt(square), 0.0)
+            total = inverse.copy()
+            for back in range(1, window):
+                total[back:] += np.where(place[back:] >= back, inverse[:-back], 0.0)
+            # A term that a text repeats is one number.
+            codes, at = np.unique(owner * max(1, len(terms)) + word, return_inverse=True)
+            offsets = pa.array(np.searchsorted(codes, np.arange(len(sizes) + 1) * max(1, len(terms))).astype(np.int32))
+            parts = [terms.take(pa.array(codes % max(1, len(terms)))), pa.array(np.bincount(at, total, len(codes)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offsets, x) for x in parts)], names=schema.names).cast(schema)
+
+    return work
 
 
 def topics_per_class(

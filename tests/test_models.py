@@ -495,3 +495,21 @@ def test_naive_bayes_against_plain_sums(spark):
         scores = [np.log((docs[y] + 1) / 6) + sum(np.log((counts[y].get(w, 0) + 1) / (words[y] + size)) for w in known) for y in (0, 1)]
         assert got[i]["prediction"] == int(np.argmax(scores))
         assert np.allclose(got[i]["probability"], np.exp(scores) / np.exp(scores).sum())
+
+
+def test_topic_distribution_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"], n)) for n in (0, 1, 2, 3, 4, 5, 9, 40)]
+    weights = [("x", "aa", 1.0), ("x", "bb", 2.0), ("y", "bb", 1.0), ("y", "cc", 0.5)]
+    unit = {t: sum(w * w for a, _, w in weights if a == t) ** 0.5 for t in "xy"}
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, t string")
+    wanted = {}
+    for doc, text in enumerate(texts):
+        words = text.split()
+        parts = [words[i : i + 4] for i in range(max(len(words) - 3, 1)) if words]
+        lengths = [sum(p.count(q) ** 2 for q in set(p)) ** 0.5 for p in parts]
+        sums = {t: sum(w * p.count(word) / unit[t] / n for p, n in zip(parts, lengths, strict=True) for a, word, w in weights if a == t) for t in "xy"}
+        wanted |= {(doc, t): round(s / sum(sums.values()), 9) for t, s in sums.items() if s}
+    found = reports.topic_distribution(df, "t", spark.createDataFrame(weights, "topic string, term string, weight double"))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # windows as arrays, not as nested expressions
+    assert {(r["doc_id"], r["topic"]): round(r["share"], 9) for r in found.collect()} == wanted
