@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,19 @@ def test_windows_and_lengths_by_brute_force():
     assert max(distance.gains(toxicity.windows(toxicity.running("some wording that is known here alone")))) >= 8
 
 
+def test_windows_are_compressed_together(monkeypatch):
+    rng = random.Random(4)
+    texts = [toxicity.running(" ".join(rng.choice("red green blue yellow black".split()) for _ in range(n))) for n in (0, 1, 50, 400)]
+    distance = toxicity.Distance(texts[2] * 3, texts[3])
+    parts = [w for text in texts for w in toxicity.windows(text)]
+    framed = [distance._head + part + distance._tail for part in parts]
+    plain = [len(distance._ordinary.compress(x)) - len(distance._toxic.compress(x)) for x in framed]
+    monkeypatch.setattr(toxicity, "_MANY", 1)
+    monkeypatch.setattr(toxicity, "_AT_ONCE", 7)
+    assert distance.gains(parts) == plain and any(plain)
+    assert (distance.profiles(texts) == np.array([distance.profile(text) for text in texts])).all()
+
+
 def test_toxicity_edge_cases(spark):
     docs = cases.documents(spark, extra=True)
     labels = spark.createDataFrame([(i, 1, i and i % 2) for i in (5, 6, 9, 12, None, 100, 101, 102)] + [(103, 1, None)], "doc_id long, quality int, toxic int")
