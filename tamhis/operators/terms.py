@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tamhis.functions import text as tx
 from tamhis.session import small
 
+_PLACES = 1 << 18  # places of tokens whose n-grams are counted at once
+
+
+def _without(tokens: Column, words: Sequence[str]) -> Column:
+    return F.filter(tokens, lambda w: ~w.isin(*words)) if words else tokens
+
 
 def explode_terms(
     df: DataFrame,
@@ -36,17 +47,62 @@ def explode_terms(
     if (low, high) == (1, 1):
         rows = df.select(*keep, F.explode(tokens).alias("term"))
         return rows.where(~F.col("term").isin(*words)) if words else rows
-    if words:
-        tokens = F.filter(tokens, lambda w: ~w.isin(*words))
-    rows = tx.with_tokens(df, keep, tokens, "__tokens")
+    rows = tx.with_tokens(df, keep, _without(tokens, words), "__tokens")
     return rows.select(*keep, F.explode(tx.word_ngrams(F.col("__tokens"), low, high)).alias("term"))
 
 
+def _partial_ngrams(rows: DataFrame, by: Sequence[str], low: int, high: int, places: int = _PLACES) -> DataFrame:
+    """``(*by, term, n)`` of ``(*by, __tokens)``, counted for ``places`` places of a batch at a time, so a term can come many times."""
+    nested = any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) for f in rows.select(*by).schema.fields)
+    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            columns, lists = [batch.column(i) for i in range(len(by))], batch.column(len(by))
+            tokens, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            # Rows with equal values of ``by`` share the first of their numbers; nested values are not compared, each row is its own.
+            group = np.arange(len(sizes))
+            if not nested and len(sizes):
+                keys = [f"k{i}" for i in range(len(by))]
+                first = pa.table([*columns, pa.array(group)], names=[*keys, "row"])
+                least = first.group_by(keys, use_threads=False).aggregate([("row", "min"), ("row", "list")])
+                lengths = pc.list_value_length(least["row_list"]).to_numpy()
+                group[pc.list_flatten(least["row_list"]).to_numpy()] = np.repeat(least["row_min"].to_numpy(), lengths)
+            for start in range(0, len(tokens), places):
+                grams, groups = [], []
+                for n in range(low, high + 1):
+                    at = np.arange(start, min(start + places, len(tokens) - n + 1))
+                    at = at[owner[at] == owner[at + n - 1]]
+                    parts = [tokens.take(pa.array(at + k)) for k in range(n)]
+                    grams.append(pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0])
+                    groups.append(group[owner[at]])
+                table = pa.table([pa.array(np.concatenate(groups)), pa.chunked_array(grams)], names=["row", "term"])
+                counted = table.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+                of = counted["row"].combine_chunks()
+                made = [*(c.take(of).cast(arrow.field(i).type) for i, c in enumerate(columns)), counted["term"], counted["count_all"]]
+                yield from pa.table(made, schema=arrow).to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(run, schema)
+
+
 def count_terms(df, text_col, by, stop_words=None, ngram_range=(1, 1)) -> DataFrame:
-    """``(*by, term, n)``; counts are combined before the shuffle."""
+    """``(*by, term, n)``; counts are combined before the shuffle.
+
+    Nearly every n-gram of several words is rare, so a task that grouped all of its own would only spill them. They are combined over a
+    stretch of tokens, which is enough for the frequent ones, dealt out and then grouped.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    rows = explode_terms(df, text_col, by, stop_words, ngram_range)
-    return rows.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
+    low, high = ngram_range
+    if high == 1 or isinstance(stop_words, DataFrame):
+        rows = explode_terms(df, text_col, by, stop_words, ngram_range)
+        return rows.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
+    if not 1 <= low <= high:
+        raise ValueError("need 1 <= low <= high")
+    rows = df.select(*by, _without(tx.word_tokens(text_col), tuple(dict.fromkeys(stop_words or ()))).alias("__tokens"))
+    partial = _partial_ngrams(rows, by, low, high)
+    return partial.repartition(*by, "term").groupBy(*by, "term").agg(F.sum("n").alias("n"))
 
 
 def term_idf(total_terms: Column, mean_words: Column, form: str) -> Column:
