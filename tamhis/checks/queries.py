@@ -16,7 +16,7 @@ from tamhis.operators import (
     translation, vectors,
 )
 from tamhis.plans.cleaning import clean_column, clean_text, flags_from, preprocess
-from tamhis.session import use_checkpoint_dir
+from tamhis.session import pin, use_checkpoint_dir
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC = "اإأآبىتثجحخةدذرزسشصؤضطگظعغ"
@@ -381,9 +381,9 @@ def sentence_vectors(spark, sf_dir):
 
 
 def word_position_vectors(spark, sf_dir):
-    docs = _text_vectors(spark, sf_dir)
+    docs = pin(_text_vectors(spark, sf_dir))
     words = terms.count_terms(docs, "text", "lang").select("term").distinct()
-    vecs = describe.term_vectors(docs, "text", words).select(F.col("term").alias("word"), "vec")
+    vecs = pin(describe.term_vectors(docs, "text", words).select(F.col("term").alias("word"), "vec"))
     flat = vectors.word_position_vectors(docs, "text", vecs, 64, 30)
     first = vectors.first_token_vectors(flat, 64)
     return flat.join(first.withColumnRenamed("vec", "first"), "doc_id").select(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,17 +16,54 @@ from tamhis.functions.vectors import array_of, as_array, as_vector, cosine
 from tamhis.session import pin, small
 
 CANDIDATES = 50
+_HELD_VALUES = 1 << 23  # numbers in the sums of a task before they are given away: 64 MB
+_OUT_ROWS = 4096
+
+
+def _partial_means(batches):
+    """``(term, vec, n)`` for each term of a run of documents: the mean vector of those that hold it, and how many they are."""
+    arrow = pa.schema([("term", pa.string()), ("vec", pa.list_(pa.float64())), ("n", pa.int64())])
+
+    def emit(places, sums, counts):
+        means = sums[: len(places)] / counts[: len(places), None]
+        offsets = np.arange(len(places) + 1, dtype=np.int32) * sums.shape[1]
+        columns = [pa.array(list(places), pa.string()), pa.ListArray.from_arrays(offsets, means.ravel()), pa.array(counts[: len(places)].astype(np.int64))]
+        whole = pa.RecordBatch.from_arrays(columns, schema=arrow)
+        return (whole.slice(at, _OUT_ROWS) for at in range(0, whole.num_rows, _OUT_ROWS))
+
+    places, sums, counts = {}, None, None
+    for batch in batches:
+        words, vecs = batch.column("terms"), batch.column("vec")
+        for row in range(batch.num_rows):
+            terms, vec = words[row].as_py(), vecs[row].values.to_numpy(zero_copy_only=False)
+            if sums is None or sums.shape[1] != len(vec) or len(places) + len(terms) > len(sums):
+                if places and (sums.shape[1] != len(vec) or len(places) + len(terms) > _HELD_VALUES // max(1, len(vec))):
+                    yield from emit(places, sums, counts)
+                    places, sums = {}, None
+                size = max(2 * len(places), len(places) + len(terms), 1 << 10)
+                grown, more = np.zeros((size, len(vec))), np.zeros(size)
+                if places:
+                    grown[: len(places)], more[: len(places)] = sums[: len(places)], counts[: len(places)]
+                sums, counts = grown, more
+            at = [places.setdefault(t, len(places)) for t in terms]  # a document's terms are distinct
+            sums[at] += vec
+            counts[at] += 1
+    if places:
+        yield from emit(places, sums, counts)
 
 
 def term_vectors(df: DataFrame, text_col: str, terms: DataFrame, vec_col: str = "vec") -> DataFrame:
     """``(term, vec)``: mean vector of the documents that hold each listed term.
 
-    Only listed terms get past the join, and vectors are summed in each task before the shuffle.
+    Each task adds up the vectors of its documents by term, so a vector leaves it once for a term and not once for each document that
+    holds the term; it holds ``_HELD_VALUES`` numbers at most before it gives them away. Only listed terms get past the join.
     """
     wanted = small(pin(terms.select("term").distinct()))
-    rows = df.select(F.explode(F.array_distinct(tx.word_tokens(text_col))).alias("term"), array_of(df, vec_col).alias("vec"))
-    met = rows.join(wanted, "term", "left_semi").select("term", as_vector("vec").alias("__v"))
-    return met.groupBy("term").agg(as_array(Summarizer.mean(F.col("__v"))).alias("vec"))
+    rows = df.select(F.array_distinct(tx.word_tokens(text_col)).alias("terms"), array_of(df, vec_col).cast("array<double>").alias("vec"))
+    sums = rows.where("vec IS NOT NULL AND size(terms) > 0").mapInArrow(_partial_means, "term string, vec array<double>, n bigint")
+    # Dealt out first: grouped before the exchange, all rows of a task with their vectors would be sorted for nothing.
+    met = sums.repartition("term").join(wanted, "term", "left_semi").select("term", as_vector("vec").alias("__v"), "n")
+    return met.groupBy("term").agg(as_array(Summarizer.mean(F.col("__v"), F.col("n").cast("double"))).alias("vec"))
 
 
 def _candidates(words: DataFrame, vectors: DataFrame, centres: DataFrame, by: str) -> DataFrame:

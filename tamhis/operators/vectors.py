@@ -79,7 +79,8 @@ def word_position_vectors(
     head = F.slice(tx.word_tokens(text_col), 1, max_length)
     rows = df.select(id_col, F.posexplode_outer(head).alias("pos", "word")).join(small(word_vectors), "word", "left")
     known = F.when(F.col("vec").isNotNull(), F.struct("pos", F.col("vec").cast("array<double>").alias("vec")))
-    packed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(known)).alias("cells"))
+    # Dealt out first: grouped before the exchange, the rows of a task would be sorted with their vectors, and no row would be saved.
+    packed = rows.repartition(id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(known)).alias("cells"))
     # Cells are ordered by position; missing positions are filled from a map of the few known ones.
     table = F.map_from_entries("cells")
     zeros = F.array_repeat(F.lit(0.0), dims)

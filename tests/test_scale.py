@@ -2,10 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamhis.operators import terms
+from tamhis.operators import describe, terms
 
 
 def below_the_last_exchange(df):
@@ -35,3 +36,34 @@ def test_ngrams_are_counted_by_stretches(spark, places):
 def test_ngrams_are_dealt_out_before_they_are_grouped(spark):
     df = spark.createDataFrame([("a", "xx yy zz")], "k string, t string")
     assert "HashAggregate" not in below_the_last_exchange(terms.count_terms(df, "t", "k", ngram_range=(1, 3)))
+
+
+def test_term_vectors_are_added_up_in_tasks(spark):
+    rng = np.random.default_rng(5)
+    words = [[f"w{i}" for i in rng.integers(0, 300, rng.integers(0, 60))] for _ in range(80)]
+    vecs = [None if i % 9 == 4 else [float(v) for v in rng.normal(size=3)] for i in range(80)]
+    df = spark.createDataFrame([(i, " ".join(w), v) for i, (w, v) in enumerate(zip(words, vecs))], "doc_id long, t string, vec array<double>")
+    listed = spark.createDataFrame([(f"w{i}",) for i in range(250)], "term string")
+    got = describe.term_vectors(df.repartition(5), "t", listed)
+    want = {}
+    for w, v in zip(words, vecs):
+        for term in set(w) if v else ():
+            want.setdefault(term, []).append(v)
+    found = {r["term"]: r["vec"] for r in got.collect()}
+    assert set(found) == {t for t in want if int(t[1:]) < 250}
+    assert all(np.allclose(v, np.mean(want[t], axis=0)) for t, v in found.items())
+    assert "ObjectHashAggregate" not in below_the_last_exchange(got) and "SortAggregate" not in below_the_last_exchange(got)
+
+
+def test_term_sums_are_given_away_when_full(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(describe, "_HELD_VALUES", 8)
+    batch = pa.record_batch({"terms": [["a", "b"], ["a", "c", "d"], ["a"], ["e", "f", "g", "h", "i"]], "vec": [[1.0, 0.0], [3.0, 0.0], [0.0, 6.0], [1.0, 1.0]]})
+    total, n = {}, Counter()
+    for part in describe._partial_means([batch, batch.slice(0, 0)]):
+        assert part.num_rows <= 5
+        for r in part.to_pylist():
+            total[r["term"]] = total.get(r["term"], 0) + np.array(r["vec"]) * r["n"]
+            n[r["term"]] += r["n"]
+    assert n["a"] == 3 and list(total["a"]) == [4.0, 6.0] and n["i"] == 1 and list(total["d"]) == [3.0, 0.0] and len(n) == 9
