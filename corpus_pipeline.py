@@ -33,7 +33,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, number and digest of the token ids, and digest of the bytes decoded from them."""
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    # Stored, so that a task holds the tables of the encoder or of the decoder, not two Python workers with both.
+    encoded = stored(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), "token-ids")
     decoded = bpe.decode(encoded, RANKS, ["doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")])
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 

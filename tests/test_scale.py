@@ -117,3 +117,13 @@ def test_points_near_all_cells_are_copied_less(spark):
     tree = clusters._tree(points, 100.0, 100)
     assert clusters._leaves(tree) == 5
     assert clusters._spread(points, tree, clusters._blocks(points, tree, 1000), 100.0).count() == 5 * 2000
+
+
+def test_pipeline_encodes_and_decodes_in_turn(spark):
+    """A task that decodes has one Python worker, not those of the encoder beside it."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "x" * 40_000)], "doc_id long, text string")
+    found = corpus_pipeline.encode(spark, docs, "")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r["doc_id"] for r in found.orderBy("doc_id").collect()] == [1, 2, 3]
