@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import map_rows, stored
+from tamhis.llm.common import bound_batches, map_rows, stored
 from tamhis.session import small
 
 UNKNOWN = "und"
@@ -74,6 +74,7 @@ def learn_profiles(docs: DataFrame, lang: str, text: str, order_by: Column, fit_
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
+    bound_batches(docs.sparkSession)
     counted = sample.select("__lang", F.col(text).alias("__text")).mapInArrow(count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.llm.bpe import load_encoding
-from tamhis.llm.common import map_rows
+from tamhis.llm.common import bound_batches, map_rows
 
 #: Tokens of a block, and blocks that are scanned together before their totals are.
 BLOCK = 1 << 16
@@ -54,6 +54,7 @@ def flat_token_files(docs: DataFrame, ranks_path: str, pattern: str, separator:
         if ids:
             yield row(file, None, None, n_docs - len(ids), ids)
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("bigint"), text)
     return source.mapInArrow(write, "file int, block long, data binary, first_doc long, doc_ids array<long>")
 

@@ -7,12 +7,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from tamhis.llm import bpe, decontamination, near_dedup, oracles, queries, token_counts
-from tamhis.llm.common import WordHasher, words_of
+from tamhis.llm.common import WordHasher, map_rows, words_of
 from tests.llm import cases
 
 SMALL = "/root/testdata/sf0.001"
@@ -303,3 +305,21 @@ def test_stages_keep_columns_and_empty_tables(spark):
         docs = cases.documents(spark, extra=True)
     name, last = corpus_pipeline.STAGES[-1]
     assert last(spark, docs.limit(0), SMALL).count() == 0 and last(spark, docs, SMALL).count() == len(cases.ROWS)
+
+
+def test_python_gets_texts_in_bounded_batches(spark):
+    """24 MB of texts in one task reach Python in batches of a few MB; a limit that the session names stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    fresh = spark.newSession()
+    texts = fresh.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 8192).alias("text"))
+    lengths = lambda: map_rows(texts, ["id"], ["text"], [T.StructField("n", T.LongType())], lambda: lambda text: (len(text),))
+    assert lengths().agg(F.sum("n")).first()[0] == 3000 * 8192
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    assert max(r["bytes"] for r in texts.mapInArrow(sizes, "bytes long").collect()) < 8 << 20
+    fresh.conf.set(key, "1m")
+    lengths()
+    assert fresh.conf.get(key) == "1m"
