@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamhis.functions import text as tx
 from tamhis.operators import clusters, describe, terms
 
 
@@ -38,6 +39,35 @@ def test_ngrams_are_dealt_out_before_they_are_grouped(spark):
     assert "HashAggregate" not in below_the_last_exchange(terms.count_terms(df, "t", "k", ngram_range=(1, 3)))
 
 
+@pytest.mark.parametrize("low,high,places,entries", [(1, 3, 5, 3), (1, 2, 1000, 1 << 20), (2, 2, 7, 1), (3, 4, 1000, 2), (2, 4, 3, 4)])
+def test_ngrams_travel_as_pieces(spark, low, high, places, entries):
+    rng = np.random.default_rng(low * 10 + high)
+    letters = ["ab", "äß", "the", "x_1", "日本", "zz", "ab2"]
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", None if i % 7 == 3 else i % 2, " ".join(rng.choice(letters, rng.integers(0, 12)))) for i in range(60)]
+    rows += [("k1", 1, None), ("k1", 1, ""), ("k2", 0, "ab " * 40)] + rows[:5]
+    df = spark.createDataFrame(rows, "k string, m int, t string").repartition(3)
+    want = Counter()
+    for k, m, t in rows:
+        w = [x for x in (t or "").split() if x != "the"]
+        want.update((k, m, " ".join(w[i : i + n])) for n in range(low, high + 1) for i in range(len(w) - n + 1))
+    tokens = df.select("k", "m", F.filter(F.split(F.coalesce("t", F.lit("")), " +"), lambda w: ~w.isin("", "the")).alias("__tokens"))
+    schema = terms.T.StructType([*tokens.drop("__tokens").schema.fields, *spark.range(0).selectExpr("'' AS term", "id AS n").schema.fields])
+    pieces = terms._ngram_pieces(tokens, ["k", "m"], low, high, 4, places)
+    got = [tuple(r) for r in terms._grouped_pieces(pieces, schema, low, high, entries).collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+    whole = terms.count_terms(df, "t", ["k", "m"], ("the",), (low, high)).collect()
+    assert {tuple(r)[:3]: r[3] for r in whole} == want and len(whole) == len(want)
+
+
+def test_ngrams_move_less_than_their_texts(spark):
+    rng = np.random.default_rng(8)
+    texts = [(" ".join(f"word{i}" for i in rng.zipf(1.2, 400) % 20_000),) for _ in range(300)]
+    df = spark.createDataFrame(texts, "t string").select(F.lit("a").alias("k"), tx.word_tokens("t").alias("__tokens"))
+    sizes = terms._ngram_pieces(df.coalesce(1), ["k"], 1, 3, 4).selectExpr("sum(length(owners) + aggregate(parts, 0, (s, p) -> s + length(p)))")
+    grams = terms._partial_ngrams(df.coalesce(1), ["k"], 1, 3).selectExpr("sum(length(term))")
+    assert sizes.first()[0] < 0.25 * grams.first()[0]
+
+
 def test_term_vectors_are_added_up_in_tasks(spark):
     rng = np.random.default_rng(5)
     words = [[f"w{i}" for i in rng.integers(0, 300, rng.integers(0, 60))] for _ in range(80)]
