@@ -144,7 +144,7 @@ def spelling_fix(spark, sf_dir):
 
 
 def spelling_documents(spark, sf_dir):
-    return spelling.check_spelling(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return spelling.check_spelling(documents(spark, sf_dir).select("doc_id", "text"), "text", stored=True)
 
 
 def full_chain(spark, sf_dir):

@@ -12,10 +12,16 @@ of both after deletions alone, a quarter of the forms and known by their hash, a
 The number of forms grows with the square of the length, so the longest tokens go a third way to the same result: of three
 parts of a word two edits leave one whole, at most two places from where it was. Token and word meet in such a part, and
 the distance is then counted.
+
+All forms of a corpus are many times its size. Two forms are equal only if they are equally long, so they meet in rounds of form lengths
+(and of hashes, where one length has most forms), and only one round's forms are on disk.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,9 @@ from tamhis.session import pin, small
 _BLANK = "\ue001"  # private-use character standing for a replaced letter
 UNIQUE_LENGTH = 6  # tokens up to here are met by forms with a unique key, longer ones by deletions
 FORM_LENGTH = 25  # tokens up to here are met by forms or deletions, longer ones by parts
+ROUND_FORMS = 4 << 20  # forms that are not worth a round of their own
+ROUNDS = 10  # about so many rounds share the forms of a large corpus
+COMMON_WORDS = 1 << 16  # most frequent words, taken off the tokens of texts before these are shuffled
 FIXES_BYTES = 8 << 20  # a broadcast passes through the driver, and takes several times its measured size there
 
 
@@ -69,44 +78,103 @@ def _forms(df: DataFrame, word: str, edits: int) -> DataFrame:
     return spots.select(*df.columns, F.inline(made))
 
 
-def _index(vocabulary: DataFrame, edits: int, length: int) -> DataFrame:
+def _rounds(tokens: DataFrame, vocabulary: DataFrame, edits: int, lengths: tuple[int, int], blanks: bool) -> list[tuple[int, int, int, int]]:
+    """``(shortest, longest, part, parts)``: the rounds in which forms of all ``lengths`` meet; a crowded length meets in parts."""
+    first, last = max(0, lengths[0] - edits), lengths[1]
+    sizes = tokens.select(F.length("token").alias("n")).where(F.col("n").between(*lengths)).unionAll(
+        vocabulary.select(F.length("word").alias("n")).where(F.col("n").between(1, last + edits))
+    )
+    seen = {r["n"]: r["count"] for r in sizes.groupBy("n").count().collect()}
+
+    def forms(n: int, deleted: int) -> int:
+        kept = math.comb(n, deleted)
+        return kept * sum(math.comb(n - deleted, b) for b in range(edits - deleted + 1)) if blanks else kept
+
+    volume = {f: sum(seen.get(f + d, 0) * forms(f + d, d) for d in range(edits + 1)) for f in range(first, last + 1)}
+    share = max(ROUND_FORMS, math.ceil(sum(volume.values()) / ROUNDS))
+    rounds, begin, held = [], first, 0
+    for f, forms_here in volume.items():
+        if held and held + forms_here > share:
+            rounds.append((begin, f - 1, 0, 1))
+            begin, held = f, 0
+        held += forms_here
+        if held > share:  # a length alone
+            parts = math.ceil(held / share)
+            rounds += [(f, f, part, parts) for part in range(parts)]
+            begin, held = f + 1, 0
+    return [*rounds, (begin, last, 0, 1)] if begin <= last else rounds
+
+
+def _in_part(form: Column, part: int, parts: int) -> Column:
+    return F.pmod(form, F.lit(parts)) == part if parts > 1 else F.lit(True)
+
+
+def _round_forms(df: DataFrame, word: str, edits: int, turn: tuple[int, int, int, int]) -> DataFrame:
+    shortest, longest, part, parts = turn
+    rows = _forms(df.where(F.length(word).between(max(1, shortest), longest + edits)), word, edits)
+    return rows.where(F.length("form").between(shortest, longest) & _in_part(F.xxhash64("form"), part, parts))
+
+
+def _index(vocabulary: DataFrame, edits: int, turn: tuple[int, int, int, int]) -> DataFrame:
     """Best word per ``(form, letters deleted from the word)``: most frequent, then the larger string.
 
     No form of a token is longer than the token, so longer forms are left out.
     """
-    usable = vocabulary.where(F.length("word").between(1, length + edits))
-    rows = _forms(usable.select("word", "freq"), "word", edits).where(F.length("form") <= length)
+    rows = _round_forms(vocabulary.select("word", "freq"), "word", edits, turn)
     return rows.groupBy("form", "deleted").agg(F.max(F.struct("freq", "word")).alias("best"))
 
 
-def _within(tokens: DataFrame, index: DataFrame, edits: int) -> DataFrame:
-    """Best word at ``edits`` edits per token, given that nothing is nearer."""
-    probes = _forms(tokens.select("token"), "token", edits).select(
+def _within(tokens: DataFrame, vocabulary: DataFrame, edits: int, turn: tuple[int, int, int, int]) -> DataFrame:
+    """``(token, best)``: best word at ``edits`` edits per token by the forms of one round, given that nothing is nearer."""
+    probes = _round_forms(tokens.select("token"), "token", edits, turn).select(
         "token", "form", (F.lit(edits) - F.col("blanks") - F.col("deleted")).alias("deleted")
     )
-    met = probes.join(index, ["form", "deleted"])
-    return met.groupBy("token").agg(F.max("best").alias("best")).select("token", F.col("best.word").alias("fix"))
-
-
-def _deletions(df: DataFrame, word: str, edits: int) -> DataFrame:
-    """``df`` with the hash ``key`` of each form that up to ``edits`` deletions leave of ``word``; a key may repeat."""
-    size = F.length(word)
-    first = F.sequence(F.lit(0), size) if edits == 2 else F.array(F.lit(0))
-    spots = df.select("*", F.explode(first).alias("i")).select("*", F.explode(F.sequence("i", size)).alias("j"))
+    met = probes.join(_index(vocabulary, edits, turn), ["form", "deleted"])
+    return met.groupBy("token").agg(F.max("best").alias("best"))
+
+
+def _deletions(df: DataFrame, word: str, edits: int, turn: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``df`` with the hash ``key`` of each form that up to ``edits`` deletions leave of ``word``, of one round only if named; a key may repeat."""
+    size, lowest, high = F.length(word), F.lit(0), F.length(word)
+    if turn is not None:
+        df = df.where(size.between(turn[0], turn[1] + edits))
+        # Where two letters must go, none is nowhere; where at most one or none may go, one place or both are.
+        lowest = F.when(size - turn[1] >= 2, 1).otherwise(0)
+        high = F.when(size - turn[0] >= 2, size).otherwise(0)
+    first = F.sequence(lowest, F.greatest(lowest, high)) if edits == 2 else F.array(F.lit(0))
+    last = size if turn is None else F.when(size - turn[0] >= 1, size).otherwise(0)
+    spots = df.select("*", F.explode(first).alias("i")).select("*", F.explode(F.sequence("i", F.greatest(F.col("i"), last))).alias("j"))
     i, j = F.col("i"), F.col("j")
     spots = spots.where((j == 0) | (i < j))
+    if turn is not None:
+        spots = spots.where((size - (i > 0).cast("int") - (j > 0).cast("int")).between(turn[0], turn[1]))
     one = F.when(j == 0, F.col(word)).otherwise(_cut(F.col(word), j, ""))
     left = spots.select(*df.columns, "i", one.alias("left"))
-    return left.select(*df.columns, F.xxhash64(F.when(F.col("i") == 0, F.col("left")).otherwise(_cut(F.col("left"), F.col("i"), ""))).alias("key"))
+    keyed = left.select(*df.columns, F.xxhash64(F.when(F.col("i") == 0, F.col("left")).otherwise(_cut(F.col("left"), F.col("i"), ""))).alias("key"))
+    return keyed if turn is None else keyed.where(_in_part(F.col("key"), *turn[2:]))
 
 
-def _by_deletions(tokens: DataFrame, vocabulary: DataFrame, edits: int, above: int, length: int) -> DataFrame:
-    """Best word at ``edits`` edits per token of ``above`` to ``length`` letters, given that nothing is nearer."""
-    usable = vocabulary.where(F.length("word").between(above + 1 - edits, length + edits))
-    index = _deletions(usable.select("word", "freq"), "word", edits)
-    met = _deletions(tokens.select("token"), "token", edits).join(index, "key")
+def _by_deletions(tokens: DataFrame, vocabulary: DataFrame, edits: int, turn: tuple[int, int, int, int]) -> DataFrame:
+    """``(token, best)``: best word at ``edits`` edits per token by what deletions leave in one round, given that nothing is nearer."""
+    index = _deletions(vocabulary.select("word", "freq"), "word", edits, turn)
+    met = _deletions(tokens.select("token"), "token", edits, turn).join(index, "key")
     near = met.where(F.levenshtein("token", "word", edits) == edits)
-    return near.groupBy("token").agg(F.max(F.struct("freq", "word")).alias("best")).select("token", F.col("best.word").alias("fix"))
+    return near.groupBy("token").agg(F.max(F.struct("freq", "word")).alias("best"))
+
+
+def _nearest(tokens: DataFrame, vocabulary: DataFrame, edits: int, unique: int, length: int) -> DataFrame:
+    """``(token, fix)``: best word at ``edits`` edits per token of up to ``length`` letters, given that nothing is nearer."""
+    found = []
+    for way, low, high in ((_within, 1, unique), (_by_deletions, unique + 1, length)):
+        rows = tokens.where(F.length("token").between(low, high))
+        turns = _rounds(tokens, vocabulary, edits, (low, high), way is _within) if low <= high else []
+        met = [way(rows, vocabulary, edits, turn) for turn in turns]
+        if len(turns) > 1:
+            # What one round shuffles is deleted before the next. A token has a best word in each.
+            met = [pin(m) for m in met]
+            met = [reduce(DataFrame.unionAll, met).groupBy("token").agg(F.max("best").alias("best"))]
+        found += met
+    return reduce(DataFrame.unionAll, found).select("token", F.col("best.word").alias("fix"))
 
 
 def _by_parts(tokens: DataFrame, vocabulary: DataFrame, length: int) -> DataFrame:
@@ -145,32 +213,29 @@ def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, length: int = FORM_
     unknown = pin(unknown)
     unique = min(UNIQUE_LENGTH, length)
 
-    def nearest(rows: DataFrame, edits: int) -> DataFrame:
-        short = rows.where(F.length("token") <= unique)
-        middle = rows.where(F.length("token").between(unique + 1, length))
-        return _within(short, _index(vocabulary, edits, unique), edits).unionByName(_by_deletions(middle, vocabulary, edits, unique, length))
-
-    near = pin(nearest(unknown, 1))
-    rest = unknown.join(near, "token", "left_anti")
-    return near.unionByName(nearest(rest, 2)).unionByName(_by_parts(unknown, vocabulary, length))
+    near = pin(_nearest(unknown, vocabulary, 1, unique, length))
+    rest = pin(unknown.join(near, "token", "left_anti"))
+    return near.unionByName(_nearest(rest, vocabulary, 2, unique, length)).unionByName(_by_parts(unknown, vocabulary, length))
 
 
 def check_spelling(
-    df: DataFrame, text_col: str, vocabulary: DataFrame | None = None, min_count: int = 5, id_col: str = ID,
+    df: DataFrame, text_col: str, vocabulary: DataFrame | None = None, min_count: int = 5, id_col: str = ID, stored: bool = False,
 ) -> DataFrame:
     """Correct the blank-separated tokens of each text; a text of one token stays as it is.
 
     The corpus is turned into tokens once per document and token. Only tokens that do have a fix come
-    back, grouped by document into a small map that is applied inside the row.
+    back, grouped by document into a small map that is applied inside the row. The most frequent words, which are known and make up most
+    of any text, are left out before tokens are shuffled. ``stored``: ``df`` only reads a table, which need not be kept a second time.
     """
     several = F.size(tx.blank_tokens(text_col)) > 1
-    df = pin(df)  # read four times below
-    if vocabulary is None:
-        vocabulary = build_word_counts(df, text_col, min_count)
+    df = df if stored else pin(df)  # read four times below
+    vocabulary = pin(build_word_counts(df, text_col, min_count) if vocabulary is None else vocabulary.select("word", "freq"))
+    common = F.broadcast(pin(vocabulary.orderBy(F.desc("freq"), "word").limit(COMMON_WORDS).select(F.col("word").alias("token"))))
     used = df.where(several).select(id_col, F.explode(F.array_distinct(tx.blank_tokens(text_col))).alias("token"))
     fixes = small(pin(correct_tokens(used, vocabulary)), FIXES_BYTES)
     per_doc = (
-        used.join(fixes, "token")
+        used.join(common, "token", "left_anti")
+        .join(fixes, "token")
         .groupBy(id_col)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "fix"))).alias("__fixes"))
     )

@@ -1,6 +1,7 @@
 """Set-level rules: quality, labels, spelling, translation, terms, encoding, metrics."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -129,6 +130,39 @@ def test_spelling_by_deletions(spark):
     assert keys.count() == keys.select("key").distinct().count() == 79
 
 
+@pytest.mark.parametrize("forms,rounds", [(1, 4)])
+def test_spelling_in_rounds(spark, monkeypatch, forms, rounds):
+    rng = random.Random(forms)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 8, 8, 8, 9])))
+    table = spark.createDataFrame(list({word(): rng.randint(1, 3) for _ in range(60)}.items()), "word string, freq long")
+    tokens = spark.createDataFrame([(word(),) for _ in range(150)], "token string")
+    want = sorted(map(tuple, spelling.correct_tokens(tokens, table).collect()))
+    monkeypatch.setattr(spelling, "ROUND_FORMS", forms)
+    monkeypatch.setattr(spelling, "ROUNDS", rounds)
+    turns = spelling._rounds(tokens, table, 2, (7, 25), False)
+    assert len(turns) > 1 and all(a[1] < b[0] or (a[:2] == b[:2] and a[2] + 1 == b[2] < b[3]) for a, b in zip(turns, turns[1:]))
+    assert (turns[0][0], turns[-1][1]) == (5, 25) and sorted(map(tuple, spelling.correct_tokens(tokens, table).collect())) == want
+    # Every deletion of a token is in one round, once.
+    long = tokens.distinct().where("length(token) >= 7")
+    keys = [tuple(r) for turn in turns for r in spelling._deletions(long, "token", 2, turn).collect()]
+    assert sorted(keys) == sorted(map(tuple, spelling._deletions(long, "token", 2).collect()))
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert rows.count() == 7  # an action of its own keeps what it shuffled
+    first = spark.sparkContext._jsc.sc().newShuffleId()
+    kept = session.pin(rows)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    last = spark.sparkContext._jsc.sc().newShuffleId()
+    deadline = time.time() + 20
+    while any(manager.containsShuffle(i) for i in range(first + 1, last)) and time.time() < deadline:
+        time.sleep(0.1)
+    assert last > first + 1 and not any(manager.containsShuffle(i) for i in range(first + 1, last))
+    assert kept.count() == 7 and rows.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
 def test_spelling_of_texts(spark):
     df = spark.createDataFrame([(1, "hello wrld teh"), (2, "helo"), (3, "helo  wordl xxxxxxx"), (4, None), (5, "")],
                                "doc_id long, t string")
