@@ -40,7 +40,7 @@ def _partial_means(batches):
                 if places and (sums.shape[1] != len(vec) or len(places) + len(terms) > _HELD_VALUES // max(1, len(vec))):
                     yield from emit(places, sums, counts)
                     places, sums = {}, None
-                size = max(2 * len(places), len(places) + len(terms), 1 << 10)
+                size = max(len(places) + len(terms), min(max(2 * len(places), 1 << 10), _HELD_VALUES // max(1, len(vec))))
                 grown, more = np.zeros((size, len(vec))), np.zeros(size)
                 if places:
                     grown[: len(places)], more[: len(places)] = sums[: len(places)], counts[: len(places)]
