@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamhis import session
 from tamhis.functions.vectors import as_vector
 from tamhis.operators import bayes, clusters, components, describe, neighbors, reports, topics, vectors
 from tamhis.plans.classification import ReviewClassifier
@@ -171,6 +172,18 @@ def test_descent_does_not_depend_on_partitions(spark):
     assert one == [] and neighbors.nearest_neighbors(df.where("doc_id < 0"), 5, method="descent").collect() == []
 
 
+def test_descent_in_batches_is_the_same(spark, monkeypatch):
+    df = frame(spark, np.random.default_rng(24).normal(size=(500, 6)))
+    run = lambda: sorted(map(tuple, neighbors.nearest_neighbors(df, 4, method="descent", window_rows=32, width=12, tables=2, group_rows=170, max_rounds=1).collect()))
+    whole, kept = run(), []
+    monkeypatch.setattr(neighbors, "PAIRS_AT_ONCE", 1)
+    monkeypatch.setattr(neighbors, "MOVED_ROWS", 1)
+    monkeypatch.setattr(neighbors, "pin", lambda d: kept.append(d.columns) or session.pin(d))
+    assert run() == whole
+    # Two tables after each other, and three batches of pairs a round.
+    assert kept.count(["left_id", "right_id", "distance", "rank"]) == 2 and kept.count(["left_id", "right_id", "distance"]) == 3
+
+
 def plain_ward(points, k):
     groups = [[i] for i in range(len(points))]
     x = np.asarray(points, float)
